@@ -54,11 +54,11 @@ def normal_spaces(text: Column) -> Column:
 def with_before(df: DataFrame, group: list[str], h: str, ties: list[str], weights: dict[str, Column], rows: int, per_bucket: int = 20_000) -> DataFrame:
     """Adds, for each (name, weight) of weights, the sum of weight over the rows of the same group that come before in the order of (h, ties).
 
-    A group of any size is spread: rows fall into buckets by the leading bits of h, a uniform 64-bit hash, so that about per_bucket of the
+    A group of any size is spread: rows fall into buckets by the leading bits of h, a uniform hash from 0 to 2^63 - 1, so that about per_bucket of the
     `rows` rows share one; buckets are summed before anything is ordered, the sums run over the buckets of a group, and only the
     rows of one bucket meet in a task. group columns must not be null."""
     bits = max(0, (max(rows, 1) // per_bucket).bit_length())
-    bucket = F.shiftrightunsigned(F.col(h), 64 - bits).cast("long") if bits else F.lit(0).cast("long")
+    bucket = F.shiftright(F.col(h), 63 - bits).cast("long") if bits else F.lit(0).cast("long")
     cut = df.withColumn("_b", bucket)
     keys = [*group, "_b"]
     sums = cut.groupBy(*keys).agg(*[F.sum(w).alias(f"_s_{k}") for k, w in weights.items()])

@@ -6,4 +6,21 @@ SQL = {
              g AS (SELECT s, min(doc_id) AS keep_id, count(*) AS n FROM d GROUP BY s)
         SELECT d.doc_id, g.keep_id, CAST(g.n AS BIGINT) AS group_size, d.doc_id = g.keep_id AS kept, d.s AS text_sha256
         FROM d JOIN g ON d.s = g.s""",
+    "op2_mixing": r"""
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                          substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS h FROM documents),
+             s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+             r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s),
+             w AS (SELECT *, CASE (rank - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM r),
+             o AS (SELECT *, 3 * source_size AS cap, CAST(sum(source_size) OVER () AS BIGINT) AS total,
+                          coalesce(sum(3 * source_size) OVER (ORDER BY source_size * (10 // w), rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cap_before,
+                          sum(w) OVER (ORDER BY source_size * (10 // w), rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_from FROM w),
+             c AS (SELECT *, (total - cap_before) * w >= cap * w_from AS capped FROM o),
+             u AS (SELECT *, total - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER () AS r, sum(CASE WHEN capped THEN 0 ELSE w END) OVER () AS u FROM c),
+             t AS (SELECT *, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE CAST(w * r AS DOUBLE) / CAST(u AS DOUBLE) END AS target FROM u),
+             q AS (SELECT *, CAST(floor(target) AS BIGINT) AS quota FROM t),
+             p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d)
+        SELECT p.doc_id, p.size, q.source_size, q.target,
+               CAST(CASE WHEN q.source_size = 0 THEN 0 ELSE p.size * (q.quota // q.source_size) + greatest(0, least(p.size, q.quota % q.source_size - p.start)) END AS BIGINT) AS taken
+        FROM p JOIN q ON p.source IS NOT DISTINCT FROM q.source""",
 }
