@@ -102,10 +102,9 @@ def _look_up(key, index: pd.DataFrame, fresh: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"digest": slots + [d for d, m in zip(digests, member) if not m], "keep_id": pd.array([*keep, *ids[~member]], "Int64"), "n": np.concatenate([total, n[~member]])})
 
 
-def build_index(history: DataFrame, keys: int | None = None) -> DataFrame:
+def build_index(history: DataFrame, buckets: int) -> DataFrame:
     """history (digest, winner, n), distinct by digest -> one row per bucket with its hash, slots and locators. Write it to keep it."""
-    buckets = max(1, -(-(keys if keys is not None else history.count()) // KEYS_PER_BUCKET))
-    return history.withColumn("bucket", _bucket(buckets)).groupBy("bucket").applyInPandas(_build_bucket, INDEX_SCHEMA), buckets
+    return history.withColumn("bucket", _bucket(buckets)).groupBy("bucket").applyInPandas(_build_bucket, INDEX_SCHEMA)
 
 
 def _bucket(buckets: int) -> Column:
@@ -125,9 +124,9 @@ def exact_dedup(docs: DataFrame, history: Column | None = None, doc_id: str = "d
         middle = None if low is None else low + (high - low) // 2
         rows = rows.withColumn("old", F.coalesce(F.col("doc_id") <= F.lit(middle), F.lit(False)))
     distinct = rows.groupBy("digest", "old").agg(F.min("doc_id").alias("winner"), F.count("*").alias("n"))
-    distinct = written(distinct, "op6-distinct")
-    index, buckets = build_index(distinct.where("old").drop("old"))
-    index = written(index, "op6-index")
+    # no more digests than rows, so buckets hold KEYS_PER_BUCKET at most on average
+    buckets = max(1, -(-rows.where("old").count() // KEYS_PER_BUCKET))
+    index = build_index(distinct.where("old").drop("old"), buckets)
     fresh = distinct.where("not old").drop("old").withColumn("bucket", _bucket(buckets))
     verdicts = index.groupBy("bucket").cogroup(fresh.groupBy("bucket")).applyInPandas(_look_up, FOUND_SCHEMA)
     return rows.join(verdicts, "digest").select(
