@@ -49,7 +49,6 @@ def _keys(rows: DataFrame, total: int, shards: int) -> DataFrame:
         *group, (F.col("n") * F.col("size") > SPLIT * total / shards).alias("large"), _text_code(F.col("first.source")).alias("source"), _text_code(F.col("first.lang")).alias("lang"),
         F.log2(F.col("size").cast("double")).alias("length"), F.coalesce(F.col("first.doc_id"), F.lit(0)).cast("double").alias("doc"),
     )
-    groups = written(groups, "op10-groups")
     ends = groups.agg(*[f(d).alias(f"{n}_{d}") for d in DIMS for n, f in (("lo", F.min), ("hi", F.max))]).first()
     rows = rows.drop("source", "lang").join(groups, group)
     low = F.shiftrightunsigned(F.when(F.col("large"), F.xxhash64("th", "doc_id")).otherwise(F.xxhash64("th", "text_crc32")), 32)
