@@ -13,11 +13,21 @@ from .mixing import mix
 from .sharding import shard
 from .sql import SQL
 from .token_counts import token_counts
+from .url_filter import filter_urls
+from .warc import archived
 
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
 
 
+#: (verdict, host/path)
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -33,13 +43,20 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document is bad if it is toxic or of low quality; a page's document is the number in its path."""
+    bad = F.greatest(F.col("toxic"), 1 - F.col("quality"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", bad.alias("bad"))
+    return filter_urls(table(spark, sf_dir, "pages"), labels, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard(table(spark, sf_dir, "documents"), shards=40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op6_exact_dedup, op8_token_counts, op10_sharding)}
+    return {f.__name__: f for f in (op1_warc, op2_mixing, op6_exact_dedup, op8_token_counts, op9_url_filter, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

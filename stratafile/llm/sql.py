@@ -23,4 +23,39 @@ SQL = {
         SELECT p.doc_id, p.size, q.source_size, q.target,
                CAST(CASE WHEN q.source_size = 0 THEN 0 ELSE p.size * (q.quota // q.source_size) + greatest(0, least(p.size, q.quota % q.source_size - p.start)) END AS BIGINT) AS taken
         FROM p JOIN q ON p.source IS NOT DISTINCT FROM q.source""",
+    "op1_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+             q AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS d, max(page_id) OVER (PARTITION BY b) AS last FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to
+        FROM q""",
+    "op9_url_filter": r"""
+        WITH a AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+             b AS (SELECT page_id, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+             r AS (SELECT *, trim(regexp_replace(regexp_replace(path, '[0-9]+', '#', 'g'), '/+', '/', 'g'), '/') AS lex,
+                          TRY_CAST(nullif(regexp_extract(path, '[0-9]+'), '') AS BIGINT) AS doc FROM b),
+             l AS (SELECT doc_id, max(greatest(toxic, 1 - quality)) AS bad FROM labels GROUP BY doc_id HAVING max(greatest(toxic, 1 - quality)) IS NOT NULL),
+             c AS (SELECT host, lex, count(*) AS n, count(l.bad) AS labelled, coalesce(sum(l.bad), 0) AS bad FROM r LEFT JOIN l ON r.doc = l.doc_id GROUP BY host, lex),
+             s AS (SELECT host, lex, n, unnest(string_split(lex, '/')) AS seg, unnest(range(len(string_split(lex, '/')))) AS depth FROM c),
+             u AS (SELECT *, array_to_string(list_slice(string_split(lex, '/'), 1, depth), '/') AS up FROM s),
+             k AS (SELECT host, depth, up, seg, sum(n) AS k FROM u GROUP BY ALL),
+             w AS (SELECT *, sum(k) OVER (PARTITION BY host, depth, up) AS all_, count(*) OVER (PARTITION BY host, depth, up) AS kinds FROM k),
+             t AS (SELECT u.host, u.lex, string_agg(CASE WHEN kinds > 20 AND k < 0.02 * all_ THEN '*' ELSE u.seg END, '/' ORDER BY u.depth) AS template
+                   FROM u JOIN w ON u.host = w.host AND u.depth = w.depth AND u.up = w.up AND u.seg = w.seg GROUP BY u.host, u.lex),
+             m AS (SELECT c.*, t.template, regexp_replace(t.template, '[^/]*$', '') || '**' AS parent FROM c JOIN t ON c.host = t.host AND c.lex = t.lex),
+             o AS (SELECT host, parent, template, CAST(sum(labelled) AS DOUBLE) AS labelled, CAST(sum(bad) AS DOUBLE) AS bad FROM m GROUP BY ALL),
+             p AS (SELECT *, sum(labelled) OVER (PARTITION BY host, parent) AS up_n, sum(bad) OVER (PARTITION BY host, parent) AS up_bad FROM o),
+             x AS (SELECT *, CASE WHEN labelled > 0 AND (bad / labelled - up_bad / up_n) * (bad / labelled - up_bad / up_n) * labelled > 1.96 * 1.96 * (up_bad / up_n) * (1 - up_bad / up_n)
+                                  THEN template ELSE parent END AS branch FROM p),
+             h AS (SELECT host, branch, sum(sum(bad)) OVER (PARTITION BY host) AS h_bad, sum(sum(labelled)) OVER (PARTITION BY host) AS h_n,
+                          sum(sum(bad)) OVER () AS t_bad, sum(sum(labelled)) OVER () AS t_n, sum(bad) AS b_bad, sum(labelled) AS b_n FROM x GROUP BY host, branch),
+             y AS (SELECT host, branch, (b_bad + 10.0 * ((h_bad + 10.0 * coalesce(t_bad / nullif(t_n, 0), 0)) / (h_n + 10.0))) / (b_n + 10.0) AS purity FROM h),
+             z AS (SELECT r.page_id, r.host, r.path, y.purity,
+                          CASE WHEN (r.host = 'example.net' OR ends_with(r.host, '.example.net')) AND starts_with(r.path, '/en/') THEN 'example.net/en/'
+                               WHEN (r.host = 'example.com' OR ends_with(r.host, '.example.com')) AND starts_with(r.path, '/de/') THEN 'example.com/de/'
+                               WHEN (r.host = 'org' OR ends_with(r.host, '.org')) AND starts_with(r.path, '/fr/') THEN 'org/fr/'
+                               WHEN (r.host = 'net' OR ends_with(r.host, '.net')) AND starts_with(r.path, '/') THEN 'net/' END AS rule
+                   FROM r JOIN m ON r.host = m.host AND r.lex = m.lex JOIN x ON m.host = x.host AND m.template = x.template JOIN y ON x.host = y.host AND x.branch = y.branch)
+        SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END AS verdict
+        FROM z""",
 }
