@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .language_id import languages
 from .mixing import mix
 from .sharding import shard
 from .sql import SQL
@@ -32,6 +33,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_mixing, op6_exact_dedup, op8_token_counts, op9_url_filter, op10_sharding)}
+    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_language_id, op6_exact_dedup, op8_token_counts, op9_url_filter, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
