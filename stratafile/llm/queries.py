@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .html_text import extract
 from .language_id import languages
 from .mixing import mix
 from .sharding import shard
+from .simhash import near_duplicates
 from .sql import SQL
 from .token_counts import token_counts
 from .url_filter import filter_urls
@@ -37,6 +39,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -61,7 +71,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_language_id, op6_exact_dedup, op8_token_counts, op9_url_filter, op10_sharding)}
+    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_language_id, op4_simhash, op5_html_text, op6_exact_dedup, op8_token_counts, op9_url_filter, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
