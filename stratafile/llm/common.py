@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
-#: Ids that may be broadcast at once: 16 MB as longs. Beyond it the operators join by shuffle.
-BROADCAST_IDS = 2_000_000
+#: Ids that may be broadcast at once: 8 MB as longs. Beyond it the operators join by shuffle.
+BROADCAST_IDS = 1_000_000
 
 _own_dir: list[str] = []
 
@@ -46,6 +46,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it has at most BROADCAST_IDS rows; written first, so that counting doesn't compute it twice."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def normal_spaces(text: Column) -> Column:
     """Each run of ASCII white space as one space; null as the empty text."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")

@@ -25,6 +25,8 @@ PROFILE = 300
 #: Documents of a language that it is learned from, at most.
 TRAIN = 500
 BITS = 21
+#: Below this score a text fits no learned language; prose scores 0.4 and more, random letters about 0.1.
+LEAST = 0.2
 
 _letters: list[np.ndarray] = []
 
@@ -134,3 +136,15 @@ def languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     """(doc_id, held_out, lang_pred, score), a row for each row of docs; learned from those that are not held out."""
     profiles = learn(docs.where(~held_out(F.col(doc_id))), doc_id, text, lang)
     return identify(docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text")), profiles)
+
+
+def known(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", least: float = LEAST) -> DataFrame:
+    """The rows of docs, all columns, whose text is in a learned language with a score of at least `least`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = Ranker(profiles)
+        for batch in batches:
+            said = [rank(x) for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in said], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, with_before, written
+from .common import WORD, few, with_before, written
 
 #: Slots of a schedule over all words; a block has total / SLOTS words.
 SLOTS = 65_536
@@ -108,3 +108,11 @@ def mix(docs: DataFrame, **columns) -> DataFrame:
     """(doc_id, size, source_size, target, taken), a row for each row of docs: taken counts the words that the schedule takes, repeats too."""
     took = schedule(docs, **columns).groupBy("s", "place", "doc_id", "size", "source_size", "target")
     return took.agg(F.coalesce(F.sum(F.col("to_word") - F.col("from_word")), F.lit(0)).alias("taken")).drop("s", "place")
+
+
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of docs, all columns, each as often as the mix takes it: the words taken by the document's words, rounded; rows without a doc_id once."""
+    took = mix(docs, doc_id=doc_id, text=text, source=source).where("doc_id is not null").groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    times = written(took.select(F.col("doc_id").alias(doc_id), F.coalesce(F.round(F.try_divide("taken", "size")), F.lit(0)).cast("int").alias("_times")), "op2-times")
+    rows = docs.join(few(times), doc_id, "left").withColumn("_times", F.coalesce("_times", F.lit(1)))
+    return rows.withColumn("_times", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select(*docs.columns)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .html_text import extract
 from .language_id import languages
@@ -51,6 +52,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that it holds."""
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", "matched_words", "item_words", F.size("tiles").cast("long").alias("n_tiles"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -71,7 +78,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_language_id, op4_simhash, op5_html_text, op6_exact_dedup, op8_token_counts, op9_url_filter, op10_sharding)}
+    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_language_id, op4_simhash, op5_html_text, op6_exact_dedup, op7_decontamination, op8_token_counts, op9_url_filter, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

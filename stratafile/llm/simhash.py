@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, few, written
 
 WORDS, SEED, BUDGET = 4, 42, 4
 #: (offset, width) of the blocks, from the highest bit.
@@ -245,3 +245,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     found = named.select("fp", "root").join(least, "root").select("fp", "component_id")
     return fps.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that stay: of each component the document with the smallest doc_id, once. Rows without a doc_id stay.
+
+    The texts stay where they are if the ids to drop are few enough to be broadcast; else rows and ids meet by a shuffle."""
+    found = written(near_duplicates(docs, doc_id, text).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "op4-found")
+    drop = few(found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)))
+    kept = docs.join(drop, doc_id, "left_anti")
+    again = found.where("n > 1 and doc_id = component_id").select(F.col("doc_id").alias(doc_id))
+    if again.limit(1).count():
+        again = few(again)
+        kept = kept.join(again, doc_id, "left_anti").unionByName(kept.join(again, doc_id, "left_semi").dropDuplicates([doc_id]))
+    return kept.select(*docs.columns)
