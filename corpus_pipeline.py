@@ -3,10 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stratafile.llm import decontaminate, language_id, mixing, sharding, simhash
 from stratafile.llm.common import table, written
 
-STAGES: list = []
+SHARDS = 40
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose letters fit no learned language, go."""
+    profiles = language_id.learn(docs.where(~language_id.held_out(F.col("doc_id"))))
+    return language_id.known(docs, profiles)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    return simhash.deduplicated(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out so that the sources' words meet their targets."""
+    return mixing.mixed(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row's shard and its place there: doc_id, size, text_crc32, shard, slot."""
+    return sharding.shard(docs, SHARDS)
+
+
+STAGES = [("language", language), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mix", mix), ("shard", shard)]
 #: Language profiles, fingerprint components and tilings are beyond SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL: str | None = None
 
