@@ -68,7 +68,7 @@ def slots_of(digests: list[bytes], sizes: list[int], bits: np.ndarray) -> np.nda
     return out
 
 
-def _build_bucket(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _build_bucket(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     digests = [bytes(x) for x in rows["digest"]]
     sizes, bits = build(digests)
     at = slots_of(digests, sizes, bits)
@@ -80,7 +80,7 @@ def _build_bucket(key, rows: pd.DataFrame) -> pd.DataFrame:
     }])
 
 
-def _look_up(key, index: pd.DataFrame, fresh: pd.DataFrame) -> pd.DataFrame:
+def _look_up(key: tuple, index: pd.DataFrame, fresh: pd.DataFrame) -> pd.DataFrame:
     """The bucket's historical slots with the repeats that hit them, and its nonmembers."""
     digests = [bytes(x) for x in fresh["digest"]]
     ids, n = fresh["winner"].to_numpy(dtype=object), fresh["n"].to_numpy("int64")
