@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .functions import formats
-from .operators import dedup, filters, joins, lint, rules, stats
+from . import schema, store
+from .functions import formats, hashing
+from .operators import dedup, filters, joins, lint, reports, rules, stats
 from .plans import planner
 from .registry import oracle_sql, queries, query
 from .sources import fixtures as fx
+from .sources import fs
 from .sources import lint as lint_source
 
 __all__ = ["oracle_sql", "queries"]
@@ -45,9 +47,9 @@ def _(spark, sf):
     return group_rows(dedup.by_waste(dedup.duplicate_groups(fx.files(spark, sf))))
 
 
-@query("duplicate_groups_md5_of_drive", f"WITH {fx.FILES_SQL} SELECT min(id) AS group_id, md5_hash AS hash, CAST(count(*) AS INTEGER) AS file_count, CAST(sum(size_bytes) - arg_min(size_bytes, id) AS BIGINT) AS total_waste_bytes FROM f WHERE drive_id = 0 AND md5_hash IS NOT NULL AND size_bytes >= 10 GROUP BY md5_hash HAVING count(*) > 1")
+@query("duplicate_groups_md5_of_drive", f"WITH {fx.FILES_SQL} SELECT min(id) AS group_id, md5_hash AS hash, CAST(count(*) AS INTEGER) AS file_count, CAST(sum(size_bytes) - arg_min(size_bytes, id) AS BIGINT) AS total_waste_bytes FROM f WHERE drive_id = 9 AND md5_hash IS NOT NULL AND size_bytes >= 10 GROUP BY md5_hash HAVING count(*) > 1")
 def _(spark, sf):
-    return dedup.duplicate_groups(fx.files(spark, sf), "md5", drive=0, min_size=10).select("group_id", "hash", "file_count", "total_waste_bytes")
+    return dedup.duplicate_groups(fx.files(spark, sf), "md5", drive=9, min_size=10).select("group_id", "hash", "file_count", "total_waste_bytes")
 
 
 @query("duplicate_original_assignment", files_sql("true", "id, duplicate_group, is_original", source="m"))
@@ -141,9 +143,9 @@ def _(spark, sf):
     return filters.by_category(fx.files(spark, sf), "photos").select(*FILE)
 
 
-@query("files_by_category_and_drive", files_sql("category = 'photos' AND drive_id = 0"))
+@query("files_by_category_and_drive", files_sql("category = 'photos' AND drive_id = 2"))
 def _(spark, sf):
-    return filters.by_category(fx.files(spark, sf), "photos", 0).select(*FILE)
+    return filters.by_category(fx.files(spark, sf), "photos", 2).select(*FILE)
 
 
 @query("category_page", files_sql("category = 'documents'", tail="ORDER BY id LIMIT 100"))
@@ -166,9 +168,9 @@ def _(spark, sf):
     return filters.large_files(fx.files(spark, sf), 3000, 50)
 
 
-@query("query_files", files_sql(r"category = 'documents' AND extension = 'txt' AND size_bytes >= 500 AND path ILIKE '%EN/d_cs%' ESCAPE '\' AND drive_id = 0", tail="ORDER BY size_bytes DESC, id"))
+@query("query_files", files_sql(r"category = 'documents' AND extension = 'txt' AND size_bytes >= 500 AND path ILIKE '%EN/d_cs%' ESCAPE '\' AND drive_id = 1", tail="ORDER BY size_bytes DESC, id"))
 def _(spark, sf):
-    return filters.search(fx.files(spark, sf), "documents", "txt", 500, "EN/d_cs", 0).select(*FILE)
+    return filters.search(fx.files(spark, sf), "documents", "txt", 500, "EN/d_cs", 1).select(*FILE)
 
 
 @query("pages_containing", r"SELECT page_id, url FROM pages WHERE url ILIKE '%EXAMPLE.%/en/%' ESCAPE '\'")
@@ -186,9 +188,9 @@ def _(spark, sf):
     return filters.plan_candidates(fx.files(spark, sf), fx.drives(spark, sf), "photos", exclude=["src1", "src2"]).select(*FILE)
 
 
-@query("plan_candidates_included", files_sql("category = 'photos' AND drive_id = 0"))
+@query("plan_candidates_included", files_sql("category = 'photos' AND drive_id = 2"))
 def _(spark, sf):
-    return filters.plan_candidates(fx.files(spark, sf), fx.drives(spark, sf), "photos", include=["src0", "src1"], exclude=["src1"]).select(*FILE)
+    return filters.plan_candidates(fx.files(spark, sf), fx.drives(spark, sf), "photos", include=["src2", "src1"], exclude=["src1"]).select(*FILE)
 
 
 @query("drive_by_label", f"WITH {fx.DRIVES_SQL} SELECT id, label, role FROM dr WHERE label = 'src1'")
@@ -221,14 +223,14 @@ def _(spark, sf):
     return filters.by_id(fx.plans(spark, sf), 33).select("id", "created_at", "status", "total_bytes")
 
 
-@query("plan_steps", f"WITH {fx.STEPS_SQL} SELECT plan_id, step_order, action, source_path, status FROM s WHERE plan_id = 33")
+@query("plan_steps", f"WITH {fx.STEPS_SQL} SELECT plan_id, step_order, action, source_path, status FROM s WHERE plan_id = 1046")
 def _(spark, sf):
-    return filters.steps_of(fx.steps(spark, sf), 33).select("plan_id", "step_order", "action", "source_path", "status")
+    return filters.steps_of(fx.steps(spark, sf), 1046).select("plan_id", "step_order", "action", "source_path", "status")
 
 
-@query("pending_steps", f"WITH {fx.STEPS_SQL} SELECT plan_id, step_order, action, source_path FROM s WHERE plan_id = 33 AND status = 'pending'")
+@query("pending_steps", f"WITH {fx.STEPS_SQL} SELECT plan_id, step_order, action, source_path FROM s WHERE plan_id = 1046 AND status = 'pending'")
 def _(spark, sf):
-    return filters.steps_of(fx.steps(spark, sf), 33, pending_only=True).select("plan_id", "step_order", "action", "source_path")
+    return filters.steps_of(fx.steps(spark, sf), 1046, pending_only=True).select("plan_id", "step_order", "action", "source_path")
 
 
 @query("all_steps_numbered", f"WITH {fx.STEPS_SQL} SELECT plan_id, step_order, file_id, action, status FROM s")
@@ -274,10 +276,10 @@ def _(spark, sf):
 
 def _paired(files):
     """Files as if drives of the same half shared paths and sizes, so that changed copies occur."""
-    return files.withColumn("path", F.concat(F.lit("p"), (F.col("id") % 200).cast("string"))).withColumn("size_bytes", F.lit(1).cast("long"))
+    return files.withColumn("path", F.concat(F.lit("p"), F.expr("id div 4 % 200").cast("string"))).withColumn("size_bytes", F.lit(1).cast("long"))
 
 
-@query("bit_rot", f"{ROLES_SQL} SELECT 'p' || a.id % 200 AS path, CAST(1 AS BIGINT) AS size_bytes, a.id AS source_id, b.id AS backup_id, a.md5_hash AS source_md5, b.md5_hash AS backup_md5 FROM r a JOIN r b ON a.id % 200 = b.id % 200 WHERE a.role = 'source' AND b.role = 'backup' AND a.md5_hash <> b.md5_hash")
+@query("bit_rot", f"{ROLES_SQL} SELECT 'p' || a.id // 4 % 200 AS path, CAST(1 AS BIGINT) AS size_bytes, a.id AS source_id, b.id AS backup_id, a.md5_hash AS source_md5, b.md5_hash AS backup_md5 FROM r a JOIN r b ON a.id // 4 % 200 = b.id // 4 % 200 WHERE a.role = 'source' AND b.role = 'backup' AND a.md5_hash <> b.md5_hash")
 def _(spark, sf):
     return joins.bit_rot(_paired(fx.files(spark, sf)), fx.drives(spark, sf))
 
@@ -504,19 +506,19 @@ def _(spark, sf):
     return planner.dedup(filters.group_members(files, groups.agg(F.min("group_id")).first()[0]), 1, now()).steps.select(*STEP_COLUMNS)
 
 
-@query("plan_migrate", step_sql("category = 'photos' AND drive_id = 0", "copy", "'/mnt/new/' || path"))
+@query("plan_migrate", step_sql("category = 'photos' AND drive_id = 2", "copy", "'/mnt/new/' || path"))
 def _(spark, sf):
-    return planner.migrate(filters.by_category(fx.files(spark, sf), "photos", 0), 1, now(), 9, "/mnt/new").steps.select(*STEP_COLUMNS)
+    return planner.migrate(filters.by_category(fx.files(spark, sf), "photos", 2), 1, now(), 9, "/mnt/new").steps.select(*STEP_COLUMNS)
 
 
-@query("plan_offload", f"WITH {fx.FILES_SQL}, n AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS i FROM f WHERE category = 'photos' AND drive_id = 0) SELECT CAST(1 AS BIGINT) AS plan_id, CAST(2 * i + k AS INTEGER) AS step_order, id AS file_id, CASE k WHEN 0 THEN 'copy' ELSE 'delete' END AS action, abs_path AS source_path, CASE k WHEN 0 THEN '/mnt/off/' || path END AS dest_path, blake3_hash AS pre_hash, 'pending' AS status FROM n, (VALUES (0), (1)) v(k)")
+@query("plan_offload", f"WITH {fx.FILES_SQL}, n AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS i FROM f WHERE category = 'photos' AND drive_id = 2) SELECT CAST(1 AS BIGINT) AS plan_id, CAST(2 * i + k AS INTEGER) AS step_order, id AS file_id, CASE k WHEN 0 THEN 'copy' ELSE 'delete' END AS action, abs_path AS source_path, CASE k WHEN 0 THEN '/mnt/off/' || path END AS dest_path, blake3_hash AS pre_hash, 'pending' AS status FROM n, (VALUES (0), (1)) v(k)")
 def _(spark, sf):
-    return planner.offload(filters.by_category(fx.files(spark, sf), "photos", 0), 1, now(), 9, "/mnt/off").steps.select(*STEP_COLUMNS)
+    return planner.offload(filters.by_category(fx.files(spark, sf), "photos", 2), 1, now(), 9, "/mnt/off").steps.select(*STEP_COLUMNS)
 
 
-@query("plan_dry_run", f"WITH {fx.FILES_SQL} SELECT CAST(1 AS BIGINT) AS plan_id, CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS step_order, 'copy' AS action, 'would copy ' || abs_path || ' -> /mnt/new/' || path AS outcome FROM f WHERE category = 'photos' AND drive_id = 0")
+@query("plan_dry_run", f"WITH {fx.FILES_SQL} SELECT CAST(1 AS BIGINT) AS plan_id, CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS step_order, 'copy' AS action, 'would copy ' || abs_path || ' -> /mnt/new/' || path AS outcome FROM f WHERE category = 'photos' AND drive_id = 2")
 def _(spark, sf):
-    return planner.dry_run(planner.migrate(filters.by_category(fx.files(spark, sf), "photos", 0), 1, now(), 9, "/mnt/new").steps)
+    return planner.dry_run(planner.migrate(filters.by_category(fx.files(spark, sf), "photos", 2), 1, now(), 9, "/mnt/new").steps)
 
 
 @query("plan_approve", f"WITH {fx.PLANS_SQL} SELECT id, CASE WHEN id = (SELECT min(id) FROM p WHERE status = 'draft') THEN 'approved' ELSE status END AS status FROM p")
@@ -664,3 +666,95 @@ def _(spark, sf):
 @query("preferred_hash_and_destination", files_sql("true", "id, coalesce(md5_hash, blake3_hash) AS preferred, '/mnt/x/' || path AS dest_path"))
 def _(spark, sf):
     return fx.files(spark, sf).select("id", formats.preferred_hash(F.col("md5_hash"), F.col("blake3_hash")).alias("preferred"), formats.destination(F.lit("/mnt/x"), F.col("path"), F.col("target_path")).alias("dest_path"))
+
+
+# Reports, checks, changes
+
+
+@query("csv_report", f"WITH {fx.GROUPS_SQL}, {fx.DRIVES_SQL}, st AS ({DRIVE_STATS_SQL}) SELECT dr.label AS \"Label\", dr.role AS \"Role\", coalesce(st.file_count, 0) AS \"Files\", coalesce(st.total_bytes, 0) AS \"TotalBytes\", coalesce(st.duplicate_file_count, 0) AS \"DuplicateFiles\", coalesce(st.duplicate_waste_bytes, 0) AS \"WastedBytes\" FROM dr LEFT JOIN st ON dr.id = st.drive_id")
+def _(spark, sf):
+    return reports.csv_report(fx.drives(spark, sf), grouped(spark, sf)[0])
+
+
+@query("json_report", f"""WITH {fx.GROUPS_SQL}, {fx.DRIVES_SQL}, st AS ({DRIVE_STATS_SQL}),
+    d AS (SELECT string_agg('{{"label":"' || label || '","role":"' || role || '","is_online":' || is_online || ',"mount_path":"' || mount_path || '","files":' || coalesce(st.file_count, 0) || ',"total_bytes":' || coalesce(st.total_bytes, 0) || ',"duplicate_files":' || coalesce(st.duplicate_file_count, 0) || ',"wasted_bytes":' || coalesce(st.duplicate_waste_bytes, 0) || '}}', ',' ORDER BY label) AS drives FROM dr LEFT JOIN st ON dr.id = st.drive_id),
+    c AS (SELECT string_agg('{{"category":"' || category || '","subcategory":null,"file_count":' || n || ',"total_bytes":' || b || '}}', ',' ORDER BY b DESC, category) AS categories FROM (SELECT category, count(*) AS n, CAST(sum(size_bytes) AS BIGINT) AS b FROM f WHERE category IS NOT NULL GROUP BY category)),
+    u AS (SELECT '{{"groups":' || count(*) || ',"files":' || CAST(coalesce(sum(file_count), 0) AS BIGINT) || ',"wasted_bytes":' || CAST(coalesce(sum(total_waste_bytes), 0) AS BIGINT) || ',"cross_drive_groups":' || count(*) FILTER (cross_drive) || '}}' AS duplicates FROM g)
+    SELECT '{{"drives":[' || drives || '],"categories":[' || categories || '],"duplicates":' || duplicates || ',"generated_at":"2026-01-01T00:00:00Z"}}' AS report FROM d, c, u""")
+def _(spark, sf):
+    files, groups = grouped(spark, sf)
+    return reports.json_report(fx.drives(spark, sf), files, groups, now())
+
+
+@query("schema_checks", f"WITH {fx.STEPS_SQL}, {fx.PLANS_SQL} SELECT 'reference' AS \"check\", 'migration_steps' AS \"table\", 'file_id' AS columns, count(*) AS violations FROM s WHERE file_id NOT IN (SELECT doc_id FROM documents) HAVING count(*) > 0")
+def _(spark, sf):
+    return schema.validate({"files": fx.files(spark, sf), "migration_plans": fx.plans(spark, sf), "migration_steps": fx.steps(spark, sf).withColumn("id", F.xxhash64("plan_id", "step_order"))})
+
+
+@query("upsert_files", f"""WITH {fx.FILES_SQL}, n AS (SELECT id + 1000000 AS id, drive_id, path, CASE WHEN id % 6 = 0 THEN size_bytes + 1 ELSE size_bytes END AS size_bytes FROM f WHERE id % 3 = 0 UNION ALL SELECT id + 2000000, drive_id, 'new/' || path, size_bytes FROM f WHERE id % 10 = 0)
+    SELECT coalesce(f.id, n.id) AS id, coalesce(n.drive_id, f.drive_id) AS drive_id, coalesce(n.path, f.path) AS path, coalesce(n.size_bytes, f.size_bytes) AS size_bytes, f.category,
+           CASE WHEN n.id IS NULL OR n.size_bytes = f.size_bytes THEN f.md5_hash END AS md5_hash, CASE WHEN n.id IS NULL AND f.drive_id = 2 THEN 'source_removed' ELSE coalesce(f.status, 'indexed') END AS status
+    FROM f FULL OUTER JOIN n ON f.drive_id = n.drive_id AND f.path = n.path""")
+def _(spark, sf):
+    files = fx.files(spark, sf)
+    fresh = files.withColumns({"md5_hash": F.lit(None).cast("string"), "blake3_hash": F.lit(None).cast("string"), "status": F.lit("indexed"), "category": F.lit(None).cast("string")})
+    seen = fresh.where("id % 3 = 0").withColumns({"id": F.col("id") + 1_000_000, "size_bytes": F.when(F.col("id") % 6 == 0, F.col("size_bytes") + 1).otherwise(F.col("size_bytes"))})
+    new = fresh.where("id % 10 = 0").withColumns({"id": F.col("id") + 2_000_000, "path": F.concat(F.lit("new/"), "path")})
+    return store.upsert_files(files, seen.unionByName(new), tombstones_of=2).select("id", "drive_id", "path", "size_bytes", "category", "md5_hash", "status")
+
+
+@query("set_status", files_sql("true", "id, CASE WHEN id = 5 THEN 'planned' ELSE status END AS status"))
+def _(spark, sf):
+    return store.set_where(fx.files(spark, sf), F.col("id") == 5, status="planned").select("id", "status")
+
+
+@query("set_hashes", files_sql("true", "id, CASE WHEN id % 11 = 0 THEN 'fresh' ELSE md5_hash END AS md5_hash, blake3_hash"))
+def _(spark, sf):
+    """New hashes of one algorithm leave the other's."""
+    files = fx.files(spark, sf)
+    return store.set_from(files, files.where("md5_hash is null").select("id", F.lit("fresh").alias("md5_hash"))).select("id", "md5_hash", "blake3_hash")
+
+
+@query("git_remotes", "SELECT event_id AS id, 'https://h/' || event_id || '.git' AS remote FROM events")
+def _(spark, sf):
+    text = F.concat(F.lit('[remote "origin"]\n\turl = https://h/'), F.col("event_id").cast("string"), F.lit(".git\n\tfetch = +refs\n\turl = no\n"))
+    remote = F.regexp_extract(text, r"(?m)^\s*url = (.*)$", 1)
+    return fx.table(spark, sf, "events").select(F.col("event_id").alias("id"), remote.alias("remote"))
+
+
+@query("known_values", "SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'trash' ELSE 'normal' END AS priority FROM events")
+def _(spark, sf):
+    value = F.when(F.col("event_id") % 3 == 0, "TRASH").when(F.col("event_id") % 3 == 1, "no such value")
+    return fx.table(spark, sf, "events").select(F.col("event_id").alias("id"), schema.known_value(value, "priority", "normal").alias("priority"))
+
+
+@query("timestamps_parsed", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 < 2 THEN o_orderdate END AS created_at FROM orders")
+def _(spark, sf):
+    o = fx.table(spark, sf, "orders")
+    k = F.col("o_orderkey") % 3
+    text = F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).when(k == 1, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise("no time")
+    return o.select(F.col("o_orderkey").alias("id"), formats.parse_timestamp(text).alias("created_at"))
+
+
+@query("verify_by_length", f"WITH {fx.FILES_SQL} SELECT id, CASE WHEN id % 2 = 0 THEN md5_hash = md5_hash ELSE id % 5 <> 0 END AS same FROM f")
+def _(spark, sf):
+    files = fx.files(spark, sf)
+    expected = F.when(F.col("id") % 2 == 0, F.upper("md5_hash")).when(F.col("id") % 5 == 0, F.repeat(F.lit("0"), F.lit(64))).otherwise(F.col("blake3_hash"))
+    return files.select("id", hashing.verify(expected, F.col("md5_hash"), F.col("blake3_hash")).alias("same"))
+
+
+@query("blake3_hash")
+def _(spark, sf):
+    """BLAKE3 has no SQL; tests hold it against published vectors."""
+    return fx.table(spark, sf, "benchmark").select("item_id", hashing.content_hash(F.col("text"), "blake3").alias("blake3_hash"))
+
+
+@query("fs_scan")
+def _(spark, sf):
+    """The tables' own folder as a tree."""
+    return fs.files_of(fs.entries(spark, sf), 1).select("id", "path", "filename", "extension", "size_bytes")
+
+
+@query("fs_scan_counts")
+def _(spark, sf):
+    return stats.scan_counts(fs.entries(spark, sf))
