@@ -54,7 +54,7 @@ def text_report(drives: DataFrame, files: DataFrame, groups: DataFrame, plans: D
 
     def add(title: str, rows: DataFrame) -> None:
         out.append(f"{title}\n{'-' * len(title)}")
-        out += ["  ".join(f"{k}: {'-' if v is None else v}" for k, v in r.asDict().items()) for r in rows.collect()] or ["nothing"]
+        out.extend(["  ".join(f"{k}: {'-' if v is None else v}" for k, v in r.asDict().items()) for r in rows.collect()] or ["nothing"])
         out.append("")
 
     add("Drives", size(size(drive_report(drives, files), "total_bytes"), "wasted_bytes"))
