@@ -95,7 +95,8 @@ def schedule(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     laid = laid.withColumn("epoch", F.explode_outer(epochs))
     laid = laid.withColumn("a", F.col("epoch") * F.col("source_size") + F.col("start")).withColumn("z", F.least(F.col("a") + F.col("size"), F.col("quota")))
     blocks = F.when(F.col("z") > F.col("a"), F.sequence(F.expr(f"a div {block}"), F.expr(f"(z - 1) div {block}"))).otherwise(F.array().cast("array<long>"))
-    laid = laid.withColumn("block_no", F.explode_outer(blocks))
+    # documents that give nothing meet no slot; their numbers differ, so that those of a large source don't meet in one task
+    laid = laid.withColumn("block_no", F.explode_outer(blocks)).withColumn("block_no", F.coalesce("block_no", -1 - F.pmod(F.col("place"), F.lit(1_000_000))))
     met = laid.join(slots(goal, n_slots, block), ["s", "block_no"], "left")
     first, last = F.greatest("a", F.col("block_no") * block) - F.col("a"), F.least("z", (F.col("block_no") + 1) * block) - F.col("a")
     hit = F.col("position").isNotNull()
