@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import few, written
+
 PROFILE = 300
 #: Documents of a language that it is learned from, at most.
 TRAIN = 500
@@ -80,8 +82,8 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(doc_id).alias("h"), F.col(text).alias("text"))
     # ids are chosen first, so that no texts but those of the sample are moved
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = known.select("lang", "h").withColumn("r", first).where(F.col("r") <= TRAIN).select("lang", "h").distinct()
-    sample = known.join(chosen, ["lang", "h"], "left_semi").select("lang", "text")
+    chosen = written(known.select("lang", "h").withColumn("r", first).where(F.col("r") <= TRAIN).select("lang", "h").distinct(), "op3-sample")
+    sample = known.join(few(chosen), ["lang", "h"], "left_semi").select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("r") <= PROFILE)
     found: dict[str, list[int]] = {}
