@@ -224,7 +224,7 @@ def trie_links(nodes: DataFrame) -> DataFrame:
     turned = nodes.select("fp", F.explode(blocks).alias("x")).select("fp", "x.*")
     turned = turned.withColumn("key", F.when(F.col("offset") == 0, F.col("fp")).otherwise(F.expr("shiftleft(fp, offset) | shiftrightunsigned(fp, 64 - offset)")))
     turned = turned.select("r", "offset", "width", F.expr("shiftrightunsigned(key, 64 - width)").alias("p"), "key")
-    hot = written(turned.groupBy("r", "p").count().where(F.col("count") > LARGE).drop("count").coalesce(1), "op4-hot-units")
+    hot = written(turned.groupBy("r", "p").count().where(F.col("count") > LARGE).drop("count").repartition(1), "op4-hot-units")
     units = turned
     split = None
     if hot.limit(1).count():
