@@ -90,22 +90,25 @@ def _cuts(rows: DataFrame, node: Column, open_: dict[int, tuple[int, int]], exac
             inside = (F.col("node") == n) & (k >= F.lit(s["lo"])) & (k <= F.lit(s["hi"]))
             bin_ = F.expr(f"(k{s['d']} - {s['lo']}L) div {s['width']}L")
             bins = F.when(inside, bin_) if bins is None else bins.when(inside, bin_)
-        sums: dict[int, list[tuple[int, int]]] = {n: [] for n in state}
-        for r in at.withColumn("bin", bins).where("bin is not null").groupBy("node", "bin").agg(F.sum("size").alias("w")).collect():
-            sums[r["node"]].append((r["bin"], r["w"]))
+        key = None
+        for n, s in state.items():
+            key = F.when(F.col("node") == n, F.col(f"k{s['d']}")) if key is None else key.when(F.col("node") == n, F.col(f"k{s['d']}"))
+        sums: dict[int, list[tuple[int, int, int, int]]] = {n: [] for n in state}
+        binned = at.select("node", "size", bins.alias("bin"), key.alias("k")).where("bin is not null")
+        for r in binned.groupBy("node", "bin").agg(F.sum("size").alias("w"), F.min("k").alias("lo"), F.max("k").alias("hi")).collect():
+            sums[r["node"]].append((r["bin"], r["w"], r["lo"], r["hi"]))
         for n, s in list(state.items()):
             run = s["before"]
-            for b, w in sorted(sums[n]):
+            for _, w, lo, hi in sorted(sums[n]):
                 if run + w >= s["goal"]:
                     break
                 run += w
-            lo = s["lo"] + b * s["width"]
-            if w <= exact or s["width"] == 1:
+            if w <= exact or lo == hi:
                 near = run + w - s["goal"] <= s["goal"] - run
-                done[n] = (s["d"], lo + s["width"] - 1 if near else lo - 1)
+                done[n] = (s["d"], hi if near else lo - 1)
                 del state[n]
-            else:
-                s.update(lo=lo, hi=min(s["hi"], lo + s["width"] - 1), before=run)
+            else:  # what the bin really spans: empty stretches cost no rounds
+                s.update(lo=lo, hi=hi, before=run)
     return done
 
 
