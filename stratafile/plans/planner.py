@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError, InsufficientSpace, MigrationError
 from ..functions.formats import destination, preferred_hash, safe_write_bytes
+from ..operators.order import with_running
 from ..schema import conform
 
 TYPES = ("delete-trash", "dedup", "migrate", "offload")
@@ -21,9 +22,9 @@ class Plan:
     audit: DataFrame
 
 
-def ordered_steps(rows: DataFrame, order: list[str], name: str = "step_order") -> DataFrame:
-    """rows numbered from 0 by the given columns."""
-    return rows.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("int"))
+def ordered_steps(rows: DataFrame, key: str, name: str = "step_order") -> DataFrame:
+    """rows numbered from 0 by the key, a number."""
+    return with_running(rows, key, {name: F.lit(1)}).withColumn(name, (F.col(name) - 1).cast("int"))
 
 
 def _step(files: DataFrame, plan_id: int, **columns: Column) -> DataFrame:
@@ -33,7 +34,7 @@ def _step(files: DataFrame, plan_id: int, **columns: Column) -> DataFrame:
 
 def _finish(steps: DataFrame, plan_id: int) -> DataFrame:
     """Steps by file id, numbered; a step's id is the plan's and its place."""
-    x = ordered_steps(steps, ["file_id"]) if "step_order" not in steps.columns else steps
+    x = ordered_steps(steps, "file_id") if "step_order" not in steps.columns else steps
     return conform(x.withColumn("id", F.lit(plan_id * 10_000_000_000) + F.col("step_order")), "migration_steps")
 
 
@@ -87,7 +88,7 @@ def offload(files: DataFrame, plan_id: int, now: Column, target_id: int, mount:
     check_space(files, free_bytes)
     plan = _plan(files, plan_id, now, f"Offload %d files to drive {target_id}", F.min_by("drive_id", "id"), target_id)
     hash_ = preferred_hash(F.col("blake3_hash"), F.col("md5_hash"))
-    rows = ordered_steps(_step(files, plan_id, pre_hash=hash_, to=destination(F.lit(mount), F.col("path"))), ["file_id"], "i")
+    rows = ordered_steps(_step(files, plan_id, pre_hash=hash_, to=destination(F.lit(mount), F.col("path"))), "file_id", "i")
     pair = F.array(F.struct(F.lit("copy").alias("action"), F.col("to").alias("dest_path"), F.lit(target_id).cast("long").alias("dest_drive_id")), F.struct(F.lit("delete").alias("action"), F.lit(None).cast("string").alias("dest_path"), F.lit(None).cast("long").alias("dest_drive_id")))
     steps = rows.select("*", F.posexplode(pair).alias("k", "x")).withColumn("step_order", F.col("i") * 2 + F.col("k")).select("*", "x.*")
     return Plan(plan, _finish(steps, plan_id), _audit(plan, now, "Offload plan"))
@@ -109,11 +110,9 @@ def fits(free: Column, available: Column, need: Column) -> Column:
     return need <= safe_write_bytes(free, available)
 
 
-def batch_prefix(files: DataFrame, max_bytes: int, order: list[str] | None = None) -> DataFrame:
-    """The files, in order, until the first that would take the sum over max_bytes. Only files that fit alone can be in it, and sizes are never negative,
-    so the running sum is compared once."""
-    run = F.sum("size_bytes").over(Window.orderBy(*(order or ["id"])).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return files.withColumn("running_bytes", run).where(F.col("running_bytes") <= max_bytes)
+def batch_prefix(files: DataFrame, max_bytes: int, key: str = "id") -> DataFrame:
+    """The files, by a numeric key, until the first that would take the sum over max_bytes. Sizes are never negative, so the running sum only grows."""
+    return with_running(files, key, {"running_bytes": F.col("size_bytes")}).where(F.col("running_bytes") <= max_bytes)
 
 
 def run_budget(plans: DataFrame, max_bytes: int) -> DataFrame:

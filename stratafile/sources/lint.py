@@ -18,10 +18,11 @@ def parse(lines: DataFrame, value: str = "value", lenient: bool = True) -> DataF
     """lines (value) as typed lints. Blank lines and comments (//) are skipped, and lines that aren't an object with type, path and size are dropped.
 
     lenient: lines of an array ([ and , before, , and ] behind an object) count as objects."""
-    text = F.trim(F.regexp_replace(F.col(value), r"^\s+|\s+$", ""))
-    text = F.regexp_replace(F.regexp_replace(text, r"^[\[,\s]+", ""), r"[\],\s]+$", "") if lenient else text
-    kept = lines.select(text.alias("_t")).where((F.col("_t") != "") & ~F.col("_t").startswith("//") & F.col("_t").startswith("{") & F.col("_t").endswith("}"))
-    parsed = kept.select(F.from_json("_t", SCHEMA).alias("x")).select("x.*").where("type is not null and path is not null and size is not null")
+    text = F.regexp_replace(F.col(value), r"^\s+|\s+$", "")
+    text = F.regexp_replace(text, r"^[\[,\s]+|[\],\s]+$", "") if lenient else text
+    kept = lines.select(text.alias("_t")).where(F.rlike("_t", F.lit(r"(?s)^\{.*\}$")))
+    # inline is a generator: conditions on its columns stay above it, so that each line is parsed once
+    parsed = kept.select(F.inline(F.array(F.from_json("_t", SCHEMA)))).where("type is not null and path is not null and size is not null")
     return parsed.withColumn("type", known_type(F.col("type"))).withColumn("is_original", F.coalesce("is_original", F.lit(False)))
 
 

@@ -231,3 +231,14 @@ def test_schema_checks_and_statistics(spark):
     assert got == {("unique", "files", "drive_id,path"): 1, ("reference", "files", "drive_id"): 1, ("value", "files", "status"): 1}
     v = spark.createDataFrame([("a", "A", None, True), ("a", "b", None, True), ("a", None, "io", True), ("a", None, None, False), (None, None, None, True)], "expected string, actual string, error string, exists boolean")
     assert {r.outcome: r.files for r in stats.verify_outcomes(v).collect()} == {"verified": 1, "mismatch": 1, "error": 1, "missing": 1, "unhashed": 1}
+
+
+def test_numbers_and_sums_in_pieces(spark, monkeypatch):
+    from stratafile.operators import order
+
+    rows = spark.range(1000).select(F.expr("id * 7919 % 1000").alias("id"), F.expr("id % 13").alias("size_bytes")).repartition(7)
+    whole = {tuple(r) for r in order.with_running(rows, "id", {"n": F.lit(1), "b": F.col("size_bytes")}).select("id", "n", "b").collect()}
+    monkeypatch.setattr(order, "ONE_TASK", 90)
+    pieces = order.with_running(rows, "id", {"n": F.lit(1), "b": F.col("size_bytes")}).select("id", "n", "b")
+    assert {tuple(r) for r in pieces.collect()} == whole and {r[0] + 1 == r[1] for r in whole} == {True}
+    assert ids(planner.batch_prefix(rows, 600)) == sorted(r[0] for r in whole if r[2] <= 600)
