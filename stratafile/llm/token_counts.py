@@ -28,8 +28,8 @@ from .common import BROADCAST_IDS, normal_spaces, scratch, written
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 #: Python splits at these, the tokenizers don't.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
-#: Pieces of text whose counts a worker remembers; it starts anew when they are reached.
-REMEMBERED = 400_000
+#: Pieces of text whose counts a worker remembers, twice: when they are reached they become the old ones, from which those still in use are taken over.
+REMEMBERED = 500_000
 
 
 def tokenizer_version(path: str) -> str:
@@ -56,7 +56,7 @@ class Counter:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.pieces, self.seen = drops_white_space(path), {}
+        self.pieces, self.seen, self.old = drops_white_space(path), {}, {}
         if path.endswith(".json"):
             from tokenizers import Tokenizer
 
@@ -75,22 +75,32 @@ class Counter:
     def __call__(self, texts: list[str]) -> list[int]:
         if not self.pieces:
             return self.encode(texts)
-        seen, out = self.seen, []
+        out = []
         for text in texts:
             if NOT_SPACE.search(text):
                 out += self.encode([text])
                 continue
             pieces = text.split()
             try:
-                out.append(sum(map(seen.__getitem__, pieces)))
+                out.append(sum(map(self.seen.__getitem__, pieces)))
             except KeyError:
-                if len(seen) > REMEMBERED:
-                    seen.clear()
-                new = [x for x in set(pieces) if x not in seen]
-                seen.update(zip(new, self.encode(new)))
-                out.append(sum(map(seen.__getitem__, pieces)))
+                self._learn(set(pieces))
+                out.append(sum(map(self.seen.__getitem__, pieces)))
         return out
 
+    def _learn(self, pieces: set[str]) -> None:
+        """Counts of the pieces, from the old ones where they are there."""
+        if len(self.seen) > REMEMBERED:
+            self.old, self.seen = self.seen, {}
+        seen, old, new = self.seen, self.old, []
+        for x in pieces:
+            if x not in seen:
+                if x in old:
+                    seen[x] = old[x]
+                else:
+                    new.append(x)
+        seen.update(zip(new, self.encode(new)))
+
 
 _counters: dict[str, Counter] = {}
 

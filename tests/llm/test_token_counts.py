@@ -40,3 +40,11 @@ def test_ids_beyond_the_broadcast_bound(spark, monkeypatch):
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, None), (4, "c")], "doc_id long, text string")
     assert sorted(tuple(r) for r in op.token_counts(docs, path).collect()) == [(1, 3, 2), (2, 3, 2), (3, 0, 0), (4, 1, 1)]
+
+
+def test_pieces_are_forgotten_and_taken_over(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [f"the cat {i} word{i % 7} other{i}" for i in range(200)]
+    monkeypatch.setattr(op, "REMEMBERED", 20)
+    count = op.Counter(path)
+    assert count(texts) == direct(path, texts) and len(count.seen) <= 30 and count.old
