@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +53,12 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
+def values(column: pa.Array, n: int = 256) -> Iterator:
+    """The column's values, a few at a time as Python objects, so that a worker doesn't hold a whole batch of texts twice."""
+    for i in range(0, len(column), n):
+        yield from column.slice(i, n).to_pylist()
+
+
 def normal_spaces(text: Column) -> Column:
     """Each run of ASCII white space as one space; null as the empty text."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")

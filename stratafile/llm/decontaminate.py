@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import values
+
 WORD = re.compile(r"\w+")
 SEED = 5
 THRESHOLD = 0.5
@@ -194,7 +196,7 @@ def _matcher(items, threshold):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Block(items, threshold)
         for batch in batches:
-            out = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in block.matches(t)]
+            out = [(d, *m) for d, t in zip(values(batch.column(0)), values(batch.column(1))) for m in block.matches(t)]
             tiles = [[{"item_start": q, "doc_start": p, "length": k} for q, p, k in r[5]] for r in out]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], pa.array(tiles, _TILES)], names=["doc_id", "item_id", "coverage", "matched_words", "item_words", "tiles"])
@@ -210,7 +212,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: st
             block = Block(items, threshold)
             for batch in batches:
                 at = batch.schema.get_field_index(text)
-                yield batch.filter(pa.array([not block.matches(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not block.matches(t) for t in values(batch.column(at))], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import few, written
+from .common import few, values, written
 
 PROFILE = 300
 #: Documents of a language that it is learned from, at most.
@@ -68,7 +68,7 @@ def ranked(codes: np.ndarray, counts: np.ndarray, k: int = PROFILE) -> np.ndarra
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         totals: dict[str, dict[int, int]] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for lang, text in zip(values(batch.column(0)), values(batch.column(1))):
             own = totals.setdefault(lang, {})
             codes, counts = grams(text)
             for c, n in zip(codes.tolist(), counts.tolist()):
@@ -120,7 +120,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = Ranker(profiles)
         for batch in batches:
-            said = [rank(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            said = [rank(x) for x in values(batch.column(batch.num_columns - 1))]
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
@@ -146,7 +146,7 @@ def known(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = Ranker(profiles)
         for batch in batches:
-            said = [rank(x) for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            said = [rank(x) for x in values(batch.column(batch.schema.get_field_index(text)))]
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in said], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

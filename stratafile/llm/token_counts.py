@@ -16,14 +16,15 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, normal_spaces, scratch, written
+from .common import BROADCAST_IDS, normal_spaces, scratch, values, written
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 #: Python splits at these, the tokenizers don't.
@@ -72,9 +73,9 @@ class Counter:
         else:
             raise ValueError(f"no library for {path}: it reads .json and .model")
 
-    def __call__(self, texts: list[str]) -> list[int]:
+    def __call__(self, texts: Iterable[str]) -> list[int]:
         if not self.pieces:
-            return self.encode(texts)
+            return [n for part in batched(texts, 256) for n in self.encode(list(part))]
         out = []
         for text in texts:
             if NOT_SPACE.search(text):
@@ -116,7 +117,7 @@ def _encoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count(batch.column(1).to_pylist()), pa.int64())], names=["digest", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count(values(batch.column(1))), pa.int64())], names=["digest", "n_tokens"])
 
     return run
 
