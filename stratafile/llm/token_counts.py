@@ -126,7 +126,9 @@ def read_cache(spark, path: str) -> DataFrame:
     """The stored counts; an empty table where nothing was stored yet."""
     try:
         return spark.read.schema(CACHE_SCHEMA).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], CACHE_SCHEMA)
 
 
