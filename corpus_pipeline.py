@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafile.llm import decontaminate, language_id, mixing, sharding, simhash
+from stratafile.llm import decontaminate, language_id, mixing, near_copies, sharding
 from stratafile.llm.common import table, written
 
 SHARDS = 40
@@ -18,8 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
-    return simhash.deduplicated(docs)
+    """Of each group of near duplicates (shingles of five words, similarity 0.8 or more) the document with the smallest doc_id stays."""
+    return near_copies.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -247,11 +247,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return fps.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that stay: of each component the document with the smallest doc_id, once. Rows without a doc_id stay.
+def keep_first(docs: DataFrame, components_: DataFrame, doc_id: str = "doc_id", name: str = "op4-found") -> DataFrame:
+    """The rows of docs, all columns, that stay: of each component (doc_id, component_id) the document with the smallest doc_id, once. Rows without a doc_id stay.
 
     The texts stay where they are if the ids to drop are few enough to be broadcast; else rows and ids meet by a shuffle."""
-    found = written(near_duplicates(docs, doc_id, text).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "op4-found")
+    found = written(components_.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), name)
     drop = few(found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)))
     kept = docs.join(drop, doc_id, "left_anti")
     again = found.where("n > 1 and doc_id = component_id").select(F.col("doc_id").alias(doc_id))
@@ -259,3 +259,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         again = few(again)
         kept = kept.join(again, doc_id, "left_anti").unionByName(kept.join(again, doc_id, "left_semi").dropDuplicates([doc_id]))
     return kept.select(*docs.columns)
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that stay by op4's fingerprints, see keep_first."""
+    return keep_first(docs, near_duplicates(docs, doc_id, text), doc_id)
