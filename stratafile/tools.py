@@ -22,8 +22,6 @@ TOOLS: dict[str, str] = {
     "plan_create": "plan_create", "plan_show": "plan_show", "policy_validate": "policy_validate", "policy_show": "policy_show", "policy_apply": "policy_apply", "plan_approve": "plan_approve", "migrate_execute": "migrate_execute",
     "rollback": "rollback", "verify": "verify", "report": "report",
 }
-#: Rows of an answer; a query of its own, or a limit argument, gives more or fewer.
-MOST_ROWS = 1000
 
 
 def arguments(method: Callable) -> dict:
@@ -34,9 +32,9 @@ def arguments(method: Callable) -> dict:
 
 
 def as_json(result: object) -> str:
-    """A tool's result as JSON: a frame as a list of its rows."""
+    """A tool's result as JSON: a frame as a list of all its rows, in its order."""
     if isinstance(result, DataFrame):
-        rows = result.select(F.to_json(F.struct("*")).alias("row")).limit(MOST_ROWS).collect() if result.columns else []
+        rows = result.select(F.to_json(F.struct("*")).alias("row")).toLocalIterator() if result.columns else []
         return "[" + ",\n".join(r["row"] for r in rows) + "]"
     return json.dumps(asdict(result) if is_dataclass(result) else result, default=str)
 

@@ -65,3 +65,14 @@ def test_command_line(spark, folder, capsys):
     assert "name='n'" in run("policy", "show", folder / "p.toml")[1] and run("run-policy", folder / "p.toml", "--dry-run") == (0, "plans []\n")
     (folder / "lint.json").write_text("")
     assert run("rmlint", "import", folder / "lint.json")[0] == 0 and run("drive", "offline", "two")[0] == 0 and run("drive", "remove", "two")[0] == 0
+
+
+def test_answers_are_whole_and_in_order(spark):
+    class Stub:
+        def query_files(self, limit=None):
+            rows = spark.range(2500).orderBy("id", ascending=False)
+            return rows if limit is None else rows.limit(limit)
+
+    ids = lambda args: [r["id"] for r in json.loads(tools.call(Stub(), "query_files", args))]
+    assert ids({}) == list(range(2499, -1, -1))
+    assert ids({"limit": 1200}) == list(range(2499, 1299, -1)) and ids({"limit": 3}) == [2499, 2498, 2497]
