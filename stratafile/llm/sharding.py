@@ -7,7 +7,7 @@ lighter than EXACT of a shard. Rows are never moved; a row's shard is an express
 
 Dimensions: source, language, length (log scale) and doc_id, each from 0 to 2^30 over the whole table; below them, in the low 32 bits, a
 hash that tells rows with equal values apart. Equal texts share the coordinates of the one with the smallest doc_id, so they stay together, but for
-groups of more than SPLIT of a shard's bytes: their rows are dealt singly, as no balance could hold otherwise.
+groups of more than SPLIT of a shard's bytes, whose rows are dealt singly. A cut goes to the nearer side of a group, so smaller ones move a shard by about SPLIT at most.
 
 Defined cases: a null text weighs 16 bytes and equals the empty text; null metadata count as the smallest value; repeated rows are rows of
 their own; an empty table gives an empty result; fewer rows than shards leave shards empty; other columns are not read."""
@@ -22,7 +22,7 @@ from .common import with_before, written
 OVERHEAD = 16
 BINS = 1024
 #: Parts of a shard's bytes: how exact a cut is, and from where on equal texts may part.
-EXACT, SPLIT = 0.0005, 0.01
+EXACT, SPLIT = 0.0005, 0.05
 DIMS = ("source", "lang", "length", "doc")
 SCALE = 2**30
 

@@ -37,3 +37,19 @@ def test_reruns_agree_and_small_tables(spark):
     assert op.shard(table(spark, rows).limit(0), 4).collect() == []
     assert len(op.shard(table(spark, rows[:2]), 40).collect()) == 2
     assert len(op.shard(table(spark, [rows[5]] * 20), 4).collect()) == 20
+
+
+def test_groups_below_the_tolerance_stay_whole(spark):
+    rnd = random.Random(7)
+    rows = [(i, "b" * 184 + f"{i:06}", f"s{rnd.randint(0, 9)}", "en") for i in range(4000)]
+    # groups of 2 to 4 % of a shard, all over the other rows
+    rows += [(10_000 + 10 * g + i, "c" * 184 + f"{g:06}", f"s{g % 10}", "en") for g in range(200) for i in range(rnd.randint(3, 6))]
+    got = op.shard(table(spark, rows), 30).collect()
+    bytes_, where = defaultdict(int), defaultdict(set)
+    for r in got:
+        bytes_[r.shard] += r.size
+        if r.doc_id >= 10_000:
+            where[r.doc_id // 10].add(r.shard)
+    mean = sum(bytes_.values()) / 30
+    assert len(where) == 200 and all(len(s) == 1 for s in where.values())
+    assert len(bytes_) == 30 and all(abs(b - mean) <= 0.06 * mean for b in bytes_.values()), bytes_
