@@ -8,7 +8,7 @@ SQL = {
         FROM d JOIN g ON d.s = g.s""",
     "op2_mixing": r"""
         WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                          substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS h FROM documents),
+                          substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || md5(coalesce(text, ''))), 1, 15) AS h FROM documents),
              s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
              r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s),
              w AS (SELECT *, CASE (rank - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM r),
@@ -18,11 +18,22 @@ SQL = {
              c AS (SELECT *, (total - cap_before) * w >= cap * w_from AS capped FROM o),
              u AS (SELECT *, total - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER () AS r, sum(CASE WHEN capped THEN 0 ELSE w END) OVER () AS u FROM c),
              t AS (SELECT *, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE CAST(w * r AS DOUBLE) / CAST(u AS DOUBLE) END AS target FROM u),
-             q AS (SELECT *, CAST(floor(target) AS BIGINT) AS quota FROM t),
-             p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d)
-        SELECT p.doc_id, p.size, q.source_size, q.target,
-               CAST(CASE WHEN q.source_size = 0 THEN 0 ELSE p.size * (q.quota // q.source_size) + greatest(0, least(p.size, q.quota % q.source_size - p.start)) END AS BIGINT) AS taken
-        FROM p JOIN q ON p.source IS NOT DISTINCT FROM q.source""",
+             q AS (SELECT *, CAST(floor(target) AS BIGINT) AS quota, greatest(1, (total + 131071) // 131072) AS block FROM t),
+             -- the schedule: golden-ratio points through the cumulative targets, and the rank of each slot in its source
+             e AS (SELECT source, CAST((CAST(sum(quota) OVER (ORDER BY rank) AS HUGEINT) * 4294967296) // CAST(sum(quota) OVER () AS HUGEINT) AS BIGINT) AS hi, rank FROM q WHERE quota > 0),
+             f AS (SELECT source, coalesce(lag(hi) OVER (ORDER BY rank), 0) AS lo, hi FROM e),
+             i AS (SELECT unnest(range(0, (SELECT max((total + block - 1) // block) FROM q))) AS position),
+             y AS (SELECT f.source, i.position, row_number() OVER (PARTITION BY f.source ORDER BY i.position) - 1 AS block_no
+                   FROM i JOIN f ON (i.position * 2654435769) % 4294967296 >= f.lo AND (i.position * 2654435769) % 4294967296 < f.hi),
+             g AS (SELECT source, count(*) AS drawn FROM y GROUP BY source),
+             k AS (SELECT q.source, q.source_size, q.target, q.block, least(coalesce(g.drawn, 0) * q.block, 3 * q.source_size) AS gives FROM q LEFT JOIN g ON q.source IS NOT DISTINCT FROM g.source),
+             p AS (SELECT row_number() OVER () AS n, doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d),
+             m AS (SELECT p.n, p.start + ep * k.source_size AS a, least(p.start + ep * k.source_size + p.size, k.gives) AS z, k.block, p.source
+                   FROM p JOIN k ON p.source IS NOT DISTINCT FROM k.source CROSS JOIN (SELECT unnest([0, 1, 2]) AS ep) WHERE p.size > 0),
+             b AS (SELECT m.n, sum(z - a) AS taken, sum((z - 1) // block - a // block + 1) AS n_slots, min(y.position) AS first_slot
+                   FROM m LEFT JOIN y ON m.source IS NOT DISTINCT FROM y.source AND m.a // m.block = y.block_no WHERE z > a GROUP BY m.n)
+        SELECT p.doc_id, p.size, k.source_size, k.target, CAST(coalesce(b.taken, 0) AS BIGINT) AS taken, b.first_slot, CAST(coalesce(b.n_slots, 0) AS BIGINT) AS n_slots
+        FROM p JOIN k ON p.source IS NOT DISTINCT FROM k.source LEFT JOIN b ON p.n = b.n""",
     "op1_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
              q AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS d, max(page_id) OVER (PARTITION BY b) AS last FROM p)

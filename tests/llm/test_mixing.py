@@ -1,8 +1,10 @@
+import bisect
+import hashlib
 import random
 import re
+from collections import Counter, defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 from stratafile.llm import mixing as op
 
@@ -21,25 +23,85 @@ def water(sizes):
         capped |= over
 
 
-@pytest.mark.parametrize("slots", [op.SLOTS, 50])
-def test_targets_and_words_taken(spark, slots):
-    rnd = random.Random(5)
-    rows = [(i, rnd.choice(["w ", "ab\t", "é\n"]) * rnd.choice([0, 1, 3, 40, 900]), rnd.choice(["b", "a", "Z", None, "é", "src10", "src9"] + ["hot"] * 6)) for i in range(400)]
-    rows += [(500, None, "a"), (501, "one two", "tiny"), (502, "", "none"), (3, rows[3][1], rows[3][2])]
-    docs = spark.createDataFrame([(*r, 0, "x") for r in rows], "doc_id long, text string, source string, size int, target string")
-    took = op.schedule(docs, n_slots=slots).groupBy("s", "place", "doc_id", "size", "source_size", "target", "source").agg(F.coalesce(F.sum(F.col("to_word") - F.col("from_word")), F.lit(0)).alias("taken")).collect()
+def brute(rows, slots):
+    """What each row gives, (id, size, source size, target, taken, first slot, stretches), by walking the schedule slot by slot and word by word."""
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
     names = sorted({r[2] for r in rows}, key=lambda s: (s is None, (s or "").encode()))
-    by = {s: sum(size(r[1]) for r in rows if r[2] == s) for s in names}
-    goal = dict(zip(names, water([by[s] for s in names])))
-    assert sorted(((r.doc_id, r.size, r.source) for r in took), key=str) == sorted(((r[0], size(r[1]), r[2]) for r in rows), key=str)
-    for s in names:
-        own = [r for r in took if r.source == s]
-        assert all(r.source_size == by[s] and r.target == pytest.approx(goal[s]) for r in own)
-        assert sum(r.taken for r in own) == int(own[0].target)
-        assert all(0 <= r.taken <= 3 * r.size for r in own)
-    again = {(r.doc_id, r.taken) for r in op.mix(docs).collect()}
-    assert again == {(r.doc_id, r.taken) for r in op.mix(docs.repartition(7)).collect()}
+    order = {s: sorted((r for r in rows if r[2] == s), key=lambda r: (md5(f"{'' if r[0] is None else r[0]} {md5(r[1] or '')}")[:15], r[0] or 0)) for s in names}
+    words = {s: [k for k, r in enumerate(order[s]) for _ in range(size(r[1]))] for s in names}
+    total = sum(map(len, words.values()))
+    goal = water([len(words[s]) for s in names])
+    block = max(1, -(-total // slots))
+    quota, edges, run = [int(g) for g in goal], [], 0
+    for q in quota:
+        run += q
+        edges.append(run * 2**32 // sum(quota))
+    taken, first, stretches = ({s: [z] * len(order[s]) for s in names} for z in (0, None, 0))
+    rank = dict.fromkeys(names, 0)
+    for i in range(-(-total // block)):
+        s = names[bisect.bisect_right(edges, i * op.GOLDEN % 2**32)]
+        at = range(rank[s] * block, min((rank[s] + 1) * block, 3 * len(words[s])))
+        rank[s] += 1
+        for k, n in Counter((words[s][w % len(words[s])], w // len(words[s])) for w in at).items():
+            taken[s][k[0]] += n
+            stretches[s][k[0]] += 1
+            first[s][k[0]] = i if first[s][k[0]] is None else first[s][k[0]]
+    return [(r[0], size(r[1]), len(words[s]), g, taken[s][k], first[s][k], stretches[s][k]) for s, g in zip(names, goal) for k, r in enumerate(order[s])]
+
+
+def some(rnd):
+    rows = [(i, rnd.choice(["w ", "ab\t", "é\n"]) * rnd.choice([0, 1, 3, 40, 900]), rnd.choice(["b", "a", "Z", None, "é", "src10", "src9"] + ["hot"] * 6)) for i in range(400)]
+    rows += [(500, None, "a"), (501, "one two", "tiny"), (502, "", "none"), (3, rows[3][1], rows[3][2]), (4, "another text", rows[4][2]), (4, "and one more text", rows[4][2])]
+    return rows + [(None, f"text {i} without id" * (i % 4), "hot") for i in range(40)] + [(7, "long " * 30_000, "b")]
+
+
+@pytest.mark.parametrize("slots", [op.SLOTS, 5000, 50])
+def test_against_the_schedule_walked_by_word(spark, slots):
+    rows = some(random.Random(5))
+    docs = spark.createDataFrame([(*r, 0, "x", 0, 0) for r in rows], "doc_id long, text string, source string, size int, target string, place int, s int")
+    want, got = brute(rows, slots), op.mix(docs, n_slots=slots).collect()
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken, r.first_slot, r.n_slots) for r in got), key=key) == sorted(((*r[:3], round(r[3], 6), *r[4:]) for r in want), key=key)
+    assert all(r.taken <= 3 * r.size for r in got)
+    took, goal = defaultdict(int), {}
+    for r in got:
+        took[r.source_size] += r.taken
+        goal[r.source_size] = r.target
+    block = max(1, -(-sum(r.size for r in got) // slots))
+    assert all(abs(took[s] - goal[s]) <= 4 * block + 1 for s in goal)
+
+
+def test_the_result_comes_from_the_points(spark, monkeypatch):
+    docs = spark.createDataFrame(some(random.Random(5)), "doc_id long, text string, source string")
+    real = sorted(map(str, op.mix(docs, n_slots=500).collect()))
+    monkeypatch.setattr(op, "GOLDEN", 0)  # all slots go to one source
+    got = op.mix(docs, n_slots=500).collect()
+    assert sorted(map(str, got)) != real and len({r.source_size for r in got if r.taken}) == 1
+
+
+def test_one_result_over_input_orders(spark):
+    rows = some(random.Random(9)) + [(7, f"the same id, text {i}", "hot") for i in range(9)]
+    results = []
+    for seed in range(5):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(seed + 1)
+        results.append(sorted(map(str, op.mix(docs, n_slots=700).collect())))
+    assert all(r == results[0] for r in results)
+
+
+def test_whole_documents_in_the_order_of_the_schedule(spark, monkeypatch):
+    monkeypatch.setattr(op, "SLOTS", 600)
+    rnd = random.Random(4)
+    rows = [(i, f"d{i} " + "w " * rnd.randint(0, 60), rnd.choice("aaab"), i, "t") for i in range(150)] + [(None, "none here", "b", 1, "t"), (3, "other text", "a", 2, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _times int, _mix_slot string")
+    got = op.mixed(docs)
+    assert got.columns == docs.columns
+    firsts = [(r.position, r.place, r.doc_id) for r in op.schedule(docs, n_slots=600).where("from_word = 0").collect()]
+    assert [r.doc_id for r in got.collect()] == [i for *_, i in sorted(firsts)]
+    twice = docs.unionByName(docs.where("doc_id < 20"))
+    want = Counter(r.doc_id for r in op.schedule(twice, n_slots=600).where("from_word = 0").collect())
+    assert Counter(r.doc_id for r in op.mixed(twice).collect()) == want
 
 
 def test_every_stretch_of_the_schedule_is_in_proportion(spark):
@@ -50,10 +112,8 @@ def test_every_stretch_of_the_schedule_is_in_proportion(spark):
         assert abs(a - 100 * 5 / 7) <= 4
 
 
-def test_empty_table_and_repeats(spark):
+def test_empty_table_and_texts_without_words(spark):
     docs = spark.createDataFrame([(1, "a b", "x"), (2, "c", "y"), (None, "d", "z"), (3, None, "z")], "doc_id long, text string, source string")
-    assert op.mix(docs.limit(0)).collect() == []
+    assert op.mix(docs.limit(0)).collect() == [] and op.mixed(docs.limit(0)).collect() == []
     assert op.mix(docs.where("doc_id = 3")).collect()[0].taken == 0
-    kept = op.mixed(docs).collect()
-    took = {r.doc_id: round(r.taken / r.size) if r.size else 0 for r in op.mix(docs).collect() if r.doc_id}
-    assert {i: sum(1 for r in kept if r.doc_id == i) for i in took} == took and sum(1 for r in kept if r.doc_id is None) == 1
+    assert all(r.text for r in op.mixed(docs).collect())
