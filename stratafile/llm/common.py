@@ -36,6 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir[0]}"
 
 
+def own_prefix(columns: list[str]) -> str:
+    """A prefix that no column has, for names that are added to a caller's table."""
+    prefix = "_own_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark)}/stratafile/{name}-{uuid.uuid4().hex}"

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, few, with_before, written
+from .common import WORD, few, own_prefix, with_before, written
 
 #: Slots of a schedule over all words, at most; a block has total / SLOTS words, rounded up.
 SLOTS = 1 << 17
@@ -117,21 +117,22 @@ def mix(docs: DataFrame, **columns) -> DataFrame:
     return took.agg(F.coalesce(F.sum(F.col("to_word") - F.col("from_word")), F.lit(0)).alias("taken"), F.min("position").alias("first_slot"), F.count("position").alias("n_slots")).drop("s", "place")
 
 
-def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", n_slots: int = SLOTS) -> DataFrame:
     """Whole documents in the order of the schedule, all columns of docs: a copy for each slot that holds a document's first word, sorted by slot, and within a slot as
     the source's documents follow each other. A source's words so come within one document of the schedule's.
 
     Rows that repeat id, text and source stand for each other: their copies are copies of one of them."""
-    names = docs.columns
-    first = schedule(docs, doc_id=doc_id, text=text, source=source).where("from_word = 0")
-    first = written(first.select(F.col("doc_id").alias("_mix_id"), F.col("digest").alias("_mix_digest"), F.col("s").alias("_mix_s"), F.col("position").alias("_mix_slot"), F.col("place").alias("_mix_place")), "op2-first")
-    key = ["_mix_id", "_mix_digest", "_mix_s"]
-    rows = docs.withColumns({"_mix_id": F.col(doc_id).cast("long"), "_mix_digest": F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))), "_mix_s": F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source)))})
-    same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in key]
-    again = written(first.groupBy(*key, "_mix_slot", "_mix_place").count().groupBy(*key).agg(F.countDistinct("_mix_place").alias("n")).where("n > 1").drop("n"), "op2-again")
+    names, p = docs.columns, own_prefix(docs.columns)
+    key, order = [f"{p}{c}" for c in ("id", "digest", "s")], [f"{p}{c}" for c in ("slot", "place")]
+    first = schedule(docs, doc_id, text, source, n_slots).where("from_word = 0")
+    first = written(first.select(*[F.col(c).alias(a) for c, a in zip(("doc_id", "digest", "s", "position", "place"), key + order)]), "op2-first")
+    rows = docs.withColumns(dict(zip(key, (F.col(doc_id).cast("long"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))), F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source)))))))
+    again = written(first.groupBy(*key).agg(F.countDistinct(order[1]).alias("n")).where("n > 1").drop("n"), "op2-again")
+
+    def meet(x: DataFrame, y: DataFrame, how: str) -> DataFrame:
+        return x.join(few(y), [x[c].eqNullSafe(y[c]) for c in key], how)
+
     if again.limit(1).count():
-        again = few(again)
-        rows = rows.join(again, same(rows, again), "left_anti").unionByName(rows.join(again, same(rows, again), "left_semi").dropDuplicates(key))
-    slot = few(first)
-    out = rows.join(slot, same(rows, slot), "inner").select(*[rows[c] for c in names], slot["_mix_slot"], slot["_mix_place"])
-    return out.repartitionByRange("_mix_slot", "_mix_place").sortWithinPartitions("_mix_slot", "_mix_place").select(*names)
+        rows = meet(rows, again, "left_anti").unionByName(meet(rows, again, "left_semi").dropDuplicates(key))
+    out = meet(rows, first, "inner").select(*[rows[c] for c in names], *[first[c] for c in order])
+    return out.repartitionByRange(*order).sortWithinPartitions(*order).select(*names)

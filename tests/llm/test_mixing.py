@@ -90,18 +90,17 @@ def test_one_result_over_input_orders(spark):
     assert all(r == results[0] for r in results)
 
 
-def test_whole_documents_in_the_order_of_the_schedule(spark, monkeypatch):
-    monkeypatch.setattr(op, "SLOTS", 600)
+def test_whole_documents_in_the_order_of_the_schedule(spark):
     rnd = random.Random(4)
     rows = [(i, f"d{i} " + "w " * rnd.randint(0, 60), rnd.choice("aaab"), i, "t") for i in range(150)] + [(None, "none here", "b", 1, "t"), (3, "other text", "a", 2, "t")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _times int, _mix_slot string")
-    got = op.mixed(docs)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _own_slot int, S string")
+    got = op.mixed(docs, n_slots=600)
     assert got.columns == docs.columns
     firsts = [(r.position, r.place, r.doc_id) for r in op.schedule(docs, n_slots=600).where("from_word = 0").collect()]
     assert [r.doc_id for r in got.collect()] == [i for *_, i in sorted(firsts)]
     twice = docs.unionByName(docs.where("doc_id < 20"))
     want = Counter(r.doc_id for r in op.schedule(twice, n_slots=600).where("from_word = 0").collect())
-    assert Counter(r.doc_id for r in op.mixed(twice).collect()) == want
+    assert Counter(r.doc_id for r in op.mixed(twice, n_slots=600).collect()) == want
 
 
 def test_every_stretch_of_the_schedule_is_in_proportion(spark):
