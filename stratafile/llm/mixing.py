@@ -93,6 +93,7 @@ def schedule(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     drawn = written(slots(goal, -(-total // block)), "op2-slots")
     gives = drawn.groupBy("s").agg(F.count("*").alias("drawn"))
     gives = goal.join(gives, "s", "left").select("s", "source_size", "target", F.least(F.coalesce("drawn", F.lit(0)) * block, F.col("source_size") * MAX_EPOCHS).alias("gives"))
+    gives = few(written(gives, "op2-gives"))
     placed = with_before(rows, ["s"], "h", ["doc_id", "size", "digest"], {"start": F.col("size"), "place": F.lit(1)}, n)
     laid = placed.join(gives, "s")
     none = F.lit(0).cast("long")
