@@ -3,17 +3,19 @@
 The page becomes a tree of elements by the usual rules for tags that close by themselves. Blocks of text that stand in paragraphs give points, one each, one for each
 comma and one for each 100 characters up to three, to their parent in full and to further ancestors in part; an element's points are
 discounted by its link density, and raised or lowered by what its name and its class or id say. The best container is
-kept, and with it those of its siblings whose own points, or length at low link density, show that they belong to it. Menus, headers of the page, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments are left out wherever they stand, but an element is never left out for its
-class if it holds most of the page's text.
+kept (of equal ones the first of the page), and with it those of its siblings whose own points, or length at low link density, show that they belong to it. Menus, headers of
+the page, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out wherever they stand and however long they are. Which elements with a bad class
+or id are that is told by structure, not by size: those around the article stay, all others go. The article is the first article or main element without a bad name of
+its own and not below one; if all of them are below one, the first; without any, the first h1 by the same rule. Where a page has no text outside badly named elements, they stay.
 
 Defined cases: null html, or a page without any text: the empty string; a page without paragraphs: the text of its body; markup that breaks off:
-what was read until then; unknown references stay as they are; repeated rows give equal texts; an empty table gives an empty result; pages of
-any length and depth are read whole (no recursion); other columns are not read."""
+what was read until then; quotes count only where an attribute's value begins with them; unknown references stay as they are; repeated rows give equal texts; an empty table gives an
+empty result; pages of any length and depth are read whole, in time that grows with their length (no recursion, no searches through open elements); other columns are not read."""
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import values
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=)*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 SPACES = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,27 +42,50 @@ BAD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|comm
 SCORED = frozenset("p pre td blockquote li dd".split())
 #: Points that a container starts with.
 START = {"article": 8.0, "main": 6.0, "section": 1.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ol": -3.0, "ul": -3.0, "dl": -3.0, "form": -3.0, "li": -3.0, "h1": -5.0, "h2": -5.0, "h3": -5.0}
-#: A class or id with a bad name doesn't drop an element that holds more than this part of the page's text.
-MOST = 0.5
-
 
 class Node:
-    __slots__ = ("name", "parent", "kids", "mark", "role", "score", "chars", "linked", "out")
+    __slots__ = ("name", "parent", "kids", "mark", "role", "score", "chars", "linked", "out", "inside", "bad", "below")
 
     def __init__(self, name, parent, mark="", role=""):
         self.name, self.parent, self.kids, self.mark, self.role = name, parent, [], mark, role
-        self.score, self.chars, self.linked, self.out = None, 0, 0, False
+        self.score, self.chars, self.linked = None, 0, 0
+        self.out = self.inside = self.bad = self.below = False
+
+
+class _Open:
+    """The open elements, from the root down, and where each name stands among them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at, self.blocks = [root], defaultdict(list), []
+
+    def last(self, name: str) -> int:
+        """The place of the innermost open element of that name, 0 if none is open."""
+        return self.at[name][-1] if self.at.get(name) else 0
+
+    def push(self, node: Node) -> None:
+        self.at[node.name].append(len(self.nodes))
+        if node.name in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, i: int) -> None:
+        """Closes the element at place i and all within it."""
+        while len(self.nodes) > i:
+            name = self.nodes.pop().name
+            self.at[name].pop()
+            if name in BLOCK:
+                self.blocks.pop()
 
 
 def parse(html: str) -> tuple[Node, list[Node]]:
     """The root, and all elements in page order; strings among the kids are text, references decoded."""
     root = Node("#root", None)
-    open_, every, at, n = [root], [], 0, len(html)
+    open_, every, at, n = _Open(root), [], 0, len(html)
     low = None
 
     def add(text):
         if text:
-            open_[-1].kids.append(unescape(text) if "&" in text else text)
+            open_.nodes[-1].kids.append(unescape(text) if "&" in text else text)
 
     while at < n:
         m = TOKEN.search(html, at)
@@ -75,33 +100,24 @@ def parse(html: str) -> tuple[Node, list[Node]]:
         name = name.lower()
         if m.group(1):
             if name == "br":
-                open_[-1].kids.append(" ")
+                open_.nodes[-1].kids.append(" ")
             elif name not in VOID:
-                for i in range(len(open_) - 1, 0, -1):
-                    if open_[i].name == name:
-                        del open_[i:]
-                        break
-                    if open_[i].name in ("table", "td", "th") and name not in BLOCK:
-                        break
+                i = open_.last(name)
+                # inline elements don't end through a table or a cell
+                if i and (name in BLOCK or i >= max(map(open_.last, ("table", "td", "th")))):
+                    open_.cut(i)
             continue
         if name in CLOSES:
             shut, stop = CLOSES[name]
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].name in stop:
-                    break
-                if open_[i].name in shut:
-                    del open_[i:]
-                    if name not in ("tr", "tbody", "tfoot", "thead"):
-                        break
-        if name in ENDS_P:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].name == "p":
-                    del open_[i:]
-                    break
-                if open_[i].name in BLOCK:
+            least = max(map(open_.last, stop))
+            while (i := max(map(open_.last, shut))) > least:
+                open_.cut(i)
+                if name not in ("tr", "tbody", "tfoot", "thead"):
                     break
+        if name in ENDS_P and open_.blocks and open_.nodes[open_.blocks[-1]].name == "p":
+            open_.cut(open_.blocks[-1])
         if name == "br":
-            open_[-1].kids.append(" ")
+            open_.nodes[-1].kids.append(" ")
             continue
         attributes = m.group(3)
         mark = role = ""
@@ -114,8 +130,8 @@ def parse(html: str) -> tuple[Node, list[Node]]:
                     role = v.lower()
                 elif a == "hidden" or a == "aria-hidden" and v == "true" or a == "style" and re.search(r"display\s*:\s*none", v, re.I):
                     role = "hidden"
-        node = Node(name, open_[-1], mark, role)
-        open_[-1].kids.append(node)
+        node = Node(name, open_.nodes[-1], mark, role)
+        open_.nodes[-1].kids.append(node)
         every.append(node)
         if name in RAW:
             if low is None:
@@ -128,7 +144,7 @@ def parse(html: str) -> tuple[Node, list[Node]]:
                 close = html.find(">", end)
                 at = n if close < 0 else close + 1
         elif name not in VOID and not (attributes.endswith("/") and name in ("path", "rect", "circle")):
-            open_.append(node)
+            open_.push(node)
     return root, every
 
 
@@ -148,31 +164,39 @@ def _measure(root: Node, every: list[Node]) -> None:
 
 
 def _leave_out(root: Node, every: list[Node]) -> None:
-    _article = next((x for x in every if x.name in ("article", "main")), None)
-    for x in every:
-        if x.name in DROPPED or x.role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "hidden"):
-            x.out = True
-        elif x.name == "header":
-            inside, up = False, x.parent
-            while up is not None:
-                inside = inside or up.name in ("article", "main", "section")
-                up = up.parent
-            x.out = not inside
-    _measure(root, every)
-    total = root.chars
+    """Marks what is no part of any main text, and with it all that stands below."""
+    for x in every:  # parents come before their children
+        up = x.parent
+        x.inside = up.inside or up.name in ("article", "main", "section")
+        x.out = up.out or x.name in DROPPED or x.role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "hidden") or x.name == "header" and not x.inside
+        x.bad = x.name not in ("body", "html") and bool(x.mark) and BAD.search(x.mark) is not None
+        x.below = up.below or up.bad
+    shown = [x for x in every if not x.out]
+    found = [x for x in shown if x.name in ("article", "main") and not x.bad] or [x for x in shown if x.name == "h1"]
+    first = next((x for x in found if not x.below), found[0] if found else None)
+    if not any(x.name in ("article", "main") and not x.bad for x in shown):
+        for x in shown:  # all articles have a bad name: it doesn't tell anything
+            x.bad = x.bad and x.name not in ("article", "main")
+    around, up = set(), first
+    while up is not None:
+        around.add(id(up))
+        up = up.parent
+    bad = [x for x in shown if x.bad and id(x) not in around]
+    for x in bad:
+        x.out = True
     for x in every:
-        if not x.out and x.mark and x.name not in ("body", "html", "article", "main") and BAD.search(x.mark) and x.chars <= MOST * total:
-            x.out = True
-    for x in [root, *every]:
-        x.chars = x.linked = 0
+        x.out = x.out or x.parent.out
     _measure(root, every)
+    if bad and not root.chars:
+        kept = {id(x) for x in shown}
+        for x in every:
+            x.out = id(x) not in kept
+        for x in [root, *every]:
+            x.chars = x.linked = 0
+        _measure(root, every)
 
 
 def _score(every: list[Node]) -> Node | None:
-    for x in every:
-        up = x.parent
-        if up is not None and up.out:
-            x.out = True
     for x in every:
         if x.out or x.name not in SCORED or not x.chars:
             continue

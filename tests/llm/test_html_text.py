@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 import pytest
@@ -23,6 +24,17 @@ CASES = {
     "cut off": ("<article><p>abc</p><p>de&am", "abc\nde&am"),
     "cut tag": ("<article><p>abc</p><p cla", "abc"),
     "bad nesting": ("<article><p>a</div></span>b</p></article></article>", "ab"),
+    "long comments below a short article": (f"<article><p>{P}</p></article><div class='comments'>{f'<p>{P} Reply.</p>' * 8}</div>", P),
+    "long comments inside the article": (f"<article><p>{P}</p><section class='comments'>{f'<p>{P} Reply.</p>' * 8}</section></article>", P),
+    "long comments without an article": (f"<div id=main><p>{P}</p></div><div id=comments>{f'<p>{P} Reply.</p>' * 8}</div>", P),
+    "comments that are articles": (f"<main><p>{P}</p></main><ol class=comment-list>{f'<li><article class=comment-body><p>{P}</p></article>' * 9}</ol>", P),
+    "badly named wrapper": (f"<div class='page sidebar-layout'><div class=ads>Buy</div><article><p>{P}</p></article></div><p>Stray, text</p>", P),
+    "badly named wrapper of a headline": (f"<div class='social page'><div><h1>Head</h1><p>{P}</p></div></div>", f"Head\n{P}"),
+    "badly named article": (f"<article class='post comments-open'><p>{P}</p></article><div class=comments><p>{P}</p></div>", P),
+    "quote in a bare value": (f"<article><p>{P} <a href=x's>link</a></p><p>It's next.</p></article>", f"{P} link\nIt's next."),
+    "quotes around tags": ("<article><p title='a > b' class=\"c>d\">text</p><p data-x = 'e>f'>more</p></article>", "text\nmore"),
+    "inline ends stay in their cell": ("<article><b>x<table><tr><td>cell</b> on<td>next</table></article>", "x\ncell on\nnext"),
+    "rows and cells close": ("<article><table><tr><td>a<td>b<tr><th>c<tbody><tr><td>d</table><dl><dt>e<dd>f<dt>g</dl></article>", "a\nb\nc\nd\ne\nf\ng"),
     "class that covers all": (f"<body class=comments><div class='post comments'><p>{P}</p></div></body>", P),
 }
 
@@ -38,6 +50,23 @@ def test_deep_and_long_pages():
     assert op.main_text("<article>" + f"<p>{P}</p>" * 5000 + "</article>") == "\n".join([P] * 5000)
 
 
+@pytest.mark.parametrize("hostile", ["<div>" * 100_000 + "</b>" * 100_000, "<b><table>" + "<div>" * 50_000 + "</b>" * 50_000, "<div>" * 50_000 + "<li></li>" * 50_000, "<b>" * 50_000 + "<p>" * 50_000, "<header>" * 50_000, "<a b='" * 50_000, "<!--" * 50_000 + "<x " * 50_000])
+def test_hostile_pages_take_time_in_proportion(hostile):
+    began = time.perf_counter()
+    op.main_text(hostile + "x")
+    assert time.perf_counter() - began < 4
+
+
+def test_pages_whose_article_is_a_plain_block(spark):
+    """Without an article element only the scores can tell the article: the same text must come."""
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        want = op.main_text(r.html)
+        for tag in ("<div>", "<section>"):
+            other = r.html.replace("<article>", tag).replace("</article>", tag.replace("<", "</"))
+            other = other.replace("<nav>", "<div><p><a href=x>One, two</a> <a href=y>three</a></p>").replace("</nav>", "</div>")
+            assert op.main_text(other) == want, r.page_id
+
+
 def test_all_pages_against_their_articles(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     html = {r.page_id: r.html for r in pages.collect()}
