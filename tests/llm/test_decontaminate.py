@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -73,3 +74,43 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     one, left = rows(), op.clean(docs, bench).count()
     monkeypatch.setattr(op, "BLOCK_BYTES", 3000)
     assert rows() == one and one and op.clean(docs, bench).count() == left == 1000 - len({r[0] for r in one})
+
+
+def test_matches_against_tiling_every_pair():
+    rnd = random.Random(12)
+    for _ in range(60):
+        kinds = rnd.choice([2, 4, 30])
+        word = lambda: f"w{rnd.randint(1, kinds)}"  # noqa: B023, E731
+        items = [(i, [word() for _ in range(rnd.choice([1, 2, 3, 4, 5, 6, 9, 20]))]) for i in range(8)]
+        block = op.Block([(i, " ".join(x)) for i, x in items])
+        for _ in range(6):
+            doc = [word() if rnd.random() < 0.8 else "other" for _ in range(rnd.randint(0, 40))]
+            for _, x in rnd.sample(items, 2):
+                doc[rnd.randint(0, len(doc)) :] += x[: rnd.randint(1, len(x))]
+            number = {w: n for n, w in enumerate(dict.fromkeys(w for _, x in items for w in x), 1)}
+            want = {}
+            for i, x in items:
+                tiles = slow_tile([number[w] for w in x], [number.get(w, 0) for w in doc], min(op.SEED, len(x)))
+                n = sum(t[2] for t in tiles)
+                if tiles and n >= op.THRESHOLD * len(x):
+                    want[i] = (n / len(x), n, len(x), tiles)
+            assert {m[0]: m[1:] for m in block.matches(" ".join(doc))} == want
+
+
+def test_short_unspaced_and_repeated_items(spark):
+    chinese, thai = "中国的首都是哪一个城市", "เมืองหลวงของประเทศไทย"
+    items = [(1, "What is two plus"), (2, chinese), (3, thai), (4, "yes"), (5, None), (6, "?!"), (7, "one two three four five six")] + [(100 + i, "a copy of the same seven words") for i in range(500)]
+    docs = {1: "so, what is TWO plus two?", 2: f"他问:{chinese}?对", 3: f"x {thai} y", 4: "what is two", 5: "say yes", 6: "?!", 7: "中国的城市", 8: "here: a copy of the same seven words, again", 9: "one two three four " * 20_000 + "five six"}
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in op.contaminated(table, bench).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (5, 4), (9, 7)} | {(8, 100 + i) for i in range(500)}
+    assert {r.doc_id for r in op.clean(table, bench).collect()} == {4, 6, 7}
+
+
+def test_long_repetitive_documents_take_time_in_proportion():
+    block = op.Block([(1, "la " * 40), (2, " ".join(f"w{i}" for i in range(30)))])
+    began = time.perf_counter()
+    assert [m[0] for m in block.matches("la " * 20_000)] == [1]
+    assert [m[0] for m in block.matches(" ".join(f"w{i % 30}" for i in range(100_000)))] == [2]
+    assert time.perf_counter() - began < 10
