@@ -56,9 +56,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def few(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if it has at most BROADCAST_IDS rows; written first, so that counting doesn't compute it twice."""
-    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+def few(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """df, marked for broadcast if it has at most `most` rows; written first, so that counting doesn't compute it twice."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def values(column: pa.Array, n: int = 256) -> Iterator:

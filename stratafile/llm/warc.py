@@ -4,17 +4,18 @@ Writing: one record for each row. Of records with equal payloads (SHA-1, SHA-256
 response, the others are revisits that refer to it and hold no payload. Spark's text writer makes the files: records end
 with the blank lines that WARC asks for, so the writer's line end is theirs.
 
-Reading: Spark's text reader splits files at the version line, so large files are read in parts by many tasks. A part between two version lines is a candidate
+Reading (WARC/1.0 and 1.1): Spark's text reader splits files at the version line's first bytes, so large files are read in parts by many tasks. A part that goes on like a version line is a candidate
 record: its task reads the head and emits (offset, successor), the successor being where the head and Content-Length say that the next
 record starts. Payloads can hold version lines too, even whole archives, so candidates prove nothing; a record is real only if the chain of
 successors from the start of its file reaches it. Runs of candidates whose successor is simply the next part are contracted where they
 were read; pointer jumping then goes over the runs, doubling its stride each round. What lies between a reached record and its successor is
-its payload, version lines included.
+its payload, version lines included. A file whose chain breaks off before its end, by a wrong length or bytes that are no record, is an error that says where; it is read up to there on demand.
 
 A part that holds its whole record has its payload hashed where it was read. Only files with a record whose payload holds a version line are read
 a second time, and then the parts of one record meet in a task.
 
-Defined cases: null html is an empty payload; a null url leaves the target out; rows that repeat an id write a record each; an empty table writes an empty
+Defined cases: null html is an empty payload; a null url leaves the target out; rows that repeat an id write a record each, a revisit where that row's own payload is that of a larger id; rows that share the
+largest id are responses each, and so are rows without an id; an empty table writes an empty
 folder and reads as an empty result; payloads of any length and content come back whole; other columns are not read."""
 
 from __future__ import annotations
@@ -23,11 +24,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_IDS, scratch, written
+from .common import BROADCAST_IDS, few, scratch, written
 
-MAGIC = "WARC/1.1\r\n"
+#: What version lines begin with, and how the versions that are read go on.
+MAGIC, VERSIONS = "WARC/1.", ("0\r\n", "1\r\n")
 END = "\r\n\r\n"
 MIN_REVISIT = 1000
+#: Files whose names the driver holds to choose what is read again.
+FEW_FILES = 10_000
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -41,17 +45,16 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("body"))
     size = F.octet_length("body").cast("long")
     raw = F.col("body").cast("binary")
-    digests = written(rows.where(size >= MIN_REVISIT).select("page_id", F.sha1(raw).alias("sha1"), F.xxhash64(F.sha2(raw, 256), size).alias("more")), "op1-digests")
+    more = F.when(size >= MIN_REVISIT, F.xxhash64(F.sha2(raw, 256), size))
+    digests = written(rows.where(size >= MIN_REVISIT).select("page_id", F.sha1(raw).alias("sha1"), more.alias("more")), "op1-digests")
     first = digests.groupBy("sha1", "more").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1")
-    revisits = digests.join(first, ["sha1", "more"]).where("page_id < response").select("page_id", "response").distinct()
-    revisits = written(revisits, "op1-revisits")
-    # few pages are revisits, as a rule: their ids are broadcast if they are few, else everything meets by page_id
-    revisits = F.broadcast(revisits) if revisits.count() <= BROADCAST_IDS // 2 else revisits
-    rows = rows.join(revisits, "page_id", "left").withColumn("response", F.when(size >= MIN_REVISIT, F.col("response")))
+    revisits = digests.join(first, ["sha1", "more"]).where("page_id < response").select("page_id", "more", "response").distinct()
+    # few pages are revisits, as a rule: their ids and digests are broadcast if they are few, else everything meets by them
+    rows = rows.withColumn("more", more).join(few(written(revisits, "op1-revisits"), BROADCAST_IDS // 3), ["page_id", "more"], "left")
     again = F.col("response").isNotNull()
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     head = F.concat(
-        F.lit(MAGIC), line("WARC-Type", F.when(again, "revisit").otherwise("response")), line("WARC-Record-ID", _record_id(F.col("page_id"))), line("WARC-Date", F.lit(DATE)),
+        F.lit(MAGIC + VERSIONS[-1]), line("WARC-Type", F.when(again, "revisit").otherwise("response")), line("WARC-Record-ID", _record_id(F.col("page_id"))), line("WARC-Date", F.lit(DATE)),
         F.coalesce(line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]+", " ")), F.lit("")), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.sha1(raw))),
         F.when(again, F.concat(line("WARC-Refers-To", _record_id(F.col("response"))), F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"), line("X-Payload-Length", size.cast("string")))).otherwise(""),
         F.lit("Content-Type: text/html; charset=utf-8\r\n"), line("Content-Length", F.when(again, F.lit("0")).otherwise(size.cast("string"))), F.lit("\r\n"),
@@ -79,7 +82,8 @@ def _parts(spark: SparkSession, path: str) -> DataFrame:
 
 def candidates(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
     """A row for each part between version lines: its length, what its head says, and whether its record fills it."""
-    parts = _parts(spark, path).withColumn("stop", F.position(F.lit(END.encode()), F.col("raw")).cast("long"))
+    version = F.substring("raw", F.lit(1), F.lit(len(VERSIONS[0]))).isin(*[F.lit(v.encode()) for v in VERSIONS])
+    parts = _parts(spark, path).withColumn("stop", F.when(version, F.position(F.lit(END.encode()), F.col("raw"))).otherwise(0).cast("long"))
     head = F.decode(F.substring("raw", F.lit(1), F.col("stop") + 1), "ISO-8859-1")
     parts = parts.withColumn("head", F.when(F.col("stop") > 0, head))
     content = _header(F.col("head"), "Content-Length").try_cast("long")
@@ -131,27 +135,50 @@ def reachable(links: DataFrame) -> DataFrame:
     return x.join(real, ["file", "run"], "left_semi").select("file", "offset", "succ")
 
 
-def read(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
-    """The real records below path: (file, offset, type, record_id, url, digest, refers_to, full, content, sha1), and the payload if asked for.
+def _owner(rows: DataFrame) -> DataFrame:
+    """rows with own, the offset of the last real record up to there: the last of the part's split, else of the splits before."""
+    real = F.when(F.col("real"), F.col("offset"))
+    ends = rows.groupBy("file", "split").agg(F.max(real).alias("last"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("file", "split", F.max("last").over(before).alias("carried"))
+    inside = Window.partitionBy("file", "split").orderBy("offset").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.join(ends, ["file", "split"]).withColumn("own", F.coalesce(F.max(real).over(inside), "carried")).drop("carried")
 
-    digest is what the head says, sha1 that of the payload as it was read; full is the length of a revisit's payload."""
-    m = len(MAGIC)
+
+def _chained(spark: SparkSession, path: str, payload: bool) -> DataFrame:
+    """All candidates with their offset and successor; real says that the chain reaches them."""
     parts = _offsets(written(candidates(spark, path, payload), "op1-parts"))
-    parts = parts.withColumn("succ", F.col("offset") + m + F.col("start") + F.col("content") + 4)
+    parts = parts.withColumn("succ", F.col("offset") + len(MAGIC) + F.col("start") + F.col("content") + 4)
     real = reachable(parts.select("file", "split", "offset", "succ")).select("file", "offset", F.lit(True).alias("real"))
-    rows = parts.join(real, ["file", "offset"], "left")
+    return parts.join(real, ["file", "offset"], "left")
+
+
+def breaks(rows: DataFrame) -> DataFrame:
+    """(file, reached, bytes) of the files whose chain breaks off before their end. rows: candidates with their chain, of files that have any."""
+    files = rows.groupBy("file").agg(F.coalesce(F.max(F.when(F.col("real"), F.coalesce("succ", "offset"))), F.lit(0)).alias("reached"), F.max(F.col("offset") + len(MAGIC) + F.col("len")).alias("bytes"))
+    return files.where(f"reached not between bytes and bytes + {len(END)}")  # the blank lines of the last record may be missing
+
+
+def read(spark: SparkSession, path: str, payload: bool = False, strict: bool = True) -> DataFrame:
+    """The real records below path: (file, offset, type, record_id, url, digest, refers_to, full, content, sha1), and the payload if asked for.
+
+    digest is what the head says, sha1 that of the payload as it was read; full is the length of a revisit's payload. A chain that breaks off is an error, or, if not
+    strict, the end of its file. Files without any version line hold no records."""
+    rows = _chained(spark, path, payload)
+    if strict and (bad := breaks(rows).orderBy("file").limit(3).collect()):
+        raise ValueError("chains of records break off: " + ", ".join(f"{r['file']} at {r['reached']} of {r['bytes']} bytes" for r in bad))
     fields = ["file", "offset", "type", "record_id", "url", "digest", "refers_to", "full", "content"]
     found = rows.where("real and whole").select(*fields, "sha1", *(["payload"] if payload else []))
     # records whose payload holds version lines: their parts, up to the next real record, are read again and joined
-    broken = written(rows.where("real and not whole").select(*fields, "start"), "op1-broken")
-    files = [r[0] for r in broken.select("file").distinct().collect()] if broken.limit(1).count() else []
-    if not files:
+    broken = written(rows.where("real and not whole and content is not null").select(*fields, "start"), "op1-broken")
+    files = written(broken.select("file").distinct(), "op1-files")
+    n = files.count()
+    if not n:
         return found
-    over = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    owned = rows.where(F.col("file").isin(files)).select("file", "offset", F.max(F.when(F.col("real"), F.col("offset"))).over(over).alias("own"))
-    owned = owned.join(broken.select("file", F.col("offset").alias("own")), ["file", "own"])
-    again = _offsets(_parts(spark, path).where(F.col("file").isin(files)))
-    pieces = again.select("file", "offset", F.col("raw").cast("string").alias("raw")).join(owned, ["file", "offset"])
+    # the names of a few files prune what is read; more files meet by a join
+    chosen = (lambda x: x.where(F.col("file").isin([r[0] for r in files.collect()]))) if n <= FEW_FILES else (lambda x: x.join(files, "file", "left_semi"))
+    owned = _owner(chosen(rows).select("file", "split", "offset", "real")).join(broken.select("file", F.col("offset").alias("own")), ["file", "own"])
+    pieces = _offsets(chosen(_parts(spark, path))).select("file", "offset", F.col("raw").cast("string").alias("raw")).join(owned.select("file", "offset", "own"), ["file", "offset"])
     glued = pieces.groupBy("file", "own").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "raw"))), lambda x: x["raw"]), MAGIC).cast("binary").alias("raw"))
     glued = broken.join(glued.withColumnRenamed("own", "offset"), ["file", "offset"]).withColumn("payload", F.substring("raw", (F.col("start") + 1).cast("int"), F.col("content").cast("int")))
     return found.unionByName(glued.select(*fields, F.sha1("payload").alias("sha1"), *(["payload"] if payload else [])))
