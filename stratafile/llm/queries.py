@@ -69,7 +69,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document is bad if it is toxic or of low quality; a page's document is the number in its path."""
     bad = F.greatest(F.col("toxic"), 1 - F.col("quality"))
     labels = table(spark, sf_dir, "labels").select("doc_id", bad.alias("bad"))
-    return filter_urls(table(spark, sf_dir, "pages"), labels, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    return filter_urls(table(spark, sf_dir, "pages"), labels, URL_RULES).withColumn("purity", F.round("purity", 6))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

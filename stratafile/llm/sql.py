@@ -1,5 +1,49 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+
+def _url_filter(depth: int = 6) -> str:
+    """The tree level by level: generalised from the top down, merged from the leaves up."""
+    steps = []
+    for d in range(1, depth + 1):
+        steps.append(f"""
+             k{d} AS MATERIALIZED (SELECT host, tpl, segs[{d}] AS seg, sum(n) AS k FROM t{d - 1} WHERE len(segs) >= {d} GROUP BY ALL),
+             w{d} AS (SELECT *, sum(k) OVER (PARTITION BY host, tpl) AS all_, count(*) OVER (PARTITION BY host, tpl) AS kinds FROM k{d}),
+             t{d} AS MATERIALIZED (SELECT t.host, t.segs, t.n, t.labelled, t.bad,
+                    CASE WHEN len(t.segs) < {d} THEN t.tpl ELSE list_append(t.tpl, CASE WHEN w.kinds > 20 AND w.k * 20 < w.all_ THEN '*' ELSE t.segs[{d}] END) END AS tpl
+                    FROM t{d - 1} t LEFT JOIN w{d} w ON t.host = w.host AND t.tpl = w.tpl AND t.segs[{d}] = w.seg)""")
+    steps.append(f"""
+             own AS MATERIALIZED (SELECT host, tpl AS node, CAST(sum(labelled) AS DOUBLE) AS labelled, CAST(sum(bad) AS DOUBLE) AS bad FROM t{depth} GROUP BY host, tpl)""")
+    for d in range(depth, 0, -1):
+        below = f" UNION ALL SELECT host, node[1:{d}] AS node, labelled, bad FROM m{d + 1} WHERE NOT differs" if d < depth else ""
+        steps.append(f"""
+             n{d} AS (SELECT host, node, sum(labelled) AS labelled, sum(bad) AS bad FROM (SELECT * FROM own WHERE len(node) = {d}{below}) GROUP BY host, node),
+             v{d} AS (SELECT *, bad / nullif(labelled, 0) AS p, sum(bad) OVER s / nullif(sum(labelled) OVER s, 0) AS q FROM n{d} WINDOW s AS (PARTITION BY host, node[1:{d - 1}])),
+             m{d} AS MATERIALIZED (SELECT host, node, labelled, bad, coalesce(pow(greatest(abs(p - q) - 0.5 / labelled, 0), 2) * labelled > 3.8416::DOUBLE * q * (1 - q), false) AS differs FROM v{d})""")
+    alone = "".join(f" UNION ALL SELECT host, node, labelled, bad FROM m{d} WHERE differs" for d in range(1, depth + 1))
+    return rf"""
+        WITH a AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+             b AS (SELECT page_id, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+             g AS (SELECT *, coalesce(string_split(nullif(trim(regexp_replace(regexp_replace(path, '[0-9]+', '#', 'g'), '/+', '/', 'g'), '/'), ''), '/'), []) AS every,
+                          TRY_CAST(nullif(regexp_extract(path, '[0-9]+'), '') AS BIGINT) AS doc FROM b),
+             r AS (SELECT *, CASE WHEN len(every) > {depth} THEN list_append(every[1:{depth - 1}], array_to_string(every[{depth}:], '/')) ELSE every END AS segs FROM g),
+             l AS (SELECT doc_id, max(greatest(toxic, 1 - quality)) AS bad FROM labels GROUP BY doc_id HAVING max(greatest(toxic, 1 - quality)) IS NOT NULL),
+             t0 AS MATERIALIZED (SELECT host, segs, count(*) AS n, count(l.bad) AS labelled, coalesce(sum(l.bad), 0) AS bad, []::VARCHAR[] AS tpl FROM r LEFT JOIN l ON r.doc = l.doc_id GROUP BY host, segs),{",".join(steps)},
+             alone AS (SELECT host, [] AS node, sum(labelled) AS labelled, sum(bad) AS bad FROM (SELECT * FROM own WHERE len(node) = 0 UNION ALL SELECT host, [] AS node, labelled, bad FROM m1 WHERE NOT differs) GROUP BY host{alone}),
+             h AS (SELECT host, sum(labelled) AS h_n, sum(bad) AS h_bad FROM own GROUP BY host),
+             o AS (SELECT coalesce(sum(h_bad) / nullif(sum(h_n), 0), 0) AS share FROM h),
+             y AS (SELECT alone.host, node, (bad + 10::DOUBLE * ((h_bad + 10::DOUBLE * share) / (h_n + 10::DOUBLE))) / (labelled + 10::DOUBLE) AS purity FROM alone JOIN h ON alone.host = h.host CROSS JOIN o),
+             f AS (SELECT t.host, t.segs, len(t.tpl) AS own_depth, arg_max(y.node, len(y.node)) AS node, arg_max(y.purity, len(y.node)) AS purity
+                   FROM t{depth} t JOIN y ON t.host = y.host AND t.tpl[1:len(y.node)] = y.node GROUP BY ALL),
+             z AS (SELECT r.page_id, r.host, r.path, f.purity, '/' || array_to_string(f.node, '/') || CASE WHEN len(f.node) >= own_depth THEN '' WHEN len(f.node) = 0 THEN '**' ELSE '/**' END AS template,
+                          CASE WHEN (r.host = 'example.net' OR ends_with(r.host, '.example.net')) AND starts_with(r.path, '/en/') THEN 'example.net/en/'
+                               WHEN (r.host = 'example.com' OR ends_with(r.host, '.example.com')) AND starts_with(r.path, '/de/') THEN 'example.com/de/'
+                               WHEN (r.host = 'org' OR ends_with(r.host, '.org')) AND starts_with(r.path, '/fr/') THEN 'org/fr/'
+                               WHEN (r.host = 'net' OR ends_with(r.host, '.net')) AND starts_with(r.path, '/') THEN 'net/' END AS rule
+                   FROM r JOIN f ON r.host = f.host AND r.segs = f.segs)
+        SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END AS verdict, template, round(purity, 6) AS purity
+        FROM z"""
+
+
 SQL = {
     "op6_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS s FROM documents),
@@ -40,33 +84,5 @@ SQL = {
         SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to
         FROM q""",
-    "op9_url_filter": r"""
-        WITH a AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
-             b AS (SELECT page_id, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
-             r AS (SELECT *, trim(regexp_replace(regexp_replace(path, '[0-9]+', '#', 'g'), '/+', '/', 'g'), '/') AS lex,
-                          TRY_CAST(nullif(regexp_extract(path, '[0-9]+'), '') AS BIGINT) AS doc FROM b),
-             l AS (SELECT doc_id, max(greatest(toxic, 1 - quality)) AS bad FROM labels GROUP BY doc_id HAVING max(greatest(toxic, 1 - quality)) IS NOT NULL),
-             c AS (SELECT host, lex, count(*) AS n, count(l.bad) AS labelled, coalesce(sum(l.bad), 0) AS bad FROM r LEFT JOIN l ON r.doc = l.doc_id GROUP BY host, lex),
-             s AS (SELECT host, lex, n, unnest(string_split(lex, '/')) AS seg, unnest(range(len(string_split(lex, '/')))) AS depth FROM c),
-             u AS (SELECT *, array_to_string(list_slice(string_split(lex, '/'), 1, depth), '/') AS up FROM s),
-             k AS (SELECT host, depth, up, seg, sum(n) AS k FROM u GROUP BY ALL),
-             w AS (SELECT *, sum(k) OVER (PARTITION BY host, depth, up) AS all_, count(*) OVER (PARTITION BY host, depth, up) AS kinds FROM k),
-             t AS (SELECT u.host, u.lex, string_agg(CASE WHEN kinds > 20 AND k < 0.02 * all_ THEN '*' ELSE u.seg END, '/' ORDER BY u.depth) AS template
-                   FROM u JOIN w ON u.host = w.host AND u.depth = w.depth AND u.up = w.up AND u.seg = w.seg GROUP BY u.host, u.lex),
-             m AS (SELECT c.*, t.template, regexp_replace(t.template, '[^/]*$', '') || '**' AS parent FROM c JOIN t ON c.host = t.host AND c.lex = t.lex),
-             o AS (SELECT host, parent, template, CAST(sum(labelled) AS DOUBLE) AS labelled, CAST(sum(bad) AS DOUBLE) AS bad FROM m GROUP BY ALL),
-             p AS (SELECT *, sum(labelled) OVER (PARTITION BY host, parent) AS up_n, sum(bad) OVER (PARTITION BY host, parent) AS up_bad FROM o),
-             x AS (SELECT *, CASE WHEN labelled > 0 AND (bad / labelled - up_bad / up_n) * (bad / labelled - up_bad / up_n) * labelled > 1.96 * 1.96 * (up_bad / up_n) * (1 - up_bad / up_n)
-                                  THEN template ELSE parent END AS branch FROM p),
-             h AS (SELECT host, branch, sum(sum(bad)) OVER (PARTITION BY host) AS h_bad, sum(sum(labelled)) OVER (PARTITION BY host) AS h_n,
-                          sum(sum(bad)) OVER () AS t_bad, sum(sum(labelled)) OVER () AS t_n, sum(bad) AS b_bad, sum(labelled) AS b_n FROM x GROUP BY host, branch),
-             y AS (SELECT host, branch, (b_bad + 10.0 * ((h_bad + 10.0 * coalesce(t_bad / nullif(t_n, 0), 0)) / (h_n + 10.0))) / (b_n + 10.0) AS purity FROM h),
-             z AS (SELECT r.page_id, r.host, r.path, y.purity,
-                          CASE WHEN (r.host = 'example.net' OR ends_with(r.host, '.example.net')) AND starts_with(r.path, '/en/') THEN 'example.net/en/'
-                               WHEN (r.host = 'example.com' OR ends_with(r.host, '.example.com')) AND starts_with(r.path, '/de/') THEN 'example.com/de/'
-                               WHEN (r.host = 'org' OR ends_with(r.host, '.org')) AND starts_with(r.path, '/fr/') THEN 'org/fr/'
-                               WHEN (r.host = 'net' OR ends_with(r.host, '.net')) AND starts_with(r.path, '/') THEN 'net/' END AS rule
-                   FROM r JOIN m ON r.host = m.host AND r.lex = m.lex JOIN x ON m.host = x.host AND m.template = x.template JOIN y ON x.host = y.host AND x.branch = y.branch)
-        SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END AS verdict
-        FROM z""",
+    "op9_url_filter": _url_filter(),
 }

@@ -1,25 +1,32 @@
 """URL filters: host rules, and a path-template tree of each host judged by labels. DataFrame operations only.
 
-Tree: a path's segments are generalised, digits to # first; then, below each branch of a host, a segment that few urls share beside many others becomes
-the wildcard *. The urls of a host with the same generalised segments are a template. A template whose bad share among the labelled urls doesn't differ
-from its parent branch's (a two-sided test of Z standard errors) is merged with its like siblings into the parent's template with a wildcard end; one that differs
-stands alone. A template's purity is its bad share, smoothed by SMOOTH urls of the host's share, itself smoothed by the share of all; a template at
-REJECT or more is blocked.
+Tree: a path is split at /, its digits become #; what lies below DEPTH - 1 segments is one segment. From the top down, below each branch of already generalised segments, a segment that few urls
+share beside many others becomes the wildcard *; so a branch has few children, whatever the number of urls. The urls of a host with the same generalised segments are a template. From the
+leaves up, a branch whose bad share among the labelled urls doesn't differ from that of its siblings together with it (a two-sided test of Z2, with continuity correction) is merged
+into its parent, which is then tried in the same way; one that differs stands alone. A template belongs to the deepest branch that stands alone, or to its host's root. The purity of a branch is its bad share, smoothed by SMOOTH
+urls of the host's share, itself smoothed by the share of all; a branch at REJECT or more is blocked.
 
-All counting is done on distinct (host, generalised path) pairs after partial aggregation, so that no host's urls meet in one task.
+All counting is done on distinct (host, generalised path) pairs after partial aggregation, so that no host's urls meet in one task; labels meet only the urls that name a document.
 
-Defined cases: a null url, or one without ://, has an empty host and path and is judged by the share of all; repeated rows are judged alike; labels
-may repeat (the worst counts) or be null (no label); an empty table gives an empty result; other columns are not read."""
+Defined cases: a null url, or one without ://, has an empty host and path and is judged by the share of its like; an empty path belongs to the root; repeated rows are judged alike; labels
+may repeat (the worst counts) or be null (no label); branches without labels merge with their siblings; of two rules of the same length the later in code-point order wins; an empty table gives an
+empty result; urls of any length are read whole; other columns are not read."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import few, written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A branch with more than MANY different segments takes those with less than RARE of its urls as values of a variable.
-MANY, RARE = 20, 0.02
-Z, SMOOTH, REJECT = 1.96, 10.0, 0.5
+#: A branch with more than MANY different segments takes those with less than one in RARE of its urls as values of a variable.
+MANY, RARE = 20, 20
+#: Levels of a tree.
+DEPTH = 6
+#: Judged paths that are broadcast at once; more meet the urls by a shuffle.
+MOST_PATHS = 50_000
+Z2, SMOOTH, REJECT = 3.8416, 10.0, 0.5
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -40,40 +47,72 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return text, verdict
 
 
-def lexical(path: Column) -> Column:
-    """The path's segments with every run of digits as #, joined by /."""
-    return F.array_join(F.filter(F.split(F.regexp_replace(path, "[0-9]+", "#"), "/"), lambda x: x != ""), "/")
-
-
-def templates(urls: DataFrame) -> DataFrame:
-    """(host, lex, template) from (host, lex, n), distinct by host and lex: n urls have this host and lexically generalised path."""
-    steps = urls.select("host", "lex", "n", F.posexplode(F.split("lex", "/")).alias("depth", "seg")).withColumn("up", F.expr("substring_index(lex, '/', depth)"))
-    node = steps.groupBy("host", "depth", "up", "seg").agg(F.sum("n").alias("k"))
-    branch = node.groupBy("host", "depth", "up").agg(F.sum("k").alias("all_"), F.count("*").alias("kinds"))
-    rare = node.join(branch, ["host", "depth", "up"]).where((F.col("kinds") > MANY) & (F.col("k") < RARE * F.col("all_"))).select("host", "depth", "up", "seg", F.lit("*").alias("wild"))
-    shown = steps.join(rare, ["host", "depth", "up", "seg"], "left").select("host", "lex", "depth", F.coalesce("wild", "seg").alias("seg"))
-    return shown.groupBy("host", "lex").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "seg"))), lambda x: x["seg"]), "/").alias("template"))
+def segments(path: Column) -> Column:
+    """The path's segments, at most DEPTH, with every run of digits as #."""
+    all_ = F.filter(F.split(F.regexp_replace(path, "[0-9]+", "#"), "/"), lambda x: x != "")
+    rest = F.array(F.array_join(F.slice(all_, DEPTH, F.greatest(F.size(all_), F.lit(1))), "/"))
+    return F.when(F.size(all_) > DEPTH, F.concat(F.slice(all_, 1, DEPTH - 1), rest)).otherwise(all_)
+
+
+def templates(counts: DataFrame) -> DataFrame:
+    """counts (host, segs, n, ...), distinct by host and segs, with tpl: segs with wildcards. n urls have this host and these segments."""
+    deepest = counts.agg(F.max(F.size("segs"))).first()[0] or 0
+    x = counts.withColumn("tpl", F.array().cast("array<string>"))
+    for d in range(deepest):
+        x = x.withColumn("seg", F.get("segs", F.lit(d)))
+        node = x.where("seg is not null").groupBy("host", "tpl", "seg").agg(F.sum("n").alias("k"))
+        branch = node.groupBy("host", "tpl").agg(F.sum("k").alias("all_"), F.count("*").alias("kinds"))
+        rare = node.join(branch, ["host", "tpl"]).where((F.col("kinds") > MANY) & (F.col("k") * RARE < F.col("all_"))).select("host", "tpl", "seg", F.lit("*").alias("wild"))
+        x = x.join(rare, ["host", "tpl", "seg"], "left").withColumn("tpl", F.when(F.col("seg").isNull(), F.col("tpl")).otherwise(F.concat("tpl", F.array(F.coalesce("wild", "seg")))))
+        x = written(x.drop("seg", "wild"), "op9-templates")
+    return x
+
+
+def standing(named: DataFrame) -> DataFrame:
+    """(host, node, labelled, bad): the branches that stand alone, and the roots. named: (host, tpl, labelled, bad)."""
+    sums = [F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")]
+    own = written(named.groupBy("host", F.col("tpl").alias("node")).agg(*sums), "op9-leaves")
+    deepest = own.agg(F.max(F.size("node"))).first()[0] or 0
+    alone, up = [], None
+    for d in range(deepest, 0, -1):
+        at = own.where(F.size("node") == d)
+        at = at if up is None else at.unionByName(up).groupBy("host", "node").agg(*sums)
+        # a parent has at most max(MANY, RARE) children and a wildcard
+        over = Window.partitionBy("host", F.slice("node", 1, d - 1))
+        n = F.col("labelled").cast("double")
+        at = at.withColumns({"p": F.try_divide(F.col("bad").cast("double"), n), "q": F.try_divide(F.sum("bad").over(over).cast("double"), F.sum("labelled").over(over).cast("double"))})
+        gap = F.greatest(F.abs(F.col("p") - F.col("q")) - F.try_divide(F.lit(0.5), n), F.lit(0.0))
+        at = written(at.withColumn("differs", F.coalesce(gap * gap * n > F.lit(Z2) * F.col("q") * (1 - F.col("q")), F.lit(False))), "op9-level")
+        alone.append(at.where("differs").select("host", "node", "labelled", "bad"))
+        up = at.where("not differs").groupBy("host", F.slice("node", 1, d - 1).alias("node")).agg(*sums)
+    root = own.where(F.size("node") == 0)
+    out = root if up is None else root.unionByName(up).groupBy("host", "node").agg(*sums)
+    for x in alone:
+        out = out.unionByName(x)
+    return out
 
 
 def judged(counts: DataFrame) -> DataFrame:
-    """(host, lex, branch, purity) from (host, lex, n, labelled, bad)."""
-    named = counts.join(templates(counts.select("host", "lex", "n")), ["host", "lex"])
-    named = named.withColumn("parent", F.concat(F.regexp_replace("template", "[^/]*$", ""), F.lit("**")))
-    own = named.groupBy("host", "parent", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    up = own.groupBy("host", "parent").agg(F.sum("labelled").alias("up_n"), F.sum("bad").alias("up_bad"))
-    x = own.join(up, ["host", "parent"])
-    p, q = F.try_divide(F.col("bad").cast("double"), F.col("labelled").cast("double")), F.try_divide(F.col("up_bad").cast("double"), F.col("up_n").cast("double"))
-    # (p - q)^2 > z^2 q (1 - q) / n, both sides by n
-    differs = F.coalesce((p - q) * (p - q) * F.col("labelled") > F.lit(Z * Z) * q * (1 - q), F.lit(False))
-    x = x.withColumn("branch", F.when(differs, F.col("template")).otherwise(F.col("parent"))).select("host", "template", "branch", "labelled", "bad")
-    merged = x.groupBy("host", "branch").agg(F.sum("labelled").alias("b_n"), F.sum("bad").alias("b_bad"))
-    hosts = own.groupBy("host").agg(F.sum("labelled").alias("h_n"), F.sum("bad").alias("h_bad"))
-    total = hosts.agg(F.sum("h_n").alias("t_n"), F.sum("h_bad").alias("t_bad"))
-    share = F.coalesce(F.try_divide(F.col("t_bad").cast("double"), F.col("t_n").cast("double")), F.lit(0.0))
-    of_host = (F.col("h_bad") + SMOOTH * share) / (F.col("h_n") + SMOOTH)
-    purity = (F.col("b_bad") + SMOOTH * of_host) / (F.col("b_n") + SMOOTH)
-    scored = merged.join(hosts, "host").crossJoin(F.broadcast(total)).select("host", "branch", purity.alias("purity"))
-    return named.join(x.select("host", "template", "branch"), ["host", "template"]).join(scored, ["host", "branch"]).select("host", "lex", "branch", "purity")
+    """(host, segs, template, purity) from (host, segs, n, labelled, bad). template: the branch, ending in ** where the path's own template goes on below it."""
+    named = templates(counts)
+    alone = written(standing(named), "op9-branches")
+    hosts = counts.groupBy("host").agg(F.sum("labelled").alias("h_n"), F.sum("bad").alias("h_bad"))
+    t_n, t_bad = counts.agg(F.coalesce(F.sum("labelled"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
+    of_host = (F.col("h_bad") + F.lit(SMOOTH * (t_bad / t_n if t_n else 0.0))) / (F.col("h_n") + SMOOTH)
+    scored = alone.join(hosts, "host").select("host", "node", ((F.col("bad") + SMOOTH * of_host) / (F.col("labelled") + SMOOTH)).alias("purity"))
+    ways = named.select("host", "tpl").distinct().withColumn("node", F.explode(F.transform(F.sequence(F.lit(0), F.size("tpl")), lambda n: F.slice("tpl", F.lit(1), n))))
+    found = ways.join(scored, ["host", "node"]).groupBy("host", "tpl").agg(F.max_by(F.struct("node", "purity"), F.size("node")).alias("of"))
+    text = F.concat(F.lit("/"), F.array_join("of.node", "/"), F.when(F.size("of.node") < F.size("tpl"), F.when(F.size("of.node") == 0, "**").otherwise("/**")).otherwise(""))
+    return named.select("host", "segs", "tpl").join(found, ["host", "tpl"]).select("host", "segs", text.alias("template"), "of.purity")
+
+
+def counted(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(host, segs, n, labelled, bad) from rows (host, segs, doc) and labels (doc, bad)."""
+    every = rows.groupBy("host", "segs").agg(F.count("*").alias("n"))
+    marked = rows.where("doc is not null").groupBy("host", "segs", "doc").agg(F.count("*").alias("k")).join(labels, "doc")
+    marked = marked.groupBy("host", "segs").agg(F.sum("k").alias("labelled"), F.sum(F.col("k") * F.col("bad")).alias("bad"))
+    zero = F.lit(0).cast("long")
+    return every.join(marked, ["host", "segs"], "left").withColumns({"labelled": F.coalesce("labelled", zero), "bad": F.coalesce(F.col("bad").cast("long"), zero)})
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], page_id: str = "page_id", url: str = "url", document: Column | None = None) -> DataFrame:
@@ -82,13 +121,12 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]
     labels: (doc_id, bad), bad 0, 1 or null. document: the doc_id behind a page; by default the first number in its path."""
     host, path = host_path(F.col(url))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), host.alias("host"), path.alias("path"), *([document.alias("doc")] if document is not None else []))
-    rows = rows.withColumn("lex", lexical(F.col("path")))
+    rows = rows.withColumn("segs", segments(F.col("path")))
     if document is None:
         rows = rows.withColumn("doc", F.regexp_extract("path", "[0-9]+", 0).try_cast("long"))
     labels = labels.where("bad is not null").groupBy(F.col("doc_id").alias("doc")).agg(F.max("bad").alias("bad"))
-    # counts: urls first, without labels; then the labelled ones, which meet their labels by document
-    counts = rows.join(labels, "doc", "left").groupBy("host", "lex").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
-    found = rows.join(judged(counts), ["host", "lex"])
+    found = judged(written(counted(rows, labels), "op9-counts"))
+    rows = rows.drop("doc").join(few(written(found, "op9-judged"), MOST_PATHS), ["host", "segs"])
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     verdict = F.coalesce(said, F.when(F.col("purity") >= REJECT, "block").otherwise("allow"))
-    return found.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), F.col("branch").alias("template"), "purity")
+    return rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "template", "purity")
