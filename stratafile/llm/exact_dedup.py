@@ -1,13 +1,13 @@
 """Exact dedup: a minimal perfect hash over the historical distinct digests.
 
-Historical rows are reduced to distinct digests with their winner. Digests fall into buckets of about KEYS_PER_BUCKET; each bucket gets
+Historical rows are reduced to distinct digests with their winner. Digests fall into buckets of about KEYS_PER_BUCKET, historical or fresh, whichever are more; each bucket gets
 its own minimal perfect hash, so that no build holds more than a bucket. A level is a bit array of twice the keys left; keys alone on
 their bit settle there, the others go on to the next level; a key's slot is the rank of its bit. Slots hold the full
 digest and the locator of the winner. Fresh digests, already distinct, meet the bucket's hash in one task; a hit counts
 only if all bytes in the slot are equal. Nonmembers are grouped among themselves.
 
 Defined cases: a null text is the empty text; rows that repeat a doc_id are one document and share its verdict, each counted in
-group_size; a null doc_id never wins against a number, and its row is kept only if its whole group has none; an empty
+group_size; a null doc_id never wins against a number; of a group without any doc_id one row is kept, with a null keep_id; a history of any size, or none, does; texts of any length are hashed whole; an empty
 table gives an empty result; columns beside the id, the text and the history flag are not read."""
 
 from __future__ import annotations
@@ -118,17 +118,22 @@ def exact_dedup(docs: DataFrame, history: Column | None = None, doc_id: str = "d
     middle of the range of doc_id. Fresh rows stay only if no historical row has their text."""
     id_, flag = F.col(doc_id).cast("long"), history
     rows = docs.select(id_.alias("doc_id"), F.unhex(F.sha2(normal_spaces(F.col(text)), 256)).alias("digest"), *([F.coalesce(flag, F.lit(False)).alias("old")] if flag is not None else []))
-    rows = written(rows, "op6-digests")
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "op6-digests")
     if flag is None:
         low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
         middle = None if low is None else low + (high - low) // 2
         rows = rows.withColumn("old", F.coalesce(F.col("doc_id") <= F.lit(middle), F.lit(False)))
     distinct = rows.groupBy("digest", "old").agg(F.min("doc_id").alias("winner"), F.count("*").alias("n"))
-    # no more digests than rows, so buckets hold KEYS_PER_BUCKET at most on average
-    buckets = max(1, -(-rows.where("old").count() // KEYS_PER_BUCKET))
+    # no more digests than rows, so buckets hold KEYS_PER_BUCKET of either kind at most on average
+    n_old, n_fresh, n_null = rows.agg(F.count_if("old"), F.count_if(~F.col("old")), F.count_if(F.col("doc_id").isNull())).first()
+    buckets = max(1, -(-max(n_old, n_fresh) // KEYS_PER_BUCKET))
     index = build_index(distinct.where("old").drop("old"), buckets)
     fresh = distinct.where("not old").drop("old").withColumn("bucket", _bucket(buckets))
     verdicts = index.groupBy("bucket").cogroup(fresh.groupBy("bucket")).applyInPandas(_look_up, FOUND_SCHEMA)
+    kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False))
+    if n_null:
+        nameless = rows.where("doc_id is null").groupBy("digest").agg(F.min("row").alias("stays"))
+        rows, kept = rows.join(nameless, "digest", "left"), kept | F.coalesce(F.col("keep_id").isNull() & (F.col("row") == F.col("stays")), F.lit(False))
     return rows.join(verdicts, "digest").select(
-        "doc_id", "keep_id", F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+        "doc_id", "keep_id", F.col("n").alias("group_size"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )

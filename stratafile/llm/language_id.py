@@ -5,11 +5,12 @@ A text's letters are lower-cased, whatever lies between them counts as one space
 PROFILE most frequent n-grams, of how far out of place each is there; one that the profile lacks counts PROFILE. The nearest language is the
 prediction, and the score is one minus the distance as a part of the greatest possible.
 
-Profiles are learned from at most TRAIN documents of each language (those with the smallest hash of doc_id), whole texts; n-grams are counted
+Profiles are learned from at most TRAIN documents of each language (those with the smallest hash of doc_id), whole texts; which these are is found among those below a bound on the hash that
+leaves about SPARE times as many of each language, so that no task sees more of a language, however large. n-grams are counted
 on the executors, and only the profiles, PROFILE n-grams a language, reach the driver.
 
 Defined cases: text null or without a letter: language und, score 0; nothing to learn from: und for all; equal distances: the first language
-in code-point order; repeated rows are predicted alike; an empty table gives an empty result; texts of any length are read whole; other columns are not read."""
+in code-point order; repeated rows are predicted alike; rows without a doc_id are predicted, not learned from; of rows that repeat a doc_id and language the least text is learned from; an empty table gives an empty result; texts of any length are read whole; other columns are not read."""
 
 from __future__ import annotations
 
@@ -25,7 +26,7 @@ from .common import few, values, written
 
 PROFILE = 300
 #: Documents of a language that it is learned from, at most.
-TRAIN = 500
+TRAIN, SPARE = 500, 8
 BITS = 21
 #: Below this score a text fits no learned language; prose scores 0.4 and more, random letters about 0.1.
 LEAST = 0.2
@@ -79,11 +80,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, list[int]]:
     """Profiles by language from the rows of docs that have both."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.xxhash64(doc_id).alias("h"), F.col(text).alias("text"))
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(lang).alias("lang"), F.shiftrightunsigned(F.xxhash64(doc_id), 1).alias("h"), F.col(text).alias("text"))
     # ids are chosen first, so that no texts but those of the sample are moved
+    sizes = written(known.groupBy("lang").agg(F.count("*").alias("all_")), "op3-sizes")
+    bound = F.lit(float(2**63)) * (F.lit(float(SPARE * TRAIN)) / F.col("all_"))
+    below = known.select("lang", "h").join(few(sizes), "lang").where(F.col("h").cast("double") <= bound).select("lang", "h")
+    below = written(below.distinct(), "op3-below")
+    # ids that repeat may leave too few below the bound
+    short = sizes.join(below.groupBy("lang").agg(F.count("*").alias("n")), "lang", "left").where((F.coalesce("n", F.lit(0)) < TRAIN) & (F.col("all_") > SPARE * TRAIN)).select("lang")
+    if short.limit(1).count():
+        below = below.unionByName(known.select("lang", "h").join(short, "lang", "left_semi")).distinct()
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = written(known.select("lang", "h").withColumn("r", first).where(F.col("r") <= TRAIN).select("lang", "h").distinct(), "op3-sample")
-    sample = known.join(few(chosen), ["lang", "h"], "left_semi").select("lang", "text")
+    chosen = written(below.withColumn("r", first).where(F.col("r") <= TRAIN).select("lang", "h"), "op3-sample")
+    sample = known.join(few(chosen), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("r") <= PROFILE)
     found: dict[str, list[int]] = {}

@@ -48,7 +48,8 @@ SQL = {
     "op6_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS s FROM documents),
              g AS (SELECT s, min(doc_id) AS keep_id, count(*) AS n FROM d GROUP BY s)
-        SELECT d.doc_id, g.keep_id, CAST(g.n AS BIGINT) AS group_size, d.doc_id = g.keep_id AS kept, d.s AS text_sha256
+        SELECT d.doc_id, g.keep_id, CAST(g.n AS BIGINT) AS group_size, 
+               CASE WHEN d.doc_id IS NOT NULL THEN d.doc_id = g.keep_id ELSE g.keep_id IS NULL AND row_number() OVER (PARTITION BY d.s, d.doc_id) = 1 END AS kept, d.s AS text_sha256
         FROM d JOIN g ON d.s = g.s""",
     "op2_mixing": r"""
         WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,

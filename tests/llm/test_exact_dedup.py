@@ -13,15 +13,16 @@ def expected(rows):
     groups = defaultdict(list)
     for i, t in rows:
         groups[norm(t)].append(i)
-    out = []
+    out, seen = [], set()
     for i, t in rows:
         ids = [x for x in groups[norm(t)] if x is not None]
         keep = min(ids) if ids else None
-        out.append((i, keep, len(groups[norm(t)]), i == keep, hashlib.sha256(norm(t).encode()).hexdigest()))
+        out.append((i, keep, len(groups[norm(t)]), i == keep if ids or norm(t) not in seen else False, hashlib.sha256(norm(t).encode()).hexdigest()))
+        seen.add(norm(t))
     return sorted(out, key=str)
 
 
-ROWS = [(1, "a b"), (2, "a\t\n b"), (3, "a  b "), (4, None), (5, ""), (6, " "), (7, "a b"), (8, "x" * 200_000), (9, "x" * 200_000), (None, "a b"), (None, "only null"), (7, "a b"), (10, "\xa0"), (11, "é"), (12, "é")]
+ROWS = [(1, "a b"), (2, "a\t\n b"), (3, "a  b "), (4, None), (5, ""), (6, " "), (7, "a b"), (8, "x" * 200_000), (9, "x" * 200_000), (None, "a b"), (None, "only null"), (None, "only  null"), (None, "only null"), (7, "a b"), (10, "\xa0"), (11, "é"), (12, "é")]
 
 
 def test_against_brute_force(spark, monkeypatch):
@@ -39,6 +40,17 @@ def test_any_history_and_empty_tables(spark):
     assert later[1].keep_id == 7 and not later[1].kept and later[7].kept  # history wins
 
 
+def test_buckets_follow_the_larger_side(spark, monkeypatch):
+    monkeypatch.setattr(op, "KEYS_PER_BUCKET", 10)
+    asked, build_index = [], op.build_index
+    monkeypatch.setattr(op, "build_index", lambda history, buckets: asked.append(buckets) or build_index(history, buckets))
+    docs = spark.createDataFrame([(i, f"text {i % 190}") for i in range(200)] + [(10**12, "far away")], "doc_id long, text string")
+    for history in (F.lit(False), F.lit(True), F.col("doc_id") == 5, None, F.lit(None).cast("boolean")):
+        got = op.exact_dedup(docs, history=history).collect()
+        assert len(got) == 201 and sum(r.kept for r in got) == 191
+    assert asked == [21, 21, 20, 20, 21]  # with the middle of the ids as history all but one row are historical
+
+
 def test_hash_is_minimal_and_perfect():
     for n in (0, 1, 2, 100, 5000):
         keys = [hashlib.sha256(str(i).encode()).digest() for i in range(n)]

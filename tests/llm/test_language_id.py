@@ -3,6 +3,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from stratafile.llm import language_id as op
 
@@ -72,3 +74,24 @@ def test_edge_rows(spark):
     profiles = op.learn(docs)
     kept = op.known(docs, profiles, least=0.0)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 2, 6, None, 8}
+
+
+@pytest.mark.parametrize("spare", [1, 3, 100])
+def test_learned_profiles_against_brute_force(spark, monkeypatch, spare):
+    monkeypatch.setattr(op, "TRAIN", 6)
+    monkeypatch.setattr(op, "SPARE", spare)
+    rnd = random.Random(2)
+    rows = [(i, "".join(rnd.choice("abc de") for _ in range(40)), rnd.choice(["x"] * 9 + ["y"])) for i in range(120)]
+    rows += [(5, "another text of five", rows[5][2]), (None, "no id", "x"), (200, None, "x"), (201, "no language", None)] + [(7, "many of one id", "z")] * 30 + [(300, "once", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("h")).collect()}
+    want = {}
+    for lang in "xyz":
+        own = {}
+        for i, t, of in rows:
+            if of == lang and i is not None and t is not None:
+                own[i] = min(t, own.get(i, t))
+        sample = [own[i] for i in sorted(own, key=hashes.get)[:6]]
+        grams = sum((slow_grams(t) for t in sample), Counter())
+        want[lang] = [c for _, c in sorted((-n, code(g)) for g, n in grams.items())][: op.PROFILE]
+    assert op.learn(docs) == want
