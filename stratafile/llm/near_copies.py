@@ -1,18 +1,23 @@
-"""Near copies: documents whose shingles of WORDS words agree to SIMILAR (Jaccard) or more, and their components.
+"""Near copies by SimHash: documents whose sets of shingles of WORDS words agree to SIMILAR (Jaccard) or more, and their components.
 
-Candidates are found by MinHash in BANDS bands of ROWS minima: a pair of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS, all but 6 in a
-million at 0.8 and more above it. Each candidate pair is then decided by its whole sets of shingles, as 64-bit hashes, so no pair below SIMILAR is linked.
+Two sets that agree to SIMILAR differ in each bit of a SimHash with a chance of at most FAR = acos(2 s / (1 + s)) / pi, 0.15 at 0.8: too many of 64 bits for one trie with a fixed budget. So a set gets
+a wide fingerprint, cut into tables of (prefix + PATH) bits of their own. In a table fingerprints with equal prefixes are a unit, and the binary trie of a unit's PATH bits
+is joined with itself: node pairs go down together, add an error where their branches differ, and are dropped beyond ERRORS (simhash.traverse). Pairs that are left are candidates if they differ in at most CHECK_ERRORS
+of CHECK further bits. There are as many tables as it takes for a pair at SIMILAR to be missed with a chance of MISSED; prefixes grow with the number of documents, so that units don't.
 
-Documents with the same set are one node. The nodes of a band are a unit; bands with the same nodes are checked once, and a unit of more than HELD
-shingles is split into blocks, each pair of which is a unit of its own, so that no task holds a large one. Pairs that are connected already
-are not compared, which keeps the components and is linear in a dense group; the components of all units follow by alternating stars.
+Candidates form components; their pairs are then decided by the whole sets of shingles, as 64-bit hashes, so no pair below SIMILAR is linked.
+Documents with the same set are one node. A unit of more than LARGE nodes, or a component of more than HELD shingles, is split into blocks, each pair of which is a
+unit of its own, so that no task holds a large one. Pairs that are connected already are not compared, which keeps the components and is linear in a dense group; the components of all units follow by alternating stars.
 
 Defined cases: words are lower-cased (A-Z) and parted by ASCII white space; fewer than WORDS of them are one shingle; null texts and those without words are
-copies of each other; repeated rows share a component; documents without an id link others and get their component; texts are read whole; other columns are not read."""
+copies of each other; repeated rows share a component; documents without an id link others and get their component; bits that are set in half of a set's shingles are 0; an empty table gives an empty result; texts are read
+whole; other columns are not read."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +26,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, few, values, written
-from .simhash import keep_first
+from .simhash import GATHER, keep_first, traverse
 
 WORDS, SIMILAR, SEED = 5, 0.8, 42
-BANDS, ROWS = 40, 6
-#: Shingles of a unit that are not split, and those whose minima are taken at once.
-HELD, CHUNK = 1_000_000, 2048
-_MIX = np.random.RandomState(SEED).randint(0, 2**32, (2, BANDS * ROWS), np.uint32)
+#: Bits of a table's trie and errors on the way down; bits beside the tables, and errors in them.
+PATH, ERRORS = 16, 2
+CHECK, CHECK_ERRORS = 112, 31
+#: The chance that a pair at SIMILAR is not found.
+MISSED = 0.001
+#: Nodes of a unit, on average and at most; shingles that a task compares at once; shingles whose bits are counted at once.
+USUAL, LARGE = 32_768, 100_000
+HELD, CHUNK = 1_000_000, 255
+
+
+@dataclass(frozen=True)
+class Layout:
+    """prefix bits, tables and the constants that spread a shingle's hash over the words of a fingerprint."""
+
+    prefix: int
+    tables: int
+
+    @property
+    def bits(self) -> int:
+        return self.tables * (self.prefix + PATH) + CHECK
+
+    def mixers(self) -> tuple[np.ndarray, np.ndarray]:
+        rnd = np.random.RandomState(SEED)
+        x = rnd.randint(0, 2**63, (2, -(-self.bits // 64)), np.uint64)
+        return x[0], x[1] | np.uint64(1)
+
+
+def found_with(prefix: int, similar: float = SIMILAR) -> float:
+    """The chance that one table finds a pair."""
+    far = math.acos(2 * similar / (1 + similar)) / math.pi
+    return (1 - far) ** prefix * sum(math.comb(PATH, e) * far**e * (1 - far) ** (PATH - e) for e in range(ERRORS + 1))
+
+
+def layout(documents: int, missed: float = MISSED) -> Layout:
+    prefix = max(2, math.ceil(math.log2(max(1, documents) / USUAL)))
+    return Layout(prefix, math.ceil(math.log(missed) / math.log(1 - found_with(prefix))))
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -41,14 +78,28 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.array([digest(whole[a:z], SEED) for a, z in zip((ends - sizes)[: n - words + 1].tolist(), ends[words - 1 :].tolist())], np.uint64))
 
 
-def bands(grams: np.ndarray) -> list[int]:
-    """A number for the minima of each band; none for an empty set."""
-    if not len(grams):
-        return []
-    x, least = (grams >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
-    for i in range(0, len(x), CHUNK):
-        np.minimum(least, ((x[i : i + CHUNK, None] ^ _MIX[0]) * (_MIX[1] | np.uint32(1))).min(0), out=least)
-    return [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, ROWS))]
+def fingerprint(grams: np.ndarray, of: Layout) -> np.ndarray:
+    """The bits of a set's fingerprint: 1 where over half of the shingles' hashes have it."""
+    flip, turn = of.mixers()
+    counts = np.zeros(64 * len(flip), np.int64)
+    for i in range(0, len(grams), CHUNK):
+        x = (grams[i : i + CHUNK, None] ^ flip) * turn
+        x ^= x >> np.uint64(32)
+        x *= turn
+        x ^= x >> np.uint64(29)
+        counts += np.unpackbits(x.view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+    return (2 * counts[: of.bits] > len(grams)).astype(np.uint8)
+
+
+def tables(bits: np.ndarray, of: Layout) -> tuple[np.ndarray, np.ndarray, int]:
+    """(units, keys, check): for each table its unit, and a key of the trie's path and 48 bits of the check; the other bits of the check."""
+    width = of.prefix + PATH
+    cut = bits[: of.tables * width].reshape(of.tables, width).astype(np.int64)
+    units = cut[:, : of.prefix] @ (1 << np.arange(of.prefix)[::-1]) + (np.arange(of.tables) << of.prefix)
+    check = np.packbits(bits[of.tables * width :]).tobytes()
+    low = int.from_bytes(check[:6], "big")
+    keys = ((cut[:, of.prefix :] @ (1 << np.arange(PATH)[::-1])).astype(np.uint64) << np.uint64(48)) | np.uint64(low)
+    return units, keys.view(np.int64), int.from_bytes(check[6:], "big", signed=True)
 
 
 def _node(grams: np.ndarray) -> int:
@@ -59,22 +110,26 @@ def _signed(numbers: list[int]) -> np.ndarray:
     return np.array(numbers, np.uint64).view(np.int64)
 
 
-def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, node, n, bands): node stands for the set of shingles, n is its size."""
+def signatures(docs: DataFrame, of: Layout, words: int = WORDS) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, node, n, units, keys, check): node stands for the set of shingles, n is its size; an empty set has no units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, found = [], [], []
+            nodes, sizes, units, keys, checks = [], [], [], [], []
             for x in values(batch.column(1)):
                 grams = shingles(x, words)
                 nodes.append(_node(grams))
                 sizes.append(len(grams))
-                found.append(_signed(bands(grams)))
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_signed(nodes)), pa.array(sizes, pa.int64()), lists], names=["doc_id", "node", "n", "bands"])
+                if len(grams):
+                    u, k, c = tables(fingerprint(grams, of), of)
+                    units.append(u)
+                    keys.append(k)
+                checks.append(c if len(grams) else 0)
+            ends = pa.array(np.cumsum([0, *(of.tables if n else 0 for n in sizes)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *x]))) for x in (units, keys)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_signed(nodes)), pa.array(sizes, pa.int64()), *lists, pa.array(checks, pa.int64())], names=["doc_id", "node", "n", "units", "keys", "check"])
 
-    return docs.mapInArrow(run, "doc_id long, node long, n long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, node long, n long, units array<long>, keys array<long>, check long")
 
 
 def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -142,37 +197,77 @@ def _checker(similar: float):
     return run
 
 
-def _units(nodes: DataFrame) -> DataFrame:
-    """(node, unit) of the units of more than one node."""
-    rows = nodes.select("node", "n", F.explode("bands").alias("band"))
-    all_ = rows.groupBy("band").agg(F.count("*").alias("nodes"), F.bit_xor(F.xxhash64("node")).alias("mixed"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.sum("n").alias("held"))
-    once = all_.where("nodes > 1").groupBy("nodes", "mixed", "lo", "hi", "held").agg(F.min("band").alias("band"))
-    once = written(once.select("band", F.ceil(F.col("held") / F.lit(HELD)).cast("int").alias("blocks")), "near-bands")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    out = rows.join(few(once), "band").select("node", "band", "blocks", own.alias("own"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    return out.where("blocks = 1 or own <> other").select("node", F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("unit"))
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(unit, key, check, node), a unit's rows together -> (a, b): a spanning forest of each unit's candidates."""
+    held: list[list[np.ndarray]] = []
+
+    def out(rows):
+        order = np.lexsort((rows[1].view(np.uint64), rows[0]))
+        unit, key, check, node = (x[order] for x in rows)
+        key, check = key.view(np.uint64), check.view(np.uint64)
+        cut = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+        end = np.append(cut[1:], len(unit))
+        low = np.uint64(2**48 - 1)
+        near = lambda i, j: np.bitwise_count((key[i] ^ key[j]) & low).astype(np.int64) + np.bitwise_count(check[i] ^ check[j]) <= CHECK_ERRORS
+        root = traverse(key, [(0, np.stack([cut, end, cut, end, np.zeros(len(cut), np.int64)], 1).astype(np.int64))], ERRORS, PATH, near)
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root[moved]])], names=["a", "b"])
+
+    for batch in batches:
+        held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
+        if sum(len(x[0]) for x in held) >= GATHER:
+            rows = [np.concatenate([x[i] for x in held]) for i in range(4)]
+            last = int(np.flatnonzero(rows[0] == rows[0][-1])[0])  # the last unit may go on
+            held = [[x[last:] for x in rows]]
+            if last:
+                yield out([x[:last] for x in rows])
+    if held and sum(len(x[0]) for x in held):
+        yield out([np.concatenate([x[i] for x in held]) for i in range(4)])
+
+
+def _in_blocks(rows: DataFrame, unit: str, sizes: DataFrame, most: int) -> DataFrame:
+    """rows (node, ..., unit), with units above `most` split into blocks by node: each pair of blocks is a unit. sizes: (unit, size)."""
+    hot = written(sizes.where(F.col("size") > most).select(unit, F.ceil(F.col("size") / F.lit(most / 2)).cast("int").alias("blocks")), "near-hot")
+    if not hot.limit(1).count():
+        return rows
+    x = rows.join(few(hot), unit, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    x = x.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    x = x.where("blocks = 1 or own <> other")
+    return x.withColumn(unit, F.when(F.col("blocks") == 1, F.col(unit)).otherwise(F.xxhash64(unit, F.least("own", "other"), F.greatest("own", "other")))).select(*rows.columns)
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(a, b): links of candidates among nodes (node, units, keys, check)."""
+    rows = nodes.select("node", "check", F.explode(F.arrays_zip("units", "keys")).alias("x")).select(F.col("x.units").alias("unit"), F.col("x.keys").alias("key"), "check", "node")
+    rows = _in_blocks(rows, "unit", rows.groupBy("unit").agg(F.count("*").alias("size")), LARGE)
+    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(_near, "a long, b long")
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, component_id), a row for each row of docs: component_id is the smallest doc_id that links of similar documents reach.
 
-    The bands are made for similarities of SIMILAR and more; below it candidates would be missed."""
+    The tables are made for similarities of SIMILAR and more; below it candidates would be missed."""
     if similar < SIMILAR:
         raise ValueError(f"similar must be {SIMILAR} at least")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = written(signatures(docs, words), "near-signatures")
-    nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "near-nodes")
-    units = written(_units(nodes), "near-units")
+    signed = written(signatures(docs, layout(docs.count()), words), "near-signatures")
+    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", "units", "keys", "check")])
+    nodes = written(nodes, "near-nodes")
+    found = components(candidates(nodes), "near-candidates")
+    units = written(found.join(nodes.select("node", "n"), "node").select("node", "n", F.col("root").alias("unit")), "near-units")
+    units = _in_blocks(units, "unit", units.groupBy("unit").agg(F.sum("n").alias("size")), HELD).select("node", "unit")
     # the texts of one document for each node are read again
-    firsts = written(nodes.join(units.select("node").distinct(), "node", "left_semi").select(F.col("first").alias("doc_id")).distinct(), "near-firsts")
+    firsts = written(nodes.join(found.select("node"), "node", "left_semi").select(F.col("first").alias("doc_id")).distinct(), "near-firsts")
     again = docs.join(few(firsts.where("doc_id is not null")), "doc_id", "left_semi")
     if firsts.where("doc_id is null").limit(1).count():
         again = again.unionByName(docs.where("doc_id is null"))
     pairs = sets(again, words).join(units, "node").select("unit", "node", "grams")
     roots = components(pairs.repartition("unit").sortWithinPartitions("unit").mapInArrow(_checker(similar), "a long, b long"), "near-links")
-    named = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = named.select("node", "root").join(least, "root").select("node", "component_id")
+    named = written(nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-named")
+    # most roots are their only node: only the others are summed up and met again
+    linked_ = named.where("root <> node").groupBy("root").agg(F.min("first").alias("low"))
+    low = linked_.join(named.select(F.col("node").alias("root"), F.col("first").alias("own")), "root").select("root", F.least("low", "own").alias("component_id"))
+    found = named.join(few(written(low, "near-roots")), "root", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
     return signed.select("doc_id", "node").join(found, "node").select("doc_id", "component_id")
 
 

@@ -16,7 +16,7 @@ component by the others of it; an empty table gives an empty result; texts are r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,11 +80,30 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def traverse(keys: np.ndarray, starts: list[tuple[int, np.ndarray]], budget: int = BUDGET) -> np.ndarray:
+def _dense(rows: np.ndarray, root: np.ndarray, near: Callable, link: Callable) -> np.ndarray:
+    """Links near rows, all pairs of them but those that are connected already: where all are near one of them, that is one comparison each. The new roots."""
+    while len(rows) > 1:
+        todo, rest = rows[:1], rows[1:]
+        while len(todo) and len(rest):
+            some = todo[: max(1, HELD // len(rest))]
+            todo = todo[len(some) :]
+            i, j = np.repeat(some, len(rest)), np.tile(rest, len(some))
+            new = root[i] != root[j]
+            i, j = i[new], j[new]
+            hit = near(i, j)
+            root = link(i[hit], j[hit])
+            joined = root[rest] == root[some[0]]
+            todo, rest = np.concatenate([todo, rest[joined]]), rest[~joined]
+        rows = rest
+    return root
+
+
+def traverse(keys: np.ndarray, starts: list[tuple[int, np.ndarray]], budget: int = BUDGET, depth: int = 64, near: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
     """The root of each key under the links that the node pairs lead to.
 
     keys: unsigned 64-bit, sorted within each node. starts: (level, pairs) with pairs of rows (lo, hi, lo2, hi2, errors): keys[lo:hi] share their
-    first `level` bits, so do keys[lo2:hi2], and those differ in `errors` bits; a pair of a node with itself stands for the pairs inside it."""
+    first `level` bits, so do keys[lo2:hi2], and those differ in `errors` bits; a pair of a node with itself stands for the pairs inside it. depth: only so many bits are a path of the
+    trie, and count. near: tells which rows of two lists are linked; by default those within the budget, and then only pairs that are within it on their path are asked."""
     n = len(keys)
     root = np.arange(n)
 
@@ -93,6 +112,10 @@ def traverse(keys: np.ndarray, starts: list[tuple[int, np.ndarray]], budget: int
         if len(a):
             a, b = root[a], root[b]
             root = _roots(n, a, b)[root]
+        return root
+
+    close = lambda i, j: np.bitwise_count((keys[i] ^ keys[j]) >> np.uint64(64 - depth)) <= budget
+    ask = close if near is None else lambda i, j: close(i, j) & near(i, j)
 
     ones: dict[int, np.ndarray] = {}
     todo = [(level, pairs) for level, pairs in starts if len(pairs)]
@@ -104,7 +127,7 @@ def traverse(keys: np.ndarray, starts: list[tuple[int, np.ndarray]], budget: int
         lo, hi, lo2, hi2, err = pairs.T
         same = lo == lo2
         # no further error can exceed the budget: all are linked
-        sure = err + (64 - level) <= budget
+        sure = err + (depth - level) <= budget if near is None else np.zeros(len(err), bool)
         if sure.any():
             for x, y in ((lo, hi), (lo2, hi2)):
                 size = (y - x)[sure]
@@ -117,9 +140,15 @@ def traverse(keys: np.ndarray, starts: list[tuple[int, np.ndarray]], budget: int
             at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             width = np.repeat(y - b, size)
             i, j = np.repeat(a, size) + at // width, np.repeat(b, size) + at % width
-            near = (i != j) & (np.bitwise_count(keys[i] ^ keys[j]) <= budget)
-            link(i[near], j[near])
+            hit = (i != j) & (root[i] != root[j])
+            i, j = i[hit], j[hit]
+            hit = ask(i, j)
+            link(i[hit], j[hit])
         go = ~sure & ~small
+        if level >= depth:  # the paths end: what hangs there is compared
+            for a, z, b, y in zip(lo[go].tolist(), hi[go].tolist(), lo2[go].tolist(), hi2[go].tolist()):
+                root = _dense(np.arange(a, z) if a == b else np.concatenate([np.arange(a, z), np.arange(b, y)]), root, ask, link)
+            continue
         if not go.any():
             continue
         lo, hi, lo2, hi2, err, same = lo[go], hi[go], lo2[go], hi2[go], err[go], same[go]
