@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,15 @@ class Catalogue:
         found = devices.discover_device(mount_path) if backend == "local" and mount_path else devices.Device(mount_path=mount_path)
         return self.store.add_drive(label=label, mount_path=mount_path, role=role, is_readonly=readonly, backend=backend, rclone_remote=rclone_remote, device_id=found.device_id, device_path=found.device_path, uuid=found.uuid, fs_type=found.fs_type, total_bytes=found.total_bytes)
 
+    def drive_refresh(self, label: str) -> None:
+        """Finds out anew what device or remote a known drive is, and how large."""
+        row = filters.drive_by_label(self.drives, label).first()
+        if row is None:
+            raise DriveNotFound(label)
+        found = devices.discover_remote(row["rclone_remote"]) if row["backend"] == "rclone" else devices.discover_device(row["mount_path"])
+        known = {c: getattr(found, c) for c in ("device_id", "device_path", "uuid", "fs_type", "total_bytes")}
+        self.store.change_drive(label, **{c: v for c, v in known.items() if v is not None})
+
     def drive_remove(self, label: str) -> None:
         self.store.remove_drive(label)
 
@@ -84,9 +95,20 @@ class Catalogue:
 
     def scan(self, drive_label: str | None = None, sub_path: str | None = None, tombstones: bool = False, **options) -> DataFrame:
         """Scans one drive, or all that are online; the counters."""
-        found, counters = fs.scan_drive(self.spark, self.drives, drive_label, sub_path, **options) if drive_label else fs.scan_all(self.spark, self.drives, **options)
+        path = f"{self.store.root}/scans/{uuid.uuid4().hex}"
+        kept = []
+
+        def keep(tree: DataFrame) -> DataFrame:
+            kept.append(f"{path}/{len(kept)}")
+            tree.write.parquet(kept[-1])
+            return self.spark.read.schema(tree.schema).parquet(kept[-1])
+
+        gone = self._drive(drive_label) if tombstones and drive_label and not sub_path else None
+        found, counters, *more = fs.scan_drive(self.spark, self.drives, drive_label, sub_path, keep, **options) if drive_label else fs.scan_all(self.spark, self.drives, keep, **options)
         rows = counters.collect()
-        self.store.upsert_files(found, self._drive(drive_label) if tombstones and drive_label and not sub_path else None)
+        self.store.upsert_files(found, gone, more[0] if more else None)
+        hadoop, at = self.store._fs(path)
+        hadoop.delete(at, True)
         scanned = [drive_label] if drive_label else [r["label"] for r in self.drives.where("is_online and mount_path is not null").collect()]
         self.store.update("drives", lambda d: set_where(d, F.col("label").isin(*scanned), scanned_at=self.now))
         return self.spark.createDataFrame(rows, counters.schema)
@@ -178,6 +200,12 @@ class Catalogue:
         open_ = F.col("category").isNull() & (F.col("status") == "indexed")
         self.store.write("files", rules.apply_review(x.withColumn("match", F.when(open_, F.col("match"))), decisions))
 
+    def decide_files(self, rule_set: list[rules.Rule], decisions: DataFrame) -> None:
+        """Writes decisions on single files of a review, (id, action, new_category, new_subcategory); files without one stay as they are."""
+        x = rules.classify(self.files, rule_set, self.now)
+        open_ = F.col("category").isNull() & (F.col("status") == "indexed")
+        self.store.write("files", rules.apply_file_review(x.withColumn("match", F.when(open_, F.col("match"))), decisions))
+
     # plans
 
     def _new_plan_id(self) -> int:
@@ -190,15 +218,18 @@ class Catalogue:
         self.store.append("audit_log", made.audit)
         return id_
 
-    def _target(self, label: str | None) -> tuple[int, str]:
+    def _target(self, label: str | None, check_space: bool = True) -> tuple[int, str, int | None]:
+        """(id, mount path, free bytes or null if they are not asked for) of a drive; paths on a remote begin at its root."""
         if label is None:
             raise ConfigError("a target drive is needed")
         row = filters.drive_by_label(self.drives, label).first()
         if row is None:
             raise DriveNotFound(label)
+        if row["backend"] == "rclone":
+            return row["id"], row["mount_path"] or "", devices.remote_free(row["rclone_remote"]) if check_space else None
         if not row["mount_path"]:
             raise ConfigError(f"drive {label} has no mount path")
-        return row["id"], row["mount_path"]
+        return row["id"], row["mount_path"], devices.free_space(row["mount_path"]).free_bytes if check_space else None
 
     def plan_create(self, phase: str, source_drive: str | None = None, target_drive: str | None = None, category_filter: str | None = None, duplicate_group: int | None = None, original_file: int | None = None, max_bytes: int | None = None, scope: policies.Scope | None = None, check_space: bool = True) -> int:
         """Makes a plan; its id. max_bytes: only the first files, by id, that stay within it."""
@@ -220,8 +251,7 @@ class Catalogue:
             raise MigrationError(f"no file has the category {category!r} there")
         if phase == "delete-trash":
             return self._keep(planner.delete_trash(rows, id_, self.now))
-        target, mount = self._target(target_drive)
-        free = devices.free_space(mount).free_bytes if check_space else None
+        target, mount, free = self._target(target_drive, check_space)
         return self._keep((planner.migrate if phase == "migrate" else planner.offload)(rows, id_, self.now, target, mount, free))
 
     def plan_list(self, status: str | None = None) -> DataFrame:

@@ -199,6 +199,15 @@ def apply_review(classified: DataFrame, decisions: DataFrame) -> DataFrame:
     return apply_matches(x)
 
 
+def apply_file_review(classified: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The files table after a review file by file. decisions (id, action, new_category, new_subcategory), one for a file: accept its match, override it, or skip; an override needs no match."""
+    x = classified.join(decisions.select("id", "action", "new_category", "new_subcategory"), "id", "left")
+    m = F.col("match")
+    over = F.struct(m["rule_name"].alias("rule_name"), F.col("new_category").alias("category"), F.col("new_subcategory").alias("subcategory"), F.lit("normal").alias("priority"), m["rule_priority"].alias("rule_priority"))
+    x = x.withColumn("match", F.when(F.col("action") == "accept", m).when((F.col("action") == "override") & F.col("new_category").isNotNull(), over))
+    return apply_matches(x.select(*classified.columns))
+
+
 def set_classification(files: DataFrame, chosen: Column, category: str, subcategory: str | None = None, priority: str | None = None, keep_subcategory: bool = False) -> DataFrame:
     """One category for the chosen files, whatever they had."""
     chosen = F.coalesce(chosen, F.lit(False))

@@ -1,5 +1,9 @@
-"""Carrying plans out: file operations on the driver, one step at a time, a journal entry before and after each. Nothing here runs in executors, as Spark may run
-a task twice. Dry runs are the default."""
+"""Carrying plans out: file operations on the driver, one step at a time. Nothing here runs in executors, as Spark may run a task twice. Dry runs are the default.
+
+A journal line is on the disk before a step begins and after it ends (plans/journal.py). The tables are written from it when a run ends; if the driver is lost, the next run does that first, and
+looks at the one step that had begun: what it left decides whether it is done or carried out again.
+
+A deletion needs the hash that the plan was made for; without one it fails, unless the options name `unhashed_deletes`. Where a step goes is told by the destination drive's backend: local folders, or a remote by rclone."""
 
 from __future__ import annotations
 
@@ -17,6 +21,7 @@ from ..functions.hashing import algorithm_of, hash_file
 from ..sources.devices import free_space, run_tool
 from ..store import Store, set_from, set_where
 from . import planner
+from .journal import Journal
 
 RSYNC = ("rsync", "--archive", "--checksum", "--partial", "--sparse")
 RCLONE = ("--transfers", "4", "--checkers", "8")
@@ -28,6 +33,7 @@ class Options:
     verify_hashes: bool = True
     enforce_space: bool = True
     use_rsync: bool = False
+    unhashed_deletes: bool = False
 
 
 @dataclass
@@ -74,26 +80,52 @@ def copy_file(source: str, dest: str, expected: str | None, options: Options) ->
     return got
 
 
-def run_step(step, options: Options) -> Done:
-    """Carries out one step; the error, if any, is in the result."""
+def _delete(source: str, pre_hash: str | None, options: Options) -> str | None:
+    """Deletes a file that still is what the plan was made for; its hash."""
+    if not pre_hash and not options.unhashed_deletes:
+        raise MigrationError(f"{source}: no hash to check before it is deleted")
+    now = _check_source(source, pre_hash)
+    os.remove(source)
+    return now
+
+
+def _was_done(step, options: Options) -> bool:
+    """Whether a step that had begun before the driver was lost is done, by what it left."""
+    source, dest, action = step["source_path"], step["dest_path"], step["action"]
+    if action == "move" and not os.path.lexists(source) and os.path.exists(dest):
+        if step["pre_hash"] and options.verify_hashes and hash_file(dest, algorithm_of(step["pre_hash"])).lower() != step["pre_hash"].lower():
+            raise DestinationVerification(dest)
+        return True
+    if action in ("hardlink", "symlink"):
+        return os.path.lexists(dest) and os.path.samefile(source, dest)
+    return False
+
+
+def run_step(step, options: Options, remotes: dict[int, str] | None = None, begun: bool = False) -> Done:
+    """Carries out one step; the error, if any, is in the result. remotes: the remote of each drive that has one. begun: the step began in an earlier run that was lost."""
     source, dest = step["source_path"], step["dest_path"]
+    remote = (remotes or {}).get(step.get("dest_drive_id"))
     try:
+        if step["action"] == "delete" and not os.path.lexists(source):
+            return Done(step["id"], "completed")  # it is gone already
+        if begun and remote is None and _was_done(step, options):
+            return Done(step["id"], "completed", step["pre_hash"])
         size = os.path.getsize(source) if os.path.exists(source) else 0
-        was = _check_source(source, step["pre_hash"] if options.verify_hashes else None)
+        post = _check_source(source, step["pre_hash"] if options.verify_hashes and step["action"] != "delete" else None)
         if step["action"] in ("copy", "move", "hardlink", "symlink") and not dest:
             raise MigrationError(f"step {step['id']} has no destination")
-        post = was
-        if step["action"] == "copy":
+        if step["action"] in ("copy", "move") and remote is not None:
+            copy_remote(source, f"{remote}:{dest.lstrip('/')}", one_file=True)
+        elif step["action"] in ("copy", "move"):
             post = copy_file(source, dest, step["pre_hash"], options)
+        if step["action"] == "delete" or step["action"] == "move" and remote is not None:
+            post = _delete(source, step["pre_hash"], options)
         elif step["action"] == "move":
-            post = copy_file(source, dest, step["pre_hash"], options)
-            os.remove(source)
-        elif step["action"] == "delete":
-            os.remove(source)
+            os.remove(source)  # the copy was compared with it
         elif step["action"] in ("hardlink", "symlink"):
             os.makedirs(os.path.dirname(dest), exist_ok=True)
             (os.link if step["action"] == "hardlink" else os.symlink)(source, dest)
-        else:
+        elif step["action"] != "copy":
             raise MigrationError(f"unknown action {step['action']!r}")
         return Done(step["id"], "completed", post, None, size)
     except (OSError, CatalogueError, ValueError) as e:
@@ -104,37 +136,74 @@ def _results(store: Store, done: Iterable[Done]) -> DataFrame:
     return store.spark.createDataFrame([(d.step_id, d.status, d.post_hash, d.error, d.at) for d in done], "id long, status string, post_hash string, error string, executed_at timestamp")
 
 
+def _fold(store: Store, plan_id: int, done: list[Done]) -> None:
+    """Writes results into the steps and the files, and the plan's progress."""
+    results = _results(store, done)
+    store.update("migration_steps", lambda s: set_from(s, results))
+    steps = store.read("migration_steps").where(F.col("plan_id") == plan_id)
+    failed = any(d.status == "failed" for d in done)
+    open_ = steps.where("status = 'pending'").limit(1).count()
+    plan = store.read("migration_plans").where(F.col("id") == plan_id).first()
+    good = [d for d in done if d.status == "completed"]
+    files, bytes_ = (plan["completed_files"] or 0) + len(good), (plan["completed_bytes"] or 0) + sum(d.bytes for d in good)
+    status = "aborted" if failed else "in_progress" if open_ else "completed"
+    store.update("migration_plans", lambda p: set_where(p, F.col("id") == plan_id, status=status, completed_files=files, completed_bytes=bytes_))
+    after = steps.join(results.select("id"), "id", "left_semi").where("status = 'completed'")
+    moved = after.where("action in ('copy', 'move')").groupBy(F.col("file_id").alias("id")).agg(F.max_by("dest_path", "step_order").alias("migrated_to"), F.max_by("dest_drive_id", "step_order").alias("migrated_to_drive"), F.max("executed_at").alias("migrated_at"), F.max_by("post_hash", "step_order").alias("verified_hash"), F.lit("verified").alias("status"))
+    gone = after.where("action in ('delete', 'move')").select(F.col("file_id").alias("id"), F.lit("source_removed").alias("status")).distinct()
+    store.update("files", lambda f: set_from(set_from(f, moved), gone))
+
+
+def recover(store: Store, plan_id: int) -> int | None:
+    """Writes what the journal of a lost run holds into the tables; the step that had begun and not ended, if any."""
+    journal = Journal(store, plan_id)
+    ended, begun = journal.read()
+    if ended:
+        _fold(store, plan_id, [Done(**d) for d in ended])
+        store.log("plan_recovered", f"plan {plan_id}: {len(ended)} steps from the journal", plan_id)
+    journal.clear()
+    return begun
+
+
 def execute(store: Store, plan_id: int, options: Options | None = None) -> DataFrame:
     """Carries out an approved plan's pending steps in order; the first failure aborts the plan. A dry run, of drafts as well, gives what would be done.
 
-    Steps are streamed to the driver; their results, the plan's progress and the files' new states are written as tables afterwards."""
+    A plan whose run was lost goes on where its journal ends. Steps are streamed to the driver; their results, the plan's progress and the files' new states are written as tables afterwards."""
     options = options or Options()
     plan = store.read("migration_plans").where(F.col("id") == plan_id).first()
     if plan is None:
         raise PlanNotFound(plan_id)
-    steps = store.read("migration_steps").where(F.col("plan_id") == plan_id)
     if options.dry_run:
-        return planner.dry_run(steps)
-    if plan["status"] != "approved":
+        return planner.dry_run(store.read("migration_steps").where(F.col("plan_id") == plan_id))
+    if plan["status"] not in ("approved", "in_progress"):
         raise PlanNotApproved(plan_id)
-    store.update("migration_plans", lambda p: planner.with_status(p, plan_id, "in_progress"))
-    store.log("plan_started", f"plan {plan_id}", plan_id)
+    begun = recover(store, plan_id)
+    steps = store.read("migration_steps").where(F.col("plan_id") == plan_id)
+    remotes = {r["id"]: r["rclone_remote"] for r in store.read("drives").where("backend = 'rclone'").collect()}
+    if plan["status"] == "approved":
+        store.update("migration_plans", lambda p: planner.with_status(p, plan_id, "in_progress"))
+        store.log("plan_started", f"plan {plan_id}", plan_id)
     done: list[Done] = []
-    for step in steps.where("status = 'pending'").orderBy("step_order").toLocalIterator():
-        done.append(run_step(step.asDict(), options))
-        if done[-1].status == "failed":
-            break
+    last = steps.where("status = 'completed'").orderBy(F.desc("step_order")).first()
+    copied = (last["file_id"], last["post_hash"]) if last is not None and last["action"] == "copy" else None
+    with Journal(store, plan_id) as journal:
+        for row in steps.where("status = 'pending'").orderBy("step_order").toLocalIterator():
+            step = row.asDict()
+            if step["action"] == "delete" and not step["pre_hash"] and copied and copied[0] == step["file_id"]:
+                step["pre_hash"] = copied[1]  # the copy that was just made and compared
+            journal.begin(step["id"])
+            done.append(run_step(step, options, remotes, step["id"] == begun))
+            journal.end(vars(done[-1]))
+            if done[-1].status == "failed":
+                break
+            copied = (step["file_id"], done[-1].post_hash) if step["action"] == "copy" else None
     failed = next((d for d in done if d.status == "failed"), None)
-    results = _results(store, done)
-    store.update("migration_steps", lambda s: set_from(s, results))
-    good = [d for d in done if d.status == "completed"]
-    status = "aborted" if failed else "completed"
-    store.update("migration_plans", lambda p: set_where(p, F.col("id") == plan_id, status=status, completed_files=len(good), completed_bytes=sum(d.bytes for d in good)))
-    after = store.read("migration_steps").where(F.col("plan_id") == plan_id).join(results.select("id"), "id", "left_semi").where("status = 'completed'")
-    moved = after.where("action in ('copy', 'move')").groupBy(F.col("file_id").alias("id")).agg(F.max_by("dest_path", "step_order").alias("migrated_to"), F.max_by("dest_drive_id", "step_order").alias("migrated_to_drive"), F.max("executed_at").alias("migrated_at"), F.max_by("post_hash", "step_order").alias("verified_hash"), F.lit("verified").alias("status"))
-    gone = after.where("action in ('delete', 'move')").select(F.col("file_id").alias("id"), F.lit("source_removed").alias("status")).distinct()
-    store.update("files", lambda f: set_from(set_from(f, moved), gone))
-    store.log("step_failed" if failed else "plan_completed", failed.error if failed else f"plan {plan_id}: {len(good)} steps", plan_id)
+    if done:
+        _fold(store, plan_id, done)
+    else:
+        store.update("migration_plans", lambda p: planner.with_status(p, plan_id, "completed"))
+    Journal(store, plan_id).clear()
+    store.log("step_failed" if failed else "plan_completed", failed.error if failed else f"plan {plan_id}: {len(done)} steps", plan_id)
     return store.read("migration_steps").where(F.col("plan_id") == plan_id).orderBy("step_order")
 
 
@@ -167,11 +236,11 @@ def rollback(store: Store, plan_id: int) -> DataFrame:
     return results
 
 
-def copy_remote(source: str, dest: str, move: bool = False) -> None:
-    """Copies or moves between a local folder and a remote (remote:path), either way."""
+def copy_remote(source: str, dest: str, move: bool = False, one_file: bool = False) -> None:
+    """Copies or moves between a local folder and a remote (remote:path), either way; one_file: source and dest name a file."""
     if ":" not in source and ":" not in dest:
         raise ConfigError("neither side is a remote")
-    run_tool("rclone", "move" if move else "copy", source, dest, *RCLONE)
+    run_tool("rclone", ("move" if move else "copy") + ("to" if one_file else ""), source, dest, *RCLONE)
 
 
 def verify_drive(store: Store, drive_id: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -189,4 +258,4 @@ def verify_drive(store: Store, drive_id: int | None = None) -> tuple[DataFrame,
     return checked, verify_outcomes(checked)
 
 
-__all__ = ["Options", "copy_file", "copy_remote", "execute", "rollback", "run_step", "verify_drive"]
+__all__ = ["Options", "copy_file", "copy_remote", "execute", "recover", "rollback", "run_step", "verify_drive"]

@@ -71,6 +71,11 @@ def discover_remote(remote: str) -> Device:
     return Device(device_path=f"{remote}:", fs_type="rclone", total_bytes=json.loads(out).get("total"))
 
 
+def remote_free(remote: str) -> int | None:
+    """A remote's free bytes, null if it doesn't tell."""
+    return json.loads(run_tool("rclone", "about", f"{remote}:", "--json")).get("free")
+
+
 @dataclass
 class Space:
     total_bytes: int

@@ -1,4 +1,5 @@
-"""Directory trees as file rows: a data source whose tasks walk one top-level entry each.
+"""Directory trees as file rows: a data source whose tasks walk a part of the tree each. The parts are found by listing folders from the root down, the next level of all of them at a time, until there
+are enough; so a root with a single folder is no single task.
 
 The tree must be reachable by the executors under the same path, as mounted drives are. What can't be read becomes a row of kind `error`, so that one bad
 entry ends neither the walk nor the job."""
@@ -23,11 +24,15 @@ SCHEMA = "kind string, path string, abs_path string, filename string, extension
 REMOTE = re.compile(r"^\s*url = (.*)$", re.M)
 
 
+#: Parts of a tree that are enough for its tasks.
+PARTS = 64
+
+
 class Part(InputPartition):
-    """The root itself (no name), or one entry of it."""
+    """Paths to walk, each with its depth; those that are not deep stand for themselves only, their entries being in other parts."""
 
-    def __init__(self, name: str | None):
-        self.name = name
+    def __init__(self, paths: list[tuple[str, int, bool]]):
+        self.paths = paths
 
 
 class Reader(DataSourceReader):
@@ -38,19 +43,42 @@ class Reader(DataSourceReader):
         self.depth = int(depth) if depth not in (None, "", "None") else None
 
     def partitions(self) -> list[Part]:
-        return [Part(None)] + [Part(x) for x in sorted(os.listdir(self.root))]
+        shallow, level, depth = [], [(os.path.join(self.root, x), 1, True) for x in sorted(os.listdir(self.root))], 1
+        while level and len(shallow) + len(level) < PARTS and (self.depth is None or depth < self.depth):
+            deeper, some = [], False
+            for path, at, deep in level:
+                try:  # links and hidden folders that are pruned stay with their walk
+                    if deep and at == depth and os.path.isdir(path) and not os.path.islink(path) and not (self.prune and not self.hidden and os.path.basename(path).startswith(".")):
+                        inside = sorted(os.listdir(path))
+                        shallow.append((path, at, False))
+                        deeper += [(os.path.join(path, x), at + 1, True) for x in inside]
+                        some = True
+                        continue
+                except OSError:
+                    pass  # the walk reports it
+                deeper.append((path, at, deep))
+            level, depth = deeper, depth + 1
+            if not some:
+                break
+        every = shallow + level
+        n = max(1, min(len(every), 4 * PARTS))
+        return [Part([("", 0, False)])] + [Part(every[i::n]) for i in range(n) if every[i::n]]
 
     def read(self, part: Part) -> Iterator[tuple]:
-        if part.name is None:
-            yield self._plain("dir", self.root)
-        elif self.depth is None or self.depth >= 1:
-            yield from self._walk(os.path.join(self.root, part.name))
+        for path, depth, deep in part.paths:
+            if not depth:
+                yield self._plain("dir", self.root)
+            elif not deep:
+                if self.hidden or not os.path.basename(path).startswith("."):
+                    yield self._plain("dir", path)
+            elif self.depth is None or self.depth >= depth:
+                yield from self._walk(path, depth)
 
     def _plain(self, kind: str, path: str, error: str | None = None) -> tuple:
         return (kind, os.path.relpath(path, self.root), path, os.path.basename(path), None, 0, None, None, None, None, False, None, None, error)
 
-    def _walk(self, top: str) -> Iterator[tuple]:
-        todo, seen = [(top, 1)], set()
+    def _walk(self, top: str, at: int) -> Iterator[tuple]:
+        todo, seen = [(top, at)], set()
         while todo:
             path, depth = todo.pop()
             name = os.path.basename(path)
@@ -130,8 +158,15 @@ def files_of(tree: DataFrame, drive_id: int, base: str | None = None) -> DataFra
     return conform(rows, "files")
 
 
-def scan_drive(spark: SparkSession, drives: DataFrame, label: str, sub_path: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
-    """(files, counters) of one drive, which must exist, be online and have a mount path."""
+def unread(tree: DataFrame, base: str) -> DataFrame:
+    """(path) of what a scan couldn't read, relative to base."""
+    from ..functions.formats import relative
+
+    return tree.where("kind = 'error'").select(relative(F.col("abs_path"), F.lit(base)).alias("path"))
+
+
+def tree_of(spark: SparkSession, drives: DataFrame, label: str, sub_path: str | None = None, **options) -> tuple[DataFrame, int, str]:
+    """(entries, id of the drive, its mount path) of one drive, which must exist, be online and have a mount path. The tree is walked whenever the entries are read."""
     row = drives.where(F.col("label") == label).first()
     if row is None:
         raise DriveNotFound(label)
@@ -140,13 +175,20 @@ def scan_drive(spark: SparkSession, drives: DataFrame, label: str, sub_path: str
     if not row["mount_path"]:
         raise FileMissing(f"drive {label} has no mount path")
     tree = entries(spark, os.path.join(row["mount_path"], sub_path) if sub_path else row["mount_path"], **options)
-    return files_of(tree, row["id"], os.path.abspath(row["mount_path"])), scan_counts(tree)
+    return tree, row["id"], os.path.abspath(row["mount_path"])
+
+
+def scan_drive(spark: SparkSession, drives: DataFrame, label: str, sub_path: str | None = None, keep=lambda tree: tree, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, counters, unread) of one drive. keep: makes the entries a table first, so that the tree is walked once."""
+    tree, id_, base = tree_of(spark, drives, label, sub_path, **options)
+    tree = keep(tree)
+    return files_of(tree, id_, base), scan_counts(tree), unread(tree, base)
 
 
-def scan_all(spark: SparkSession, drives: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+def scan_all(spark: SparkSession, drives: DataFrame, keep=lambda tree: tree, **options) -> tuple[DataFrame, DataFrame]:
     """(files, counters) of every drive that is online and mounted; the counters are sums."""
     labels = [r["label"] for r in drives.where("is_online and mount_path is not null").orderBy("added_at", "id").collect()]
-    found = [scan_drive(spark, drives, x, **options) for x in labels]
+    found = [scan_drive(spark, drives, x, keep=keep, **options)[:2] for x in labels]
     if not found:
         from ..schema import empty
 

@@ -1,7 +1,7 @@
-"""The catalogue at rest: each table a folder of Parquet versions with a pointer to the current one; a single writer.
+"""The catalogue at rest: each table a folder of Parquet parts, a list of parts for each version, and a pointer to the current one; a single writer.
 
-A change is a function from a table to a table. Its result is written as a new version, and only then does the pointer move, so readers see the old
-or the new table, and a writer that is lost leaves the old one. Old versions are kept until vacuum."""
+A change is a function from a table to a table. Its result is written as a new part, and only then does the pointer move, so readers see the old
+or the new table, and a writer that is lost leaves the old one. Appended rows are a part of their own beside those that are there; beyond MOST_PARTS the table is written anew as one. Old versions are kept until vacuum."""
 
 from __future__ import annotations
 
@@ -15,6 +15,10 @@ from . import schema
 from .errors import ConfigError, DriveNotFound, StoreError
 
 
+#: Parts of a table before an append writes it anew.
+MOST_PARTS = 64
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -29,12 +33,32 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _get(self, path: str) -> dict | None:
+        fs, p = self._fs(path)
+        if not fs.exists(p):
+            return None
+        data = fs.open(p)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(data, "UTF-8"))
+        finally:
+            data.close()
+
+    def _put(self, path: str, value: dict) -> None:
+        fs, p = self._fs(path)
+        out = fs.create(p, True)
+        try:
+            out.write(bytearray(json.dumps(value).encode()))
+        finally:
+            out.close()
+
     def version(self, table: str) -> int:
         """The current version's number, 0 before the first."""
-        fs, path = self._fs(f"{self.root}/{table}/current.json")
-        if not fs.exists(path):
-            return 0
-        return json.loads(self.spark.read.option("wholetext", True).text(f"{self.root}/{table}/current.json").first()[0])["version"]
+        return (self._get(f"{self.root}/{table}/current.json") or {"version": 0})["version"]
+
+    def parts(self, table: str, version: int) -> list[int] | None:
+        """The numbers of the parts that a version consists of."""
+        found = self._get(f"{self._path(table, version)}.json")
+        return found and found["parts"]
 
     def initialise(self) -> None:
         """Creates the tables that are not there."""
@@ -55,45 +79,54 @@ class Store:
         at = version or self.version(table)
         if not at:
             return schema.empty(self.spark, table)
+        parts = self.parts(table, at)
+        if not parts:
+            raise StoreError(f"{table} has no version {at}")
         try:
-            return self.spark.read.schema(schema.struct(table)).parquet(self._path(table, at))
+            return self.spark.read.schema(schema.struct(table)).parquet(*[self._path(table, p) for p in parts])
         except AnalysisException as e:
-            raise StoreError(f"{table} has no version {at}") from e
+            raise StoreError(f"{table} has lost a part of version {at}") from e
 
-    def write(self, table: str, rows: DataFrame) -> int:
-        """rows as the table's new version; its number."""
+    def _add(self, table: str, rows: DataFrame, beside: list[int]) -> int:
         new = self.version(table) + 1
         schema.conform(rows, table).write.mode("overwrite").parquet(self._path(table, new))
-        fs, path = self._fs(f"{self.root}/{table}/current.json")
-        out = fs.create(path, True)
-        try:
-            out.write(bytearray(json.dumps({"version": new}).encode()))
-        finally:
-            out.close()
+        self._put(f"{self._path(table, new)}.json", {"parts": [*beside, new]})
+        self._put(f"{self.root}/{table}/current.json", {"version": new})
         return new
 
+    def write(self, table: str, rows: DataFrame) -> int:
+        """rows as the table's new version; its number."""
+        return self._add(table, rows, [])
+
     def append(self, table: str, rows: DataFrame) -> int:
-        return self.write(table, self.read(table).unionByName(schema.conform(rows, table)))
+        at = self.version(table)
+        parts = self.parts(table, at) or [] if at else []
+        if len(parts) >= MOST_PARTS:
+            return self.write(table, self.read(table).unionByName(schema.conform(rows, table)))
+        return self._add(table, rows, parts)
 
     def update(self, table: str, change) -> int:
         """change: a function from the table to the table."""
         return self.write(table, change(self.read(table)))
 
     def vacuum(self, table: str, keep: int = 2) -> None:
-        """Deletes all versions but the last `keep`."""
-        for v in range(max(0, self.version(table) - keep), 0, -1):
-            fs, path = self._fs(self._path(table, v))
-            if not fs.exists(path):
-                break
-            fs.delete(path, True)
+        """Deletes all versions but the last `keep`, and the parts that only they have."""
+        last = self.version(table)
+        kept = range(max(1, last - keep + 1), last + 1)
+        used = {p for v in kept for p in self.parts(table, v) or []}
+        for v in range(1, last + 1):
+            for path, goes in ((self._path(table, v), v not in used), (f"{self._path(table, v)}.json", v not in kept)):
+                fs, p = self._fs(path)
+                if goes and fs.exists(p):
+                    fs.delete(p, True)
 
     def validate(self) -> DataFrame:
         return schema.validate({t: self.read(t) for t in schema.TABLES if t != "schema_version"})
 
     # changes
 
-    def upsert_files(self, rows: DataFrame, tombstones_of: int | None = None) -> int:
-        return self.update("files", lambda old: upsert_files(old, rows, tombstones_of))
+    def upsert_files(self, rows: DataFrame, tombstones_of: int | None = None, unread: DataFrame | None = None) -> int:
+        return self.update("files", lambda old: upsert_files(old, rows, tombstones_of, unread))
 
     def add_drive(self, **drive) -> int:
         """Adds a drive; the label must be new. The id follows the largest."""
@@ -143,12 +176,23 @@ def set_from(df: DataFrame, assignments: DataFrame, key: str = "id") -> DataFram
     return df.join(new, key, "left").select(*[F.coalesce(f"_{c}", c).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
-def upsert_files(old: DataFrame, new: DataFrame, tombstones_of: int | None = None) -> DataFrame:
+def below(files: DataFrame, drive_id: int, folders: DataFrame) -> DataFrame:
+    """(id) of the drive's files whose path is one of folders (path) or lies below one. Each path meets the folders by its own ancestors."""
+    depth = F.size(F.split("path", "/"))
+    ways = files.where(F.col("drive_id") == drive_id).select("id", F.explode(F.transform(F.sequence(F.lit(1), depth), lambda n: F.array_join(F.slice(F.split("path", "/"), F.lit(1), n), "/"))).alias("path"))
+    return ways.join(folders, "path", "left_semi").select("id").distinct()
+
+
+def upsert_files(old: DataFrame, new: DataFrame, tombstones_of: int | None = None, unread: DataFrame | None = None) -> DataFrame:
     """The files table after a scan. A file is known by (drive_id, path): it keeps its id and classification, and its hashes and group as well if size and time are the same.
 
-    tombstones_of: files of that drive that the scan lacks become source_removed."""
+    tombstones_of: files of that drive that the scan lacks become source_removed, but for those at or below the paths that couldn't be read, unread (path)."""
     key, n = ["drive_id", "path"], schema.struct("files").names
     last = new.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("modified_at"), F.desc("size_bytes"), "id"))).where("_r = 1").drop("_r")
+    if unread is not None and tombstones_of is not None:
+        old = old.join(below(old, tombstones_of, unread).withColumn("_unread", F.lit(True)), "id", "left")
+    else:
+        old = old.withColumn("_unread", F.lit(None).cast("boolean"))
     o, s = old.alias("o"), last.alias("s")
     both = o.join(s, [F.col("o.drive_id") == F.col("s.drive_id"), F.col("o.path") == F.col("s.path")], "full_outer")
     seen, known = F.col("s.path").isNotNull(), F.col("o.path").isNotNull()
@@ -159,7 +203,7 @@ def upsert_files(old: DataFrame, new: DataFrame, tombstones_of: int | None = Non
     def value(c: str) -> Column:
         fresh, was = F.col(f"s.{c}"), F.col(f"o.{c}")
         if c == "status" and tombstones_of is not None:
-            was = F.when(~seen & (F.col("o.drive_id") == tombstones_of), F.lit("source_removed")).otherwise(was)
+            was = F.when(~seen & (F.col("o.drive_id") == tombstones_of) & F.col("o._unread").isNull(), F.lit("source_removed")).otherwise(was)
         if c in stays:
             return F.when(known, was).otherwise(fresh)
         if c in by_content:

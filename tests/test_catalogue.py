@@ -7,8 +7,10 @@ import struct
 import pytest
 
 from stratafile.api import Catalogue
-from stratafile.errors import ConfigError, DriveNotFound, DriveOffline, FileMissing, MigrationError, PlanNotApproved, PlanNotFound
+from stratafile.errors import ConfigError, DriveNotFound, DriveOffline, FileMissing, MigrationError, PlanNotApproved, PlanNotFound, StoreError
+from stratafile.operators import rules
 from stratafile.operators.stats import scan_counts
+from stratafile.plans import executor
 from stratafile.sources import devices, exif, fs
 from stratafile.store import Store
 
@@ -204,6 +206,9 @@ def test_policy_run(catalogue, tmp_path):
     assert len(c.policy_apply(str(tmp_path / "p.toml"))) == 1 and (tmp_path / "one" / "junk.tmp").exists()
     assert c.files.where("subcategory = '2024'").count() == 1
     c.policy_apply(str(tmp_path / "p.toml"), dry_run=False, execute=True)
+    assert (tmp_path / "one" / "junk.tmp").exists() and c.plan_list("aborted").count() == 1  # nothing is deleted without a hash
+    c.dedup_refresh()
+    c.policy_apply(str(tmp_path / "p.toml"), dry_run=False, execute=True)
     assert not (tmp_path / "one" / "junk.tmp").exists()
     (tmp_path / "q.toml").write_text('version="1"\nname="n"\n[plans.x]\ntype="delete-trash"\n[safety]\nmax_bytes_per_run="1 B"\n')
     with pytest.raises((ConfigError, MigrationError)):
@@ -227,3 +232,126 @@ def test_lint_import_and_stream(spark, catalogue, tmp_path):
     assert c.files.count() == n + 1
     review = c.review([])
     assert review.count() == 0
+
+
+def step(**over):
+    return {"id": 1, "file_id": 1, "action": "delete", "source_path": None, "dest_path": None, "dest_drive_id": None, "pre_hash": None} | over
+
+
+def test_deletions_need_a_hash(tmp_path):
+    f = tmp_path / "f"
+    f.write_text("hello world")
+    done = executor.run_step(step(source_path=str(f)), executor.Options(dry_run=False))
+    assert done.status == "failed" and "hash" in done.error and f.exists()
+    assert executor.run_step(step(source_path=str(f)), executor.Options(dry_run=False, verify_hashes=False)).status == "failed" and f.exists()
+    assert executor.run_step(step(source_path=str(f), pre_hash="0" * 32), executor.Options(dry_run=False, verify_hashes=False)).status == "failed" and f.exists()
+    good = executor.run_step(step(source_path=str(f), pre_hash="5eb63bbbe01eeed093cb22bb8f5acdc3"), executor.Options(dry_run=False))
+    assert good.status == "completed" and not f.exists()
+    assert executor.run_step(step(source_path=str(f), pre_hash="5eb63bbbe01eeed093cb22bb8f5acdc3"), executor.Options(dry_run=False)).bytes == 0  # it is gone already
+    f.write_text("x")
+    assert executor.run_step(step(source_path=str(f)), executor.Options(dry_run=False, unhashed_deletes=True)).status == "completed" and not f.exists()
+
+
+@pytest.mark.parametrize("when", ["before", "after"])
+def test_a_lost_run_goes_on_where_its_journal_ends(catalogue, tmp_path, monkeypatch, when):
+    c = catalogue
+    c.scan()
+    c.classify(",".join(str(r.id) for r in c.files.where("filename in ('a.txt', 'b.txt', 'copy.txt')").collect()), "docs")
+    plan = c.plan_create("offload", target_drive="new", category_filter="docs")
+    c.plan_approve(plan)
+    order = [(r.id, r.action, r.source_path) for r in c.steps.orderBy("step_order").collect()]
+    real, ran = executor.run_step, []
+
+    def lost(s, *more):
+        if len(ran) == 3:  # the second file's deletion, before or after it happens
+            if when == "after":
+                real(s, *more)
+            raise KeyboardInterrupt
+        ran.append(s["id"])
+        return real(s, *more)
+
+    monkeypatch.setattr(executor, "run_step", lost)
+    with pytest.raises(KeyboardInterrupt):
+        c.migrate_execute(plan, execute=True)
+    assert c.plan_list("in_progress").count() == 1 and {r.status for r in c.steps.collect()} == {"pending"}
+    again = []
+    monkeypatch.setattr(executor, "run_step", lambda s, *more: again.append(s["id"]) or real(s, *more))
+    assert {r.status for r in c.migrate_execute(plan, execute=True).collect()} == {"completed"}
+    assert again == [i for i, *_ in order[3:]] and c.plan_list("completed").first().completed_files == len(order)
+    assert not any(os.path.exists(p) for *_, p in order) and (tmp_path / "new" / "b.txt").exists()
+    assert not os.path.exists(f"{c.store.root}/journal/plan-{plan}") and "plan_recovered" in {r.action for r in c.audit.collect()}
+
+
+def test_remote_drives_by_their_backend(catalogue, tmp_path, monkeypatch):
+    c, said = catalogue, []
+    c.dedup_refresh()
+    c.drive_add("cloud", role="target", backend="rclone", rclone_remote="box")
+
+    def tool(*command):
+        said.append(command)
+        return json.dumps({"total": 5000, "free": 4000}) if command[1] == "about" else ""
+
+    monkeypatch.setattr(executor, "run_tool", tool)
+    monkeypatch.setattr("stratafile.sources.devices.run_tool", tool)
+    c.classify_pattern("b.txt", "docs")
+    plan = c.plan_create("offload", target_drive="cloud", category_filter="docs")
+    c.plan_approve(plan)
+    assert [r.status for r in c.migrate_execute(plan, execute=True).collect()] == ["completed"] * 2
+    copy = next(x for x in said if x[1] == "copyto")
+    assert copy[2].endswith("one/b.txt") and copy[3] == "box:b.txt" and not (tmp_path / "one" / "b.txt").exists()
+    c.drive_refresh("cloud")
+    assert c.drives.where("label = 'cloud'").first().total_bytes == 5000
+    with pytest.raises(DriveNotFound):
+        c.drive_refresh("none")
+
+
+def test_files_reviewed_one_by_one(catalogue, spark):
+    c = catalogue
+    c.scan()
+    by = [rules.Rule("t", "extension", "text", extensions=["txt"])]
+    ids = {r.filename: r.id for r in c.files.collect()}
+    c.decide_files(by, spark.createDataFrame([(ids["a.txt"], "accept", None, None), (ids["b.txt"], "override", "notes", "own"), (ids["copy.txt"], "skip", None, None), (ids["junk.tmp"], "override", "junk", None)], "id long, action string, new_category string, new_subcategory string"))
+    got = {r.filename: (r.category, r.subcategory, r.status) for r in c.files.collect()}
+    assert (got["a.txt"], got["b.txt"], got["copy.txt"], got["junk.tmp"]) == (("text", None, "classified"), ("notes", "own", "classified"), (None, None, "indexed"), ("junk", None, "classified"))
+
+
+def test_unreadable_folders_keep_their_files(spark):
+    from stratafile import schema
+    from stratafile.store import upsert_files
+
+    row = lambda i, path: {c: None for c in schema.struct("files").names} | {"id": i, "drive_id": 1, "path": path, "status": "indexed", "priority": "normal", "is_original": False}
+    frame = lambda rows: spark.createDataFrame([tuple(r.values()) for r in rows], schema.struct("files"))
+    old = frame([row(1, "a/x"), row(2, "locked/y"), row(3, "locked/deep/z"), row(4, "lockedout/w"), row(5, "f")])
+    got = upsert_files(old, frame([row(9, "a/x")]), 1, spark.createDataFrame([("locked",), ("f",)], "path string"))
+    assert {r.path: r.status for r in got.collect()} == {"a/x": "indexed", "locked/y": "indexed", "locked/deep/z": "indexed", "lockedout/w": "source_removed", "f": "indexed"}
+
+
+def test_appended_parts_versions_and_vacuum(spark, tmp_path, monkeypatch):
+    import stratafile.store as store_
+
+    monkeypatch.setattr(store_, "MOST_PARTS", 3)
+    s = Store(spark, str(tmp_path / "s"))
+    s.initialise()
+    for i in range(6):
+        s.log(f"act{i}")
+    assert [r.action for r in s.read("audit_log").orderBy("id").collect()] == [f"act{i}" for i in range(6)] and s.version("audit_log") == 7
+    assert s.read("audit_log", 3).count() == 2 and len(s.parts("audit_log", 7)) <= 3
+    s.vacuum("audit_log")
+    assert s.read("audit_log").count() == 6 and s.read("audit_log", 6).count() == 5
+    with pytest.raises(StoreError):
+        s.read("audit_log", 2)
+
+
+def test_a_tree_with_one_folder_is_many_tasks(spark, tmp_path):
+    for i in range(30):
+        (tmp_path / "only" / f"d{i}" / "e").mkdir(parents=True)
+        (tmp_path / "only" / f"d{i}" / "e" / "f.txt").write_text("x")
+    (tmp_path / "only" / ".hidden").mkdir()
+    (tmp_path / "only" / ".hidden" / "g.txt").write_text("x")
+    (tmp_path / "link").symlink_to(tmp_path / "only")
+    reader = fs.Reader(str(tmp_path), {})
+    assert len(reader.partitions()) > 30
+    tree = fs.entries(spark, str(tmp_path))
+    assert tree.where("kind = 'file'").count() == 32 and tree.where("kind = 'dir'").count() == 62 and tree.select("path").distinct().count() == tree.count()
+    assert fs.entries(spark, str(tmp_path), max_depth=3).where("kind = 'file'").count() == 2
+    assert fs.entries(spark, str(tmp_path), prune_hidden=True).where("kind = 'file'").count() == 31
