@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from . import schema, store
 from .functions import formats, hashing
 from .operators import dedup, filters, joins, lint, reports, rules, stats
-from .plans import planner
+from .plans import executor, planner
+from .plans import policy as policies
 from .registry import oracle_sql, queries, query
 from .sources import fixtures as fx
 from .sources import fs
@@ -715,6 +716,102 @@ def _(spark, sf):
     return store.set_from(files, files.where("md5_hash is null").select("id", F.lit("fresh").alias("md5_hash"))).select("id", "md5_hash", "blake3_hash")
 
 
+# Changes of tables
+
+DRIVE = ("id", "label", "role", "is_online", "total_bytes")
+DRIVE_SQL = "id, label, role, is_online, CAST(total_bytes AS BIGINT) AS total_bytes"
+
+
+@query("drive_added", f"WITH {fx.DRIVES_SQL} SELECT {DRIVE_SQL} FROM dr UNION ALL SELECT max(id) + 1, 'fresh', 'backup', true, CAST(5000 AS BIGINT) FROM dr")
+def _(spark, sf):
+    known = fx.drives(spark, sf)
+    return known.unionByName(store.new_drive(known, label="fresh", role="backup", total_bytes=5000)).select(*DRIVE)
+
+
+@query("drive_removed", f"WITH {fx.DRIVES_SQL} SELECT {DRIVE_SQL} FROM dr WHERE label <> 'src1'")
+def _(spark, sf):
+    return filters.without_drive(fx.drives(spark, sf), "src1").select(*DRIVE)
+
+
+@query("drive_set_offline", f"WITH {fx.DRIVES_SQL} SELECT id, label, CASE WHEN label = 'src2' THEN false ELSE is_online END AS is_online FROM dr")
+def _(spark, sf):
+    return store.set_where(fx.drives(spark, sf), F.col("label") == "src2", is_online=False).select("id", "label", "is_online")
+
+
+@query("drive_metadata_refreshed", f"WITH {fx.DRIVES_SQL} SELECT id, label, CASE WHEN label = 'src3' THEN 'btrfs' ELSE 'ext4' END AS fs_type, CAST(CASE WHEN label = 'src3' THEN 1610612736 ELSE total_bytes END AS BIGINT) AS total_bytes FROM dr")
+def _(spark, sf):
+    return store.set_where(fx.drives(spark, sf), F.col("label") == "src3", fs_type="btrfs", total_bytes=formats.parse_device_size(F.lit("1.5G"))).select("id", "label", "fs_type", "total_bytes")
+
+
+@query("drives_marked_scanned", f"WITH {fx.DRIVES_SQL} SELECT id, CASE WHEN is_online THEN TIMESTAMP '{fx.AS_OF}' END AS scanned_at FROM dr")
+def _(spark, sf):
+    return store.set_where(fx.drives(spark, sf), F.col("is_online") & F.col("mount_path").isNotNull(), scanned_at=now()).select("id", "scanned_at")
+
+
+@query("step_results", f"WITH {fx.STEPS_SQL} SELECT plan_id, step_order, CASE WHEN status = 'pending' AND file_id % 3 = 0 THEN 'completed' WHEN status = 'pending' AND file_id % 3 = 1 THEN 'failed' ELSE status END AS status, CASE WHEN status = 'pending' AND file_id % 3 = 0 THEN 'new' ELSE post_hash END AS post_hash, CASE WHEN status = 'pending' AND file_id % 3 = 1 THEN 'no space' END AS error FROM s")
+def _(spark, sf):
+    steps = fx.steps(spark, sf)
+    ran = steps.where("status = 'pending' and file_id % 3 < 2").select("id", F.when(F.expr("file_id % 3 = 0"), "completed").otherwise("failed").alias("status"), F.when(F.expr("file_id % 3 = 0"), "new").alias("post_hash"), F.when(F.expr("file_id % 3 = 1"), "no space").alias("error"))
+    ran = ran.dropDuplicates(["id"])  # lines that repeat are one step
+    return store.set_from(steps, ran).select("plan_id", "step_order", "status", "post_hash", "error")
+
+
+@query("files_after_steps", f"WITH {fx.FILES_SQL}, {fx.STEPS_SQL}, c AS (SELECT file_id, bool_or(action = 'copy') AS copied, bool_or(action = 'delete') AS gone FROM s WHERE status = 'completed' GROUP BY file_id) SELECT id, CASE WHEN gone THEN 'source_removed' WHEN copied THEN 'verified' ELSE status END AS status, CASE WHEN copied THEN 'h' END AS verified_hash FROM f LEFT JOIN c ON f.id = c.file_id")
+def _(spark, sf):
+    return executor.files_after(fx.files(spark, sf), fx.steps(spark, sf).where("status = 'completed'")).select("id", "status", "verified_hash")
+
+
+@query("files_after_rollback", f"WITH {fx.FILES_SQL}, {fx.STEPS_SQL} SELECT id, CASE WHEN id IN (SELECT file_id FROM s WHERE status = 'completed' AND action = 'copy') THEN 'classified' ELSE status END AS status FROM f")
+def _(spark, sf):
+    steps = fx.steps(spark, sf)
+    back = steps.where("status = 'completed' and action = 'copy'").select("id", F.lit("rolled_back").alias("status"))
+    return executor.files_back(fx.files(spark, sf), steps, back).select("id", "status")
+
+
+@query("audit_appended", "SELECT event_id AS id, event_type AS action FROM events UNION ALL SELECT max(event_id) + 1, 'plan_approved' FROM events")
+def _(spark, sf):
+    known = fx.audit(spark, sf)
+    return known.unionByName(store.new_entry(known, "plan_approved", plan_id=7)).select("id", "action")
+
+
+@query("device_sizes", "SELECT p_partkey AS id, CAST(p_size AS BIGINT) * CASE p_partkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 1024 WHEN 2 THEN 1048576 WHEN 3 THEN 1073741824 ELSE 1099511627776 END AS bytes FROM part")
+def _(spark, sf):
+    unit = F.element_at(F.array(*map(F.lit, ("", "K", "M", "G", "T"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return fx.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), formats.parse_device_size(F.concat(F.lit(" "), F.col("p_size").cast("string"), unit)).alias("bytes"))
+
+
+USER_RULES = '[rules.pictures]\ntype = "extension"\nextensions = ["jpg"]\ncategory = "user"\nrule_priority = 5\n[rules.logs]\ntype = "extension"\nextensions = ["log"]\ncategory = "logs"\n'
+POLICY = 'version = "1"\nname = "p"\n[scope]\nexclude_drives = ["src2"]\ninclude_paths = ["/mnt/drive1", "/mnt/drive2"]\n[rules.pictures]\ntype = "extension"\nextensions = ["jpg", "mp4"]\ncategory = "policy"\nrule_priority = 5\n'
+
+
+@query("rules_merged", f"WITH {fx.FILES_SQL} SELECT id, CASE WHEN lower(extension) IN ('jpg', 'mp4') THEN 'policy' WHEN lower(extension) = 'log' THEN 'logs' END AS category FROM f")
+def _(spark, sf):
+    """The policy's rules over the user's, written as TOML and read again."""
+    by = rules.merged(rules.from_toml(USER_RULES), policies.from_toml(POLICY).rules)
+    return rules.classify(fx.files(spark, sf), rules.from_toml(rules.to_toml(by)), now()).select("id", "match.category")
+
+
+@query("policy_scope", files_sql("drive_id <> 2 AND (abs_path LIKE '/mnt/drive1%' OR abs_path LIKE '/mnt/drive2%')"))
+def _(spark, sf):
+    return policies.scoped(fx.files(spark, sf), fx.drives(spark, sf), policies.from_toml(POLICY).scope).select(*FILE)
+
+
+@query("file_review", files_sql("true", "id, CASE WHEN category IS NULL AND status = 'indexed' AND lower(extension) = 'log' AND id % 3 = 0 THEN 'logs' WHEN category IS NULL AND status = 'indexed' AND lower(extension) = 'log' AND id % 3 = 1 THEN 'mine' ELSE category END AS category"))
+def _(spark, sf):
+    files = fx.files(spark, sf)
+    open_ = files.where("category is null and status = 'indexed' and lower(extension) = 'log' and id % 3 < 2")
+    said = open_.select("id", F.when(F.expr("id % 3 = 0"), "accept").otherwise("override").alias("action"), F.lit("mine").alias("new_category"), F.lit(None).cast("string").alias("new_subcategory"))
+    return rules.apply_file_review(rules.classify(files, rules.from_toml(USER_RULES), now()), said).select("id", "category")
+
+
+@query("tombstones_spare_unread_folders", files_sql("true", "id, CASE WHEN drive_id = 3 AND id % 2 = 1 AND path NOT LIKE 'en/%' THEN 'source_removed' ELSE status END AS status"))
+def _(spark, sf):
+    """A scan of one drive that finds every other file and can't read one folder."""
+    files = fx.files(spark, sf)
+    unread = spark.range(1).select(F.lit("en").alias("path"))
+    return store.upsert_files(files, files.where("drive_id = 3 and id % 2 = 0"), 3, unread).select("id", "status")
+
+
 @query("git_remotes", "SELECT event_id AS id, 'https://h/' || event_id || '.git' AS remote FROM events")
 def _(spark, sf):
     text = F.concat(F.lit('[remote "origin"]\n\turl = https://h/'), F.col("event_id").cast("string"), F.lit(".git\n\tfetch = +refs\n\turl = no\n"))

@@ -118,6 +118,11 @@ def drive_id(drives: DataFrame, label: str) -> int:
     return row["id"]
 
 
+def without_drive(drives: DataFrame, label: str) -> DataFrame:
+    """All drives but that of the label; the files of a drive stay in the catalogue."""
+    return drives.where(F.col("label") != label)
+
+
 def list_drives(drives: DataFrame, online: bool | None = None) -> DataFrame:
     rows = drives if online is None else drives.where(F.col("is_online") == online)
     return rows.orderBy("added_at", "id")

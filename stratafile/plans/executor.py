@@ -149,9 +149,7 @@ def _fold(store: Store, plan_id: int, done: list[Done]) -> None:
     status = "aborted" if failed else "in_progress" if open_ else "completed"
     store.update("migration_plans", lambda p: set_where(p, F.col("id") == plan_id, status=status, completed_files=files, completed_bytes=bytes_))
     after = steps.join(results.select("id"), "id", "left_semi").where("status = 'completed'")
-    moved = after.where("action in ('copy', 'move')").groupBy(F.col("file_id").alias("id")).agg(F.max_by("dest_path", "step_order").alias("migrated_to"), F.max_by("dest_drive_id", "step_order").alias("migrated_to_drive"), F.max("executed_at").alias("migrated_at"), F.max_by("post_hash", "step_order").alias("verified_hash"), F.lit("verified").alias("status"))
-    gone = after.where("action in ('delete', 'move')").select(F.col("file_id").alias("id"), F.lit("source_removed").alias("status")).distinct()
-    store.update("files", lambda f: set_from(set_from(f, moved), gone))
+    store.update("files", lambda f: files_after(f, after))
 
 
 def recover(store: Store, plan_id: int) -> int | None:
@@ -230,12 +228,25 @@ def rollback(store: Store, plan_id: int) -> DataFrame:
     results = _results(store, done)
     store.update("migration_steps", lambda x: set_from(x, results))
     store.update("migration_plans", lambda p: planner.with_status(p, plan_id, "aborted"))
-    back = store.read("migration_steps").join(results.where("status = 'rolled_back'").select("id"), "id", "left_semi").select("file_id").distinct()
-    store.update("files", lambda f: set_where(f.join(back.select(F.col("file_id").alias("id"), F.lit(True).alias("_back")), "id", "left"), F.col("_back"), status="classified", migrated_to=None, migrated_to_drive=None).drop("_back"))
+    store.update("files", lambda f: files_back(f, store.read("migration_steps"), results))
     store.log("plan_rolled_back", f"plan {plan_id}: {len(done)} steps", plan_id)
     return results
 
 
+def files_back(files: DataFrame, steps: DataFrame, results: DataFrame) -> DataFrame:
+    """The files table after a rollback: the files of steps that were taken back are where they were. results: (id, status) of steps."""
+    back = steps.join(results.where("status = 'rolled_back'").select("id"), "id", "left_semi").select("file_id").distinct()
+    marked = files.join(back.select(F.col("file_id").alias("id"), F.lit(True).alias("_back")), "id", "left")
+    return set_where(marked, F.col("_back"), status="classified", migrated_to=None, migrated_to_drive=None).drop("_back").select(*files.columns)
+
+
+def files_after(files: DataFrame, steps: DataFrame) -> DataFrame:
+    """The files table after these completed steps: where copies and moves went, and what is gone."""
+    moved = steps.where("action in ('copy', 'move')").groupBy(F.col("file_id").alias("id")).agg(F.max_by("dest_path", "step_order").alias("migrated_to"), F.max_by("dest_drive_id", "step_order").alias("migrated_to_drive"), F.max("executed_at").alias("migrated_at"), F.max_by("post_hash", "step_order").alias("verified_hash"), F.lit("verified").alias("status"))
+    gone = steps.where("action in ('delete', 'move')").select(F.col("file_id").alias("id"), F.lit("source_removed").alias("status")).distinct()
+    return set_from(set_from(files, moved), gone)
+
+
 def copy_remote(source: str, dest: str, move: bool = False, one_file: bool = False) -> None:
     """Copies or moves between a local folder and a remote (remote:path), either way; one_file: source and dest name a file."""
     if ":" not in source and ":" not in dest:

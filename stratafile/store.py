@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import schema
 from .errors import ConfigError, DriveNotFound, StoreError
+from .operators import filters
 
 
 #: Parts of a table before an append writes it anew.
@@ -130,20 +131,9 @@ class Store:
 
     def add_drive(self, **drive) -> int:
         """Adds a drive; the label must be new. The id follows the largest."""
-        known = self.read("drives")
-        if known.where(F.col("label") == drive.get("label")).count():
-            raise ConfigError(f"a drive {drive['label']!r} is there already")
-        for column, enum in (("role", "role"), ("backend", "backend")):
-            if drive.setdefault(column, {"role": "source", "backend": "local"}[column]) not in schema.ENUMS[enum]:
-                raise ConfigError(f"{drive[column]!r} is no {column}")
-        drive.setdefault("is_online", True)
-        if drive.get("is_readonly") is None:
-            drive["is_readonly"] = drive["role"] == "backup"
-        drive["id"] = (known.agg(F.max("id")).first()[0] or 0) + 1
-        names = schema.struct("drives").names
-        row = self.spark.createDataFrame([tuple(drive.get(n) for n in names)], schema.struct("drives"))
-        self.append("drives", row.withColumn("added_at", F.coalesce("added_at", F.current_timestamp())))
-        return drive["id"]
+        row = new_drive(self.read("drives"), **drive)
+        self.append("drives", row)
+        return row.first()["id"]
 
     def change_drive(self, label: str, **values) -> int:
         """Sets columns of a drive, which must be there: online and offline, its metadata, when it was scanned."""
@@ -154,12 +144,34 @@ class Store:
     def remove_drive(self, label: str) -> int:
         if not self.read("drives").where(F.col("label") == label).count():
             raise DriveNotFound(label)
-        return self.update("drives", lambda d: d.where(F.col("label") != label))
+        return self.update("drives", lambda d: filters.without_drive(d, label))
 
     def log(self, action: str, details: str | None = None, plan_id: int | None = None, file_id: int | None = None, drive_id: int | None = None, mode: str = "automated") -> None:
-        next_ = (self.read("audit_log").agg(F.max("id")).first()[0] or 0) + 1
-        row = self.spark.createDataFrame([(next_, None, action, file_id, plan_id, drive_id, details, mode)], schema.struct("audit_log"))
-        self.append("audit_log", row.withColumn("timestamp", F.current_timestamp()))
+        self.append("audit_log", new_entry(self.read("audit_log"), action, details, plan_id, file_id, drive_id, mode))
+
+
+def new_drive(known: DataFrame, **drive) -> DataFrame:
+    """A row for a drive beside those that are known: the label must be new, the id follows the largest."""
+    if known.where(F.col("label") == drive.get("label")).count():
+        raise ConfigError(f"a drive {drive['label']!r} is there already")
+    for column, enum in (("role", "role"), ("backend", "backend")):
+        if drive.setdefault(column, {"role": "source", "backend": "local"}[column]) not in schema.ENUMS[enum]:
+            raise ConfigError(f"{drive[column]!r} is no {column}")
+    drive.setdefault("is_online", True)
+    if drive.get("is_readonly") is None:
+        drive["is_readonly"] = drive["role"] == "backup"
+    id_ = known.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id"))
+    columns = {f.name: F.lit(drive.get(f.name)).cast(f.dataType).alias(f.name) for f in schema.struct("drives")}
+    columns["id"] = F.col("id")
+    columns["added_at"] = F.coalesce(columns["added_at"], F.current_timestamp()).alias("added_at")
+    return id_.select(*columns.values())
+
+
+def new_entry(known: DataFrame, action: str, details: str | None = None, plan_id: int | None = None, file_id: int | None = None, drive_id: int | None = None, mode: str = "automated") -> DataFrame:
+    """An audit row of this moment; its id follows the largest."""
+    values = {"action": action, "details": details, "plan_id": plan_id, "file_id": file_id, "drive_id": drive_id, "agent_mode": mode}
+    row = known.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id"))
+    return schema.conform(row.select("id", F.current_timestamp().alias("timestamp"), *[F.lit(v).alias(k) for k, v in values.items() if v is not None]), "audit_log")
 
 
 def set_where(df: DataFrame, chosen: Column, **values) -> DataFrame:

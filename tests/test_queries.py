@@ -52,6 +52,21 @@ def test_plans_stay_in_the_engine(spark, name):
     assert "CartesianProduct" not in plan
 
 
+#: What the rows of ordered queries are sorted by; a minus sign means falling.
+ORDERS = {
+    "large_files": ["-size_bytes"], "duplicate_groups": ["-total_waste_bytes"], "cross_drive_groups": ["-total_waste_bytes"], "files_by_drive": ["path"], "audit_entries": ["-timestamp"],
+    "category_statistics": ["-total_bytes"], "category_page": ["id"], "review_batches": ["-file_count"], "list_drives_online": ["id"],
+}
+
+
+@pytest.mark.parametrize("name", sorted(ORDERS))
+def test_rows_come_in_order(spark, name):
+    rows = [r.asDict() for r in QUERIES[name](spark, SF).collect()]
+    for sign, column in ((k[0] == "-", k.lstrip("-")) for k in ORDERS[name]):
+        values = [r[column] for r in rows]
+        assert len(values) > 1 and values == sorted(values, reverse=sign)
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = QUERIES["files_by_drive"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "text" not in plan.split("ReadSchema: ")[1].split(">")[0]
