@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,6 +20,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 BROADCAST_IDS = 1_000_000
 
 _own_dir: list[str] = []
+#: The scratch paths of this session that were not deleted.
+made: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="stratafile-"))
+        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
     return f"file://{_own_dir[0]}"
 
 
@@ -46,12 +51,22 @@ def own_prefix(columns: list[str]) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/stratafile/{name}-{uuid.uuid4().hex}"
+    made.append(f"{shared_dir(spark)}/stratafile/{name}-{uuid.uuid4().hex}")
+    return made[-1]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def forget(spark: SparkSession, since: int, keep: str | None = None) -> None:
+    """Deletes the scratch paths that were made since `made` had that length, but `keep`. Frames that read them can't be read afterwards."""
+    for path in made[since:]:
+        if path != keep:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    made[since:] = [keep] if keep in made[since:] else []
+
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """df as a table in the shared folder: computed once, its lineage cut, whole after the loss of any executor."""
-    path = scratch(df.sparkSession, name)
+    path = path or scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, few, values, written
-from .simhash import GATHER, keep_first, traverse
+from .simhash import GATHER, keep_first, smallest, traverse
 
 WORDS, SIMILAR, SEED = 5, 0.8, 42
 #: Bits of a table's trie and errors on the way down; bits beside the tables, and errors in them.
@@ -264,10 +264,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     pairs = sets(again, words).join(units, "node").select("unit", "node", "grams")
     roots = components(pairs.repartition("unit").sortWithinPartitions("unit").mapInArrow(_checker(similar), "a long, b long"), "near-links")
     named = written(nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-named")
-    # most roots are their only node: only the others are summed up and met again
-    linked_ = named.where("root <> node").groupBy("root").agg(F.min("first").alias("low"))
-    low = linked_.join(named.select(F.col("node").alias("root"), F.col("first").alias("own")), "root").select("root", F.least("low", "own").alias("component_id"))
-    found = named.join(few(written(low, "near-roots")), "root", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
+    found = smallest(named, "node").select("node", "component_id")
     return signed.select("doc_id", "node").join(found, "node").select("doc_id", "component_id")
 
 

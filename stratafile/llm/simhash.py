@@ -11,7 +11,7 @@ LARGE fingerprints are split into pairs of deeper nodes first, by the same trave
 A unit gives a spanning forest of its links, not all pairs, which keeps the components and is linear in a dense group; the components of all units' forests follow by
 alternating stars. Equal fingerprints are one node; documents take the component of their fingerprint.
 
-Defined cases: a null text or one without words has the fingerprint zero, which is linked like any other; repeated rows share a component; documents without an id get a
+Defined cases: a null text or one without words has the fingerprint zero, which is linked like any other; a bit that exactly half of the hashes have is 0; repeated rows share a component; documents without an id get a
 component by the others of it; an empty table gives an empty result; texts are read whole; other columns are not read."""
 
 from __future__ import annotations
@@ -265,14 +265,20 @@ def trie_links(nodes: DataFrame) -> DataFrame:
     return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_join, "a long, b long")
 
 
+def smallest(named: DataFrame, node: str) -> DataFrame:
+    """named (node, root, first) with component_id, the smallest first of the root's nodes. Most roots are their only node: only the others are summed up, and meet the nodes again."""
+    low = named.where(F.col("root") != F.col(node)).groupBy("root").agg(F.min("first").alias("low"))
+    low = low.join(named.select(F.col(node).alias("root"), F.col("first").alias("own")), "root").select("root", F.least("low", "own").alias("component_id"))
+    return named.join(few(written(low, "roots")), "root", "left").withColumn("component_id", F.coalesce("component_id", "first"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id), a row for each row of docs: component_id is the smallest doc_id that links of fingerprints reach."""
     fps = written(fingerprints(docs, doc_id, text), "op4-fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(trie_links(nodes.select("fp")), "op4-links")
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = named.select("fp", "root").join(least, "root").select("fp", "component_id")
+    named = written(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "op4-named")
+    found = smallest(named, "fp").select("fp", "component_id")
     return fps.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
