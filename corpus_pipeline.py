@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratafile.llm import decontaminate, language_id, mixing, near_copies, sharding
-from stratafile.llm.common import table, written
+from stratafile.llm.common import forget, made, scratch, table, written
 
 SHARDS = 40
 
@@ -49,7 +49,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. What a stage wrote on its way is deleted once its result is there, and its result once the next one is."""
+    docs, since = table(spark, sf_dir, "documents"), len(made)
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch(spark, f"pipeline-{name}")
+        docs = written(stage(spark, docs, sf_dir), name, path)
+        forget(spark, since, path)
     return docs
