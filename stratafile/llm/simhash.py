@@ -2,8 +2,9 @@
 
 Fingerprint: lower-case (A-Z) words in shingles of WORDS, repeats included, hashed by XXH64 (seed 42); a bit is set where over half of the hashes have it.
 
-Self-join: two fingerprints that differ in at most BUDGET bits agree in at least one of BUDGET + 1 blocks of bits. So there is a trie for each block, over
-the distinct fingerprints turned to begin with it, whose first levels allow no error: what hangs below a value of the block is a unit. In a
+Self-join: two fingerprints that differ in at most BUDGET bits agree in at least one of BUDGET + 1 blocks of bits, or two of BUDGET + 2. So there is a trie for each block, over
+the distinct fingerprints rearranged to begin with it, whose first levels allow no error: what hangs below a value of the block is a unit. Where there are so many fingerprints that such units
+would be large, there is a trie for each two of BUDGET + 2 blocks. In a
 unit pairs of nodes go down together, (node, node) first; a pair adds an error where its branches differ and is dropped when the errors exceed the
 budget. A pair whose remaining levels can't exceed the budget is linked as a whole; leaves are compared at once. Units of more than
 LARGE fingerprints are split into pairs of deeper nodes first, by the same traversal over counted nodes, so that no task holds a large unit.
@@ -17,6 +18,7 @@ component by the others of it; an empty table gives an empty result; texts are r
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,6 @@ from pyspark.sql import functions as F
 from .common import components, few, values, written
 
 WORDS, SEED, BUDGET = 4, 42, 4
-#: (offset, width) of the blocks, from the highest bit.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Fingerprints of a unit that one task takes, at most, and the levels by which larger ones are split.
 LARGE, STEP = 100_000, 4
 #: Pairs of nodes that are held at once, and how many comparisons a pair may need to be compared leaf by leaf.
@@ -37,6 +37,19 @@ HELD, FEW = 500_000, 16
 GATHER = 200_000
 
 
+def arrangements(blocks: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(width, order) of each trie: the blocks that must agree come first, width bits together; order has (offset, width) of all blocks, offsets from the highest bit."""
+    ends = [round(i * 64 / blocks) for i in range(blocks + 1)]
+    cut = list(zip(ends, [b - a for a, b in zip(ends, ends[1:])]))
+    first = list(combinations(cut, blocks - BUDGET))
+    return [(sum(w for _, w in own), [*own, *(b for b in cut if b not in own)]) for own in first]
+
+
+def blocks_for(n: int) -> int:
+    """How many blocks n distinct fingerprints are cut into, so that usual units stay below LARGE."""
+    return BUDGET + 1 if n >> (64 // (BUDGET + 1)) <= LARGE else BUDGET + 2
+
+
 def fingerprint(text: str | None) -> int:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
@@ -165,16 +178,10 @@ def traverse(keys: np.ndarray, starts: list[tuple[int, np.ndarray]], budget: int
     return root
 
 
-def _turn(x: np.ndarray, by: np.ndarray) -> np.ndarray:
-    """x with its bits turned left by `by`."""
-    by = by.astype(np.uint64)
-    return (x << by) | (x >> ((np.uint64(64) - by) % np.uint64(64))) if len(x) else x
-
-
-def _links(unit, level, err, side, offset, key):
+def _links(unit, level, err, side, fp, key):
     """(fp, root fp) of the links in the units, whose rows stand together."""
     order = np.lexsort((key, side, unit))
-    unit, level, err, side, offset, key = unit[order], level[order], err[order], side[order], offset[order], key[order]
+    unit, level, err, side, fp, key = unit[order], level[order], err[order], side[order], fp[order], key[order]
     cut = np.flatnonzero(np.concatenate([[True], (unit[1:] != unit[:-1]) | (side[1:] != side[:-1])]))
     lo, hi = cut, np.append(cut[1:], len(unit))
     pairs, at = [], []
@@ -189,8 +196,7 @@ def _links(unit, level, err, side, offset, key):
     pairs, at = np.concatenate(pairs).astype(np.int64), np.concatenate(at)
     root = traverse(key, [(int(x), pairs[at == x]) for x in np.unique(at)])
     moved = np.flatnonzero(root != np.arange(len(root)))
-    back = lambda i: _turn(key[i], (64 - offset[i]) % 64).view(np.int64)
-    return back(moved), back(root[moved])
+    return fp[moved], fp[root[moved]]
 
 
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,25 +225,26 @@ def _prefix(bits: int):
 def _split(keys: DataFrame, hot: DataFrame) -> DataFrame:
     """Rows of the units that the hot ones are split into: a pair of deeper nodes is a unit of its own, with a side for each node.
 
-    keys: (r, offset, width, p, key) of hot units; hot: (r, p). Only counted nodes are joined here, by their parents."""
-    rows = written(keys.join(hot.select("r", "p"), ["r", "p"]).select("r", "offset", "width", "p", "key"), "op4-hot")
+    keys: (r, width, p, key, fp) of hot units; hot: (r, p). Only counted nodes are joined here, by their parents."""
+    rows = written(keys.join(hot.select("r", "p"), ["r", "p"]).select("r", "width", "p", "key", "fp"), "op4-hot")
+    most = rows.agg(F.max("width")).first()[0]
     pairs = hot.select("r", F.lit(0).alias("down"), F.col("p").alias("a"), F.col("p").alias("b"), F.lit(0).cast("long").alias("err"))
     ready, down = [], 0
-    while down + STEP + 13 <= 64:
+    while down + STEP + most <= 64:
         down += STEP
         node = F.expr(f"shiftrightunsigned(key, 64 - width - {down})")
         nodes = rows.groupBy("r", node.alias("c")).agg(F.count("*").alias("n")).withColumn("up", F.shiftrightunsigned("c", STEP))
         x = pairs.join(nodes.select("r", F.col("up").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na")), ["r", "a"]).join(nodes.select("r", F.col("up").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb")), ["r", "b"])
         x = x.withColumn("err", F.bit_count(F.col("ca").bitwiseXOR(F.col("cb"))).cast("long")).where((F.col("err") <= BUDGET) & ((F.col("a") != F.col("b")) | (F.col("ca") <= F.col("cb"))))
         x = written(x.select("r", F.lit(down).alias("down"), F.col("ca").alias("a"), F.col("cb").alias("b"), "err", (F.col("na") + F.col("nb")).alias("n")), "op4-pairs")
-        last = down + STEP + 13 > 64
+        last = down + STEP + most > 64
         done = x if last else x.where(F.col("n") <= LARGE)
         unit = F.xxhash64("r", F.lit(down), "a", "b")
         part = rows.withColumn("c", node)
         for side, name in ((0, "a"), (1, "b")):
             take = done.where("a <> b") if side else done
             take = take.select("r", F.col(name).alias("c"), unit.alias("unit"), F.when(F.col("a") == F.col("b"), F.lit(-1)).otherwise(F.col("err")).cast("long").alias("err"))
-            ready.append(part.join(take, ["r", "c"]).select("unit", (F.col("width") + down).cast("long").alias("level"), "err", F.lit(side).cast("long").alias("side"), F.col("offset").cast("long"), "key"))
+            ready.append(part.join(take, ["r", "c"]).select("unit", (F.col("width") + down).cast("long").alias("level"), "err", F.lit(side).cast("long").alias("side"), "fp", "key"))
         pairs = x.where(F.col("n") > LARGE).drop("n")
         if last or not pairs.limit(1).count():
             break
@@ -247,19 +254,26 @@ def _split(keys: DataFrame, hot: DataFrame) -> DataFrame:
     return out
 
 
-def trie_links(nodes: DataFrame) -> DataFrame:
+def trie_links(nodes: DataFrame, blocks: int | None = None) -> DataFrame:
     """(a, b): a spanning forest of each unit's links among the distinct fingerprints of nodes (fp)."""
-    blocks = F.array(*[F.struct(F.lit(i).alias("r"), F.lit(o).alias("offset"), F.lit(w).alias("width")) for i, (o, w) in enumerate(BLOCKS)])
-    turned = nodes.select("fp", F.explode(blocks).alias("x")).select("fp", "x.*")
-    turned = turned.withColumn("key", F.when(F.col("offset") == 0, F.col("fp")).otherwise(F.expr("shiftleft(fp, offset) | shiftrightunsigned(fp, 64 - offset)")))
-    turned = turned.select("r", "offset", "width", F.expr("shiftrightunsigned(key, 64 - width)").alias("p"), "key")
+
+    def key(order: list[tuple[int, int]]):
+        out, at = F.lit(0).cast("long"), 0
+        for offset, width in order:
+            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.shiftleft("fp", offset), 64 - width), 64 - width - at))
+            at += width
+        return out
+
+    tries = arrangements(blocks or blocks_for(nodes.count()))
+    turned = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("r"), F.lit(w).alias("width"), key(order).alias("key")) for i, (w, order) in enumerate(tries)])).alias("x")).select("fp", "x.*")
+    turned = turned.select("r", "width", F.expr("shiftrightunsigned(key, 64 - width)").alias("p"), "key", "fp")
     hot = written(turned.groupBy("r", "p").count().where(F.col("count") > LARGE).drop("count").repartition(1), "op4-hot-units")
     units = turned
     split = None
     if hot.limit(1).count():
         units = turned.join(hot, ["r", "p"], "left_anti")
         split = _split(turned, hot)
-    units = units.select((F.col("r").cast("long") * F.lit(2**13) + F.col("p")).alias("unit"), F.col("width").cast("long").alias("level"), F.lit(-1).cast("long").alias("err"), F.lit(0).cast("long").alias("side"), F.col("offset").cast("long").alias("offset"), "key")
+    units = units.select((F.col("r").cast("long") * F.lit(2**32) + F.col("p")).alias("unit"), F.col("width").cast("long").alias("level"), F.lit(-1).cast("long").alias("err"), F.lit(0).cast("long").alias("side"), "fp", "key")
     if split is not None:
         units = units.unionByName(split)
     return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_join, "a long, b long")
@@ -275,7 +289,7 @@ def smallest(named: DataFrame, node: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id), a row for each row of docs: component_id is the smallest doc_id that links of fingerprints reach."""
     fps = written(fingerprints(docs, doc_id, text), "op4-fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "op4-nodes")
     roots = components(trie_links(nodes.select("fp")), "op4-links")
     named = written(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "op4-named")
     found = smallest(named, "fp").select("fp", "component_id")

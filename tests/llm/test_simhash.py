@@ -77,8 +77,15 @@ def test_traverse_finds_all_links(monkeypatch, held, few):
     assert [int(r) for r in root] == [want[int(k)] for k in keys]
 
 
-@pytest.mark.parametrize("large", [100_000, 20, 3])
-def test_trie_join_against_brute_force(spark, monkeypatch, large):
+def test_arrangements_hold_all_bits_and_blocks_follow_the_number():
+    for blocks, tries, width in ((5, 5, 12), (6, 15, 20)):
+        found = simhash.arrangements(blocks)
+        assert len(found) == tries and all(w >= width and sorted(o + i for o, n in order for i in range(n)) == list(range(64)) for w, order in found)
+    assert simhash.blocks_for(10**8) == 5 and simhash.blocks_for(10**9) == 6
+
+
+@pytest.mark.parametrize("large,blocks", [(100_000, 5), (20, 5), (3, 5), (100_000, 6), (3, 6)])
+def test_trie_join_against_brute_force(spark, monkeypatch, large, blocks):
     monkeypatch.setattr(simhash, "LARGE", large)
     rnd = random.Random(3)
     fps = cloud(rnd, 80)
@@ -86,7 +93,7 @@ def test_trie_join_against_brute_force(spark, monkeypatch, large):
     fps += [near ^ (i << 20) for i in range(200)]  # one large unit for most blocks
     rows = [(i, f) for i, f in enumerate(rnd.sample(sorted(set(fps)), len(set(fps))))]
     signed = [(f - 2**64 if f >= 2**63 else f,) for _, f in rows]
-    links = simhash.trie_links(spark.createDataFrame(signed, "fp long"))
+    links = simhash.trie_links(spark.createDataFrame(signed, "fp long"), blocks)
     found = {r["node"]: r["root"] for r in simhash.components(links, "test-links").collect()}
     want = slow_components(rows)
     groups = lambda of: {tuple(sorted(f for f in (x for _, x in rows) if of(f) == g)) for g in {of(f) for _, f in rows}}
