@@ -34,8 +34,11 @@ def with_role(files: DataFrame, drives: DataFrame, *roles: str) -> DataFrame:
     return files.join(drives.where(F.col("role").isin(*roles)).select(F.col("id").alias("drive_id")), "drive_id", "left_semi").select(*files.columns)
 
 
-def expected_backups(files: DataFrame, drives: DataFrame) -> DataFrame:
-    """(source_id, backup_id, md5_hash, source_label, backup_label): copies on backup drives of files on source drives."""
+def expected_backups(files: DataFrame, drives: DataFrame, min_size: int = 0) -> DataFrame:
+    """(source_id, backup_id, md5_hash, source_label, backup_label): copies on backup drives of files on source drives.
+
+    All pairs of a hash are asked for; min_size=1 leaves out empty files, which all have one hash."""
+    files = files.where(F.col("size_bytes") >= min_size) if min_size else files
     labels = drives.select("id", "label")
     side = lambda role, name: with_role(files, drives, role).where("md5_hash is not null").join(labels.select(F.col("id").alias("drive_id"), F.col("label").alias(f"{name}_label")), "drive_id").select("md5_hash", F.col("id").alias(f"{name}_id"), F.col("path").alias(f"{name}_path"), f"{name}_label")
     return side("source", "source").join(side("backup", "backup"), "md5_hash")
