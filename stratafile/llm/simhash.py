@@ -32,7 +32,7 @@ WORDS, SEED, BUDGET = 4, 42, 4
 #: Fingerprints of a unit that one task takes, at most, and the levels by which larger ones are split.
 LARGE, STEP = 100_000, 4
 #: Pairs of nodes that are held at once, and how many comparisons a pair may need to be compared leaf by leaf.
-HELD, FEW = 500_000, 16
+HELD, FEW = 100_000, 16
 #: Rows that a task gathers before it traverses their units.
 GATHER = 200_000
 
