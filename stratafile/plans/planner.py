@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ConfigError, InsufficientSpace, MigrationError
 from ..functions.formats import destination, preferred_hash, safe_write_bytes
-from ..operators.order import with_running
+from ..operators.order import numbered, with_running
 from ..schema import conform
 
 TYPES = ("delete-trash", "dedup", "migrate", "offload")
@@ -24,7 +24,7 @@ class Plan:
 
 def ordered_steps(rows: DataFrame, key: str, name: str = "step_order") -> DataFrame:
     """rows numbered from 0 by the key, a number."""
-    return with_running(rows, key, {name: F.lit(1)}).withColumn(name, (F.col(name) - 1).cast("int"))
+    return numbered(rows, [F.col(key)], name).withColumn(name, F.col(name).cast("int"))
 
 
 def _step(files: DataFrame, plan_id: int, **columns: Column) -> DataFrame:

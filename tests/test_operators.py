@@ -242,3 +242,14 @@ def test_numbers_and_sums_in_pieces(spark, monkeypatch):
     pieces = order.with_running(rows, "id", {"n": F.lit(1), "b": F.col("size_bytes")}).select("id", "n", "b")
     assert {tuple(r) for r in pieces.collect()} == whole and {r[0] + 1 == r[1] for r in whole} == {True}
     assert ids(planner.batch_prefix(rows, 600)) == sorted(r[0] for r in whole if r[2] <= 600)
+
+
+def test_equal_keys_span_pieces(spark):
+    from stratafile.operators import order
+
+    rows = spark.range(20_000).select(F.lit(7).alias("key"), F.col("id").alias("other"), F.expr("id % 5").alias("b")).repartition(5)
+    pieces = order.in_pieces(rows, [F.col("key")], 8).groupBy("_piece").count().collect()
+    assert len(pieces) == 8 and max(r["count"] for r in pieces) < 5_000
+    got = order.numbered(rows, [F.col("key"), F.desc("other")], "n", pieces=8).collect()
+    assert sorted((r["n"], r["other"]) for r in got) == [(i, 19_999 - i) for i in range(20_000)]
+    assert order.numbered(rows.limit(0), [F.col("key")], "n", pieces=3).count() == 0 and order.numbered(rows.select("key", F.lit(None).cast("long").alias("other"), "b"), [F.col("other")], "n", 4).agg(F.countDistinct("n")).first()[0] == 20_000
