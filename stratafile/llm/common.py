@@ -2,45 +2,27 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scratch import BROADCAST_ROWS as BROADCAST_IDS
+from ..scratch import few, forget, made, scratch, shared_dir, written
+
+__all__ = ["BROADCAST_IDS", "SPACE", "WORD", "components", "few", "forget", "made", "normal_spaces", "own_prefix", "scratch", "shared_dir", "table", "values", "with_before", "written"]
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
-#: Ids that may be broadcast at once: 8 MB as longs. Beyond it the operators join by shuffle.
-BROADCAST_IDS = 1_000_000
-
-_own_dir: list[str] = []
-#: The scratch paths of this session that were not deleted.
-made: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset, a local session gets one of its own; a cluster must name one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="stratafile-"))
-        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
-    return f"file://{_own_dir[0]}"
-
-
 def own_prefix(columns: list[str]) -> str:
     """A prefix that no column has, for names that are added to a caller's table."""
     prefix = "_own_"
@@ -49,33 +31,6 @@ def own_prefix(columns: list[str]) -> str:
     return prefix
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    made.append(f"{shared_dir(spark)}/stratafile/{name}-{uuid.uuid4().hex}")
-    return made[-1]
-
-
-def forget(spark: SparkSession, since: int, keep: str | None = None) -> None:
-    """Deletes the scratch paths that were made since `made` had that length, but `keep`. Frames that read them can't be read afterwards."""
-    for path in made[since:]:
-        if path != keep:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    made[since:] = [keep] if keep in made[since:] else []
-
-
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """df as a table in the shared folder: computed once, its lineage cut, whole after the loss of any executor."""
-    path = path or scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def few(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
-    """df, marked for broadcast if it has at most `most` rows; written first, so that counting doesn't compute it twice."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def values(column: pa.Array, n: int = 256) -> Iterator:
     """The column's values, a few at a time as Python objects, so that a worker doesn't hold a whole batch of texts twice."""
     for i in range(0, len(column), n):

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import cluster
 from .common import table
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .html_text import extract
+from .importance import resample
 from .language_id import languages
 from .mixing import mix
 from .sharding import shard
@@ -77,8 +79,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_language_id, op4_simhash, op5_html_text, op6_exact_dedup, op7_decontamination, op8_token_counts, op9_url_filter, op10_sharding)}
+    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_language_id, op4_simhash, op5_html_text, op6_exact_dedup, op7_decontamination, op8_token_counts, op9_url_filter, op10_sharding, op11_importance, op13_centroids)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -44,7 +44,63 @@ def _url_filter(depth: int = 6) -> str:
         FROM z"""
 
 
+def _crc_table() -> list[int]:
+    """What CRC32 (the reflected polynomial 0xEDB88320) gives for each byte."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+_CRC = f"""x AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM (SELECT w FROM dw UNION ALL SELECT w FROM bw))),
+             y AS (SELECT w, list_transform(range(0, len(h) // 2), lambda i: CAST(position(h[2 * i + 1] IN '0123456789ABCDEF') * 16 - 16 + position(h[2 * i + 2] IN '0123456789ABCDEF') - 1 AS BIGINT)) AS b FROM x),
+             c AS MATERIALIZED (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda a, v: xor(a >> 8, ({_crc_table()}::BIGINT[])[(xor(a, v) & 255) + 1])), 4294967295) % 10000 AS bucket FROM y)"""
+
+
+def _clusters(rounds: int = 3) -> str:
+    """All distances to all centroids, a round after the other."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+             d{r} AS (SELECT x.i, c{r}.k, sum((x.x - c{r}.c) * (x.x - c{r}.c)) AS d FROM x JOIN c{r} ON x.pos = c{r}.pos GROUP BY x.i, c{r}.k),
+             a{r} AS MATERIALIZED (SELECT i, k, d FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, k) AS n FROM d{r}) WHERE n = 1)""")
+        if r < rounds:
+            steps.append(f"""
+             s{r} AS (SELECT a{r}.k, x.pos, sum(x.x) AS s, count(*) AS n FROM a{r} JOIN x ON a{r}.i = x.i GROUP BY a{r}.k, x.pos),
+             c{r + 1} AS MATERIALIZED (SELECT c{r}.k, c{r}.pos, CAST(CASE WHEN s IS NULL THEN c ELSE (s - ((s % n) + n) % n) // n END AS BIGINT) AS c FROM c{r} LEFT JOIN s{r} ON c{r}.k = s{r}.k AND c{r}.pos = s{r}.pos)""")
+    return f"""
+        WITH e AS (SELECT vec_id, list_transform(embedding, lambda z: CAST(z AS DOUBLE)) AS v FROM embeddings),
+             v AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, list_transform(v, lambda z: CAST(floor(64 * z) AS BIGINT)) AS v FROM e WHERE len(v) = 64 AND len(list_filter(v, lambda z: z IS NOT NULL AND isfinite(z))) = 64),
+             x AS MATERIALIZED (SELECT i, unnest(range(1, 65)) AS pos, unnest(v) AS x FROM v),
+             f AS (SELECT v, row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS k FROM v WHERE vec_id IS NOT NULL),
+             c0 AS MATERIALIZED (SELECT k, unnest(range(1, 65)) AS pos, unnest(v) AS c FROM f WHERE k < 16),{",".join(steps)},
+             h AS (SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY pos)) AS centroid_sha256 FROM c{rounds} GROUP BY k),
+             t AS (SELECT k, sum(d) AS cluster_inertia FROM a{rounds} GROUP BY k)
+        SELECT vec_id, CAST(a.k AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(t.cluster_inertia AS BIGINT) AS cluster_inertia, CAST((SELECT sum(d) FROM a{rounds}) AS BIGINT) AS inertia, h.centroid_sha256
+        FROM v JOIN a{rounds} a ON v.i = a.i JOIN h ON a.k = h.k JOIN t ON a.k = t.k"""
+
+
 SQL = {
+    "op11_importance": f"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS n, doc_id, text FROM documents),
+             dw AS MATERIALIZED (SELECT n, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) AS w FROM d),
+             bw AS MATERIALIZED (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) AS w FROM benchmark),
+             {_CRC},
+             s AS (SELECT bucket, count(*) AS s FROM dw JOIN c ON dw.w = c.w GROUP BY bucket),
+             t AS (SELECT bucket, count(*) AS t FROM bw JOIN c ON bw.w = c.w GROUP BY bucket),
+             o AS (SELECT (SELECT count(*) FROM dw) AS all_s, (SELECT count(*) FROM bw) AS all_t),
+             g AS (SELECT s.bucket, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST(all_s + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(all_t + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+                   FROM s LEFT JOIN t ON s.bucket = t.bucket CROSS JOIN o),
+             f AS (SELECT dw.n, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM dw JOIN c ON dw.w = c.w JOIN g ON c.bucket = g.bucket GROUP BY dw.n),
+             w AS (SELECT d.n, doc_id, coalesce(text, '') AS text, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, sha256('2024:' || doc_id)[1:8] AS x FROM d LEFT JOIN f ON d.n = f.n),
+             z AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((CAST('0x' || x AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM w),
+             r AS (SELECT n, row_number() OVER (ORDER BY score DESC, doc_id, sha256(text)) AS place, count(*) OVER () AS able FROM z WHERE doc_id IS NOT NULL AND n_features >= 20)
+        SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN place <= 10 * able // 100 THEN CAST(place AS BIGINT) END AS rank,
+               CAST(n_features AS BIGINT) AS n_words, CAST(count(*) OVER (PARTITION BY text) AS BIGINT) AS copies
+        FROM z LEFT JOIN r ON z.n = r.n""",
+    "op13_centroids": _clusters(),
     "op6_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS s FROM documents),
              g AS (SELECT s, min(doc_id) AS keep_id, count(*) AS n FROM d GROUP BY s)
