@@ -15,6 +15,7 @@ from .html_text import extract
 from .importance import resample
 from .language_id import languages
 from .mixing import mix
+from .quality import quality
 from .sharding import shard
 from .simhash import near_duplicates
 from .sql import SQL
@@ -83,12 +84,16 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_language_id, op4_simhash, op5_html_text, op6_exact_dedup, op7_decontamination, op8_token_counts, op9_url_filter, op10_sharding, op11_importance, op13_centroids)}
+    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_language_id, op4_simhash, op5_html_text, op6_exact_dedup, op7_decontamination, op8_token_counts, op9_url_filter, op10_sharding, op11_importance, op12_quality, op13_centroids)}
 
 
 def oracle_sql() -> dict[str, str]:
