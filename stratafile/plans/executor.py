@@ -1,7 +1,8 @@
 """Carrying plans out: file operations on the driver, one step at a time. Nothing here runs in executors, as Spark may run a task twice. Dry runs are the default.
 
-A journal line is on the disk before a step begins and after it ends (plans/journal.py). The tables are written from it when a run ends; if the driver is lost, the next run does that first, and
-looks at the one step that had begun: what it left decides whether it is done or carried out again.
+A journal line is on the disk before a step begins and after it ends (plans/journal.py). The tables are written from it when a run ends: steps, files, the audit log, and the plan's state last; writing them again
+changes nothing, and the journal goes only then. If the driver is lost, whenever, the next call does that first, and
+looks at the one step that had begun: what it left decides whether it is done or carried out again. Rollbacks are journalled alike. A rollback removes a destination only if it still is what the step made.
 
 A deletion needs the hash that the plan was made for; without one it fails, unless the options name `unhashed_deletes`. Where a step goes is told by the destination drive's backend: local folders, or a remote by rclone."""
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 from ..errors import CatalogueError, ConfigError, DestinationVerification, FileMissing, InsufficientSpace, MigrationError, PlanNotApproved, PlanNotFound, SourceChanged
 from ..functions.hashing import algorithm_of, hash_file
+from ..operators.order import numbered
+from ..schema import conform
 from ..sources.devices import free_space, run_tool
 from ..store import Store, set_from, set_where
 from . import planner
@@ -136,31 +139,44 @@ def _results(store: Store, done: Iterable[Done]) -> DataFrame:
     return store.spark.createDataFrame([(d.step_id, d.status, d.post_hash, d.error, d.at) for d in done], "id long, status string, post_hash string, error string, executed_at timestamp")
 
 
+def step_entries(known: DataFrame, steps: DataFrame, results: DataFrame, done: str, failed: str) -> DataFrame:
+    """Audit rows, one for each result of a step, that `known` lacks; results: (id, status, error, executed_at)."""
+    x = steps.select("id", "plan_id", "step_order", "file_id", "source_drive_id", "action", "source_path").join(results, "id")
+    text = F.concat(F.lit("step "), F.col("id").cast("string"), F.lit(": "), F.coalesce("error", F.concat("action", F.lit(" "), "source_path")))
+    rows = x.select("step_order", F.col("executed_at").alias("timestamp"), F.when(F.col("status") == "failed", failed).otherwise(done).alias("action"), "plan_id", "file_id", F.col("source_drive_id").alias("drive_id"), text.alias("details"), F.lit("automated").alias("agent_mode"))
+    rows = rows.join(known.select("plan_id", "action", "details", "timestamp"), ["plan_id", "action", "details", "timestamp"], "left_anti")
+    last = known.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    return conform(numbered(rows, [F.col("step_order")], "id").withColumn("id", F.col("id") + last + 1), "audit_log")
+
+
+def progress(plans: DataFrame, steps: DataFrame, files: DataFrame, plan_id: int) -> DataFrame:
+    """The plans table with the state of a plan that was begun, by its steps: aborted if one failed, in progress while some are pending; the completed steps and their files' bytes."""
+    own = steps.where(F.col("plan_id") == plan_id).join(files.select(F.col("id").alias("file_id"), F.col("size_bytes").alias("_size")), "file_id", "left")
+    good = F.col("status") == "completed"
+    state = F.when(F.count_if(F.col("status") == "failed") > 0, "aborted").when(F.count_if(F.col("status") == "pending") > 0, "in_progress").otherwise("completed")
+    x = own.agg(state.alias("status"), F.count_if(good).alias("completed_files"), F.coalesce(F.sum(F.when(good, F.col("_size"))), F.lit(0)).alias("completed_bytes"))
+    return set_from(plans, x.select(F.lit(plan_id).cast("long").alias("id"), "*"))
+
+
 def _fold(store: Store, plan_id: int, done: list[Done]) -> None:
-    """Writes results into the steps and the files, and the plan's progress."""
+    """Writes results into steps, files, the audit log and, last, the plan. Repeating it changes nothing."""
     results = _results(store, done)
     store.update("migration_steps", lambda s: set_from(s, results))
     steps = store.read("migration_steps").where(F.col("plan_id") == plan_id)
-    failed = any(d.status == "failed" for d in done)
-    open_ = steps.where("status = 'pending'").limit(1).count()
-    plan = store.read("migration_plans").where(F.col("id") == plan_id).first()
-    good = [d for d in done if d.status == "completed"]
-    files, bytes_ = (plan["completed_files"] or 0) + len(good), (plan["completed_bytes"] or 0) + sum(d.bytes for d in good)
-    status = "aborted" if failed else "in_progress" if open_ else "completed"
-    store.update("migration_plans", lambda p: set_where(p, F.col("id") == plan_id, status=status, completed_files=files, completed_bytes=bytes_))
-    after = steps.join(results.select("id"), "id", "left_semi").where("status = 'completed'")
-    store.update("files", lambda f: files_after(f, after))
+    store.update("files", lambda f: files_after(f, steps.join(results.select("id"), "id", "left_semi").where("status = 'completed'")))
+    store.append("audit_log", step_entries(store.read("audit_log"), steps, results, "step_completed", "step_failed"))
+    store.update("migration_plans", lambda p: progress(p, store.read("migration_steps"), store.read("files"), plan_id))
 
 
-def recover(store: Store, plan_id: int) -> int | None:
-    """Writes what the journal of a lost run holds into the tables; the step that had begun and not ended, if any."""
+def recover(store: Store, plan_id: int) -> tuple[int | None, bool]:
+    """Writes what the journal of a lost run holds into the tables; (the step that had begun and not ended, if any, whether there was a journal)."""
     journal = Journal(store, plan_id)
     ended, begun = journal.read()
     if ended:
         _fold(store, plan_id, [Done(**d) for d in ended])
         store.log("plan_recovered", f"plan {plan_id}: {len(ended)} steps from the journal", plan_id)
     journal.clear()
-    return begun
+    return begun, bool(ended)
 
 
 def execute(store: Store, plan_id: int, options: Options | None = None) -> DataFrame:
@@ -173,11 +189,14 @@ def execute(store: Store, plan_id: int, options: Options | None = None) -> DataF
         raise PlanNotFound(plan_id)
     if options.dry_run:
         return planner.dry_run(store.read("migration_steps").where(F.col("plan_id") == plan_id))
+    begun, folded = recover(store, plan_id)
+    plan = store.read("migration_plans").where(F.col("id") == plan_id).first()
     if plan["status"] not in ("approved", "in_progress"):
+        if folded:  # the lost run had come to its end
+            return store.read("migration_steps").where(F.col("plan_id") == plan_id).orderBy("step_order")
         raise PlanNotApproved(plan_id)
-    begun = recover(store, plan_id)
     steps = store.read("migration_steps").where(F.col("plan_id") == plan_id)
-    remotes = {r["id"]: r["rclone_remote"] for r in store.read("drives").where("backend = 'rclone'").collect()}
+    remotes = remotes_of(store)
     if plan["status"] == "approved":
         store.update("migration_plans", lambda p: planner.with_status(p, plan_id, "in_progress"))
         store.log("plan_started", f"plan {plan_id}", plan_id)
@@ -200,37 +219,122 @@ def execute(store: Store, plan_id: int, options: Options | None = None) -> DataF
         _fold(store, plan_id, done)
     else:
         store.update("migration_plans", lambda p: planner.with_status(p, plan_id, "completed"))
-    Journal(store, plan_id).clear()
     store.log("step_failed" if failed else "plan_completed", failed.error if failed else f"plan {plan_id}: {len(done)} steps", plan_id)
+    Journal(store, plan_id).clear()
     return store.read("migration_steps").where(F.col("plan_id") == plan_id).orderBy("step_order")
 
 
-def rollback(store: Store, plan_id: int) -> DataFrame:
-    """Takes completed steps back, the last first. A plan with a completed deletion can't be taken back."""
+def remotes_of(store: Store) -> dict[int, str]:
+    """The remote of each drive that has one."""
+    return {r["id"]: r["rclone_remote"] for r in store.read("drives").where("backend = 'rclone'").collect()}
+
+
+def _hash_at(path: str, remote: str | None, kind: str) -> str | None:
+    """The hash of a file on a local or remote drive; null if it isn't there."""
+    if remote is None:
+        return hash_file(path, kind).lower() if os.path.lexists(path) else None
+    name = path.lstrip("/")
+    if not run_tool("rclone", "lsf", "--files-only", f"{remote}:{os.path.dirname(name)}", "--include", f"/{_literal(os.path.basename(name))}").strip():
+        return None
+    words = run_tool("rclone", "hashsum", kind, f"{remote}:{name}", "--download").split()
+    if not words:
+        raise FileMissing(f"{remote}:{name} has no {kind}")
+    return words[0].lower()
+
+
+def _literal(name: str) -> str:
+    """A file name as a filter that matches nothing else."""
+    return "".join("\\" + c if c in "*?[]{}\\" else c for c in name)
+
+
+def _remove(path: str, remote: str | None) -> None:
+    run_tool("rclone", "deletefile", f"{remote}:{path.lstrip('/')}") if remote is not None else os.remove(path)
+
+
+def roll_step_back(step, options: Options, remotes: dict[int, str] | None = None) -> Done:
+    """Takes one completed step back; the error, if any, is in the result. A destination that is gone, or a move that is back already, is no failure; one that was changed since stays and is one."""
+    source, dest, action = step["source_path"], step["dest_path"], step["action"]
+    remote = (remotes or {}).get(step["dest_drive_id"])
+    try:
+        if not dest:
+            raise MigrationError(f"step {step['id']} has no destination")
+        if action in ("hardlink", "symlink"):
+            if os.path.lexists(dest):
+                if not (os.path.islink(dest) and os.readlink(dest) == source if action == "symlink" else os.path.samefile(source, dest)):
+                    raise DestinationVerification(dest)
+                os.remove(dest)
+            return Done(step["id"], "rolled_back")
+        if action not in ("copy", "move"):
+            raise MigrationError(f"a {action} can't be taken back")
+        expected = step["post_hash"] or step["pre_hash"]
+        there = os.path.lexists(source)
+        if action == "copy" and not there:
+            raise FileMissing(source)  # the copy may be the last one
+        if not expected and not there:
+            raise MigrationError(f"{dest}: no hash to compare it with")
+        expected = (expected or hash_file(source, "md5")).lower()
+        kind = algorithm_of(expected)
+        found = _hash_at(dest, remote, kind)
+        if found is not None and found != expected:
+            raise DestinationVerification(dest)
+        if action == "move":
+            if there and hash_file(source, kind).lower() != expected:
+                raise SourceChanged(f"{source} is another file now")
+            if found is None and not there:
+                raise FileMissing(dest)
+            if not there:
+                if remote is None:
+                    copy_file(dest, source, expected, options)
+                else:
+                    os.makedirs(os.path.dirname(source), exist_ok=True)
+                    copy_remote(f"{remote}:{dest.lstrip('/')}", source, one_file=True)
+                    _check_source(source, expected)
+        if found is not None:
+            _remove(dest, remote)
+        return Done(step["id"], "rolled_back")
+    except (OSError, CatalogueError, ValueError) as e:
+        return Done(step["id"], "failed", None, str(e) or type(e).__name__)
+
+
+def _fold_back(store: Store, plan_id: int, done: list[Done]) -> None:
+    """Writes what a rollback did into steps, files, the audit log and, last, the plan. A step that couldn't be taken back stays completed, with the error. Repeating it changes nothing."""
+    results = _results(store, done)
+    store.update("migration_steps", lambda x: set_from(x, results.withColumn("status", F.when(F.col("status") != "failed", F.col("status"))).select("id", "status", "error")))
+    steps = store.read("migration_steps").where(F.col("plan_id") == plan_id)
+    store.update("files", lambda f: files_back(f, steps, results))
+    store.append("audit_log", step_entries(store.read("audit_log"), steps, results, "step_rolled_back", "step_rollback_failed"))
+    store.update("migration_plans", lambda p: planner.with_status(p, plan_id, "aborted"))
+
+
+def rollback(store: Store, plan_id: int, options: Options | None = None) -> DataFrame:
+    """Takes completed steps back, the last first, until one can't be; (id, status, post_hash, error, executed_at) of each. A plan with a completed deletion can't be taken back.
+
+    A run, or a rollback, of the plan that was lost is written into the tables first; what it had taken back is in the result."""
+    options = options or Options(dry_run=False)
+    recover(store, plan_id)
     steps = store.read("migration_steps").where(F.col("plan_id") == plan_id)
     row = planner.rollback_feasible(steps).first()
     if row is None:
         raise PlanNotFound(plan_id)
     if not row["can_rollback"]:
         raise MigrationError(f"plan {plan_id} has completed deletions")
-    done = []
-    for s in planner.rollback_order(steps).toLocalIterator():
-        try:
-            if s["action"] == "move":
-                copy_file(s["dest_path"], s["source_path"], s["post_hash"], Options(dry_run=False))
-            elif not os.path.lexists(s["source_path"]):
-                raise FileMissing(s["source_path"])
-            os.remove(s["dest_path"])
-            done.append(Done(s["id"], "rolled_back"))
-        except (OSError, CatalogueError) as e:
-            done.append(Done(s["id"], "failed", None, str(e)))
-            break
-    results = _results(store, done)
-    store.update("migration_steps", lambda x: set_from(x, results))
-    store.update("migration_plans", lambda p: planner.with_status(p, plan_id, "aborted"))
-    store.update("files", lambda f: files_back(f, store.read("migration_steps"), results))
-    store.log("plan_rolled_back", f"plan {plan_id}: {len(done)} steps", plan_id)
-    return results
+    remotes = remotes_of(store)
+    before = [d for d in (Done(**d) for d in Journal(store, plan_id, "rollback").read()[0]) if d.status == "rolled_back"]
+    known, done = {d.step_id for d in before}, list(before)
+    with Journal(store, plan_id, "rollback") as journal:
+        for s in planner.rollback_order(steps).toLocalIterator():
+            if s["id"] in known:
+                continue
+            journal.begin(s["id"])
+            done.append(roll_step_back(s.asDict(), options, remotes))
+            journal.end(vars(done[-1]))
+            if done[-1].status == "failed":
+                break
+    _fold_back(store, plan_id, done)
+    failed = next((d for d in done if d.status == "failed"), None)
+    store.log("rollback_failed" if failed else "plan_rolled_back", failed.error if failed else f"plan {plan_id}: {len(done)} steps", plan_id)
+    Journal(store, plan_id, "rollback").clear()
+    return _results(store, done)
 
 
 def files_back(files: DataFrame, steps: DataFrame, results: DataFrame) -> DataFrame:
@@ -269,4 +373,4 @@ def verify_drive(store: Store, drive_id: int | None = None) -> tuple[DataFrame,
     return checked, verify_outcomes(checked)
 
 
-__all__ = ["Options", "copy_file", "copy_remote", "execute", "recover", "rollback", "run_step", "verify_drive"]
+__all__ = ["Options", "copy_file", "copy_remote", "execute", "recover", "roll_step_back", "rollback", "run_step", "verify_drive"]

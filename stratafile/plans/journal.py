@@ -12,8 +12,9 @@ from ..store import Store
 
 
 class Journal:
-    def __init__(self, store: Store, plan_id: int):
-        self.store, self.path = store, f"{store.root}/journal/plan-{plan_id}"
+    def __init__(self, store: Store, plan_id: int, of: str = "plan"):
+        """of: plan, or rollback."""
+        self.store, self.path = store, f"{store.root}/journal/{of}-{plan_id}"
         scheme, _, rest = self.path.partition(":")
         self.local = self.path if "/" in scheme or not rest else "/" + rest.lstrip("/") if scheme == "file" else None
         self.file, self.n = None, 0

@@ -1,5 +1,6 @@
 """Scans, the store and the facade, end to end on real folders."""
 
+import hashlib
 import json
 import os
 import struct
@@ -305,6 +306,120 @@ def test_remote_drives_by_their_backend(catalogue, tmp_path, monkeypatch):
         c.drive_refresh("none")
 
 
+def migrated(c, drive="new"):
+    """An approved plan that copies two files to a drive."""
+    c.scan("one")
+    c.classify(",".join(str(r.id) for r in c.files.where("path in ('a.txt', 'b.txt')").collect()), "docs")
+    plan = c.plan_create("migrate", target_drive=drive, category_filter="docs")
+    c.plan_approve(plan)
+    return plan
+
+
+def test_a_remote_rollback_touches_no_local_file(catalogue, tmp_path, monkeypatch):
+    c, said, there = catalogue, [], {}
+    c.drive_add("cloud", str(tmp_path / "cloudlike"), role="target", backend="rclone", rclone_remote="box")
+
+    def tool(*command):
+        said.append(command)
+        name = next((x for x in command if x.startswith("box:")), "")
+        if command[1] == "copyto" and command[3].startswith("box:"):
+            there[command[3]] = hashlib.md5(open(command[2], "rb").read()).hexdigest()
+        if command[1] == "lsf":
+            return "\n".join(x.rpartition("/")[2] for x in there if x == name + command[-1] or x == name + "/" + command[-1].lstrip("/") or x == name + command[-1].lstrip("/"))
+        if command[1] == "hashsum":
+            return f"{there[name]}  {name}\n" if name in there else ""
+        if command[1] == "deletefile":
+            del there[name]
+        return json.dumps({"total": 5000, "free": 4000}) if command[1] == "about" else ""
+
+    monkeypatch.setattr(executor, "run_tool", tool)
+    monkeypatch.setattr("stratafile.sources.devices.run_tool", tool)
+    plan = migrated(c, "cloud")
+    assert {s.status for s in c.migrate_execute(plan, execute=True).collect()} == {"completed"} and len(there) == 2
+    # local files that happen to have the remote paths
+    paths = [s.dest_path for s in c.steps.collect()]
+    (tmp_path / "cloudlike").mkdir()
+    for path in paths:
+        assert path.startswith(str(tmp_path))
+        open(path, "w").write("not the copy")
+    first = sorted(there)[0]
+    kept, there[first] = there[first], "0" * 32  # edited on the remote since
+    got = c.rollback(plan).collect()
+    assert sorted(r.status for r in got) in (["failed"], ["failed", "rolled_back"]) and first in there
+    assert {s.status for s in c.steps.collect()} <= {"completed", "rolled_back"}
+    there[first] = kept
+    assert {r.status for r in c.rollback(plan).collect()} == {"rolled_back"} and not there
+    assert {s.status for s in c.steps.collect()} == {"rolled_back"}
+    assert all(open(p).read() == "not the copy" for p in paths)
+    assert (tmp_path / "one" / "a.txt").exists() and any(x[1] == "deletefile" for x in said)
+
+
+def test_an_edited_destination_stays_and_one_that_is_gone_is_no_failure(catalogue, tmp_path):
+    c = catalogue
+    plan = migrated(c)
+    c.migrate_execute(plan, execute=True)
+    last = c.steps.orderBy("step_order").collect()
+    open(last[0].dest_path, "a").write("edited")
+    os.remove(last[1].dest_path)
+    got = {r.id: (r.status, r.error) for r in c.rollback(plan).collect()}
+    assert got[last[1].id][0] == "rolled_back" and got[last[0].id][0] == "failed" and os.path.exists(last[0].dest_path)
+    after = {r.id: r for r in c.steps.collect()}
+    assert after[last[0].id].status == "completed" and after[last[0].id].error
+    entries = {(r.action, r.file_id) for r in c.audit.collect() if r.file_id is not None}
+    assert entries >= {("step_completed", s.file_id) for s in last} | {("step_rolled_back", last[1].file_id), ("step_rollback_failed", last[0].file_id)}
+    assert c.audit_entries(file_id=last[1].file_id).count() == 2
+
+
+def state(c):
+    rows = lambda t, *cols: sorted(tuple(r) for r in t.select(*cols).collect())
+    return (
+        rows(c.files, "path", "status", "migrated_to", "category"), rows(c.steps, "step_order", "status", "action"), rows(c.plans, "status", "completed_files", "completed_bytes"),
+        sorted((r.action, r.file_id) for r in c.audit.collect() if r.action.startswith("step_")),
+    )
+
+
+def run_and_roll_back(spark, root, monkeypatch, lost):
+    """The states after a run and after its rollback; lost: after how many writes of tables the driver is lost in each, if it is."""
+    real, left = Store._add, [None]
+
+    def add(self, *more):
+        if left[0] is not None:
+            left[0] -= 1
+            if left[0] < 0:
+                raise KeyboardInterrupt
+        return real(self, *more)
+
+    for d in ("one", "new"):
+        (root / d).mkdir(parents=True)
+    for f in ("a.txt", "b.txt"):
+        (root / "one" / f).write_text(f * 3)
+    c = Catalogue(spark, str(root / "catalogue"))
+    c.drive_add("one", str(root / "one"))
+    c.drive_add("new", str(root / "new"), role="target")
+    plan, states = migrated(c), []
+    monkeypatch.setattr(Store, "_add", add)
+    for call, after in zip((lambda: c.migrate_execute(plan, execute=True), lambda: c.rollback(plan)), lost or (None, None)):
+        left[0] = after
+        try:
+            call()
+            assert lost is None
+        except KeyboardInterrupt:
+            left[0] = None
+            call()
+        left[0] = None
+        states.append(tuple(tuple(tuple(str(v).replace(str(root), "") for v in r) for r in part) for part in state(c)))
+    monkeypatch.setattr(Store, "_add", real)
+    return states
+
+
+def test_the_driver_is_lost_between_two_table_writes(spark, tmp_path, monkeypatch):
+    """Whatever write is the last one, the next call ends with the tables as without the loss."""
+    whole = run_and_roll_back(spark, tmp_path / "whole", monkeypatch, None)
+    assert whole[0][2] == (("completed", "2", "30"),) and whole[1][1][0][1] == "rolled_back" and [x[0] for x in whole[1][3]] == ["step_completed"] * 2 + ["step_rolled_back"] * 2
+    for lost in ((2, 0), (3, 1), (4, 2), (5, 3), (6, 4)):  # steps, files, audit log, plan; the last entry of the log
+        assert run_and_roll_back(spark, tmp_path / f"lost{lost[0]}", monkeypatch, lost) == whole, lost
+
+
 def test_files_reviewed_one_by_one(catalogue, spark):
     c = catalogue
     c.scan()
