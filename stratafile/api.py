@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from . import schema
 from .errors import ConfigError, DriveNotFound, MigrationError, PlanNotApproved, PlanNotFound
 from .functions.formats import contains_like, ids_from_list
-from .functions.hashing import with_missing_hashes
-from .operators import dedup, filters, joins, lint, reports, rules, stats
+from .functions.hashing import hash_ends, same_as, with_missing_hashes
+from .operators import dedup, filters, folders, joins, lint, moves, reports, rules, stats
+from .operators.staged import with_staged_hashes
 from .plans import executor, planner
 from .plans import policy as policies
 from .sources import devices, exif, fs
@@ -93,8 +94,8 @@ class Catalogue:
 
     # indexing
 
-    def scan(self, drive_label: str | None = None, sub_path: str | None = None, tombstones: bool = False, **options) -> DataFrame:
-        """Scans one drive, or all that are online; the counters."""
+    def scan(self, drive_label: str | None = None, sub_path: str | None = None, tombstones: bool = False, follow_moves: bool = False, **options) -> DataFrame:
+        """Scans one drive, or all that are online; the counters. follow_moves: files that were renamed or moved within a drive since keep their row; not with a sub_path, beside which files may have gone."""
         path = f"{self.store.root}/scans/{uuid.uuid4().hex}"
         kept = []
 
@@ -106,6 +107,8 @@ class Catalogue:
         gone = self._drive(drive_label) if tombstones and drive_label and not sub_path else None
         found, counters, *more = fs.scan_drive(self.spark, self.drives, drive_label, sub_path, keep, **options) if drive_label else fs.scan_all(self.spark, self.drives, keep, **options)
         rows = counters.collect()
+        if follow_moves and not sub_path:
+            self.store.update("files", lambda old: moves.follow(old, found))
         self.store.upsert_files(found, gone, more[0] if more else None)
         hadoop, at = self.store._fs(path)
         hadoop.delete(at, True)
@@ -113,14 +116,21 @@ class Catalogue:
         self.store.update("drives", lambda d: set_where(d, F.col("label").isin(*scanned), scanned_at=self.now))
         return self.spark.createDataFrame(rows, counters.schema)
 
-    def dedup_refresh(self, drive: str | None = None, algorithm: str = "blake3", rehash: bool = False, min_size: int = 0, per_drive: bool = False, scan: bool = True) -> DataFrame:
-        """Scans, hashes what has no hash, and groups anew; per_drive: among the drive's files only. The statistics."""
+    def dedup_refresh(self, drive: str | None = None, algorithm: str = "blake3", rehash: bool = False, min_size: int = 0, per_drive: bool = False, scan: bool = True, in_stages: bool = False) -> DataFrame:
+        """Scans, hashes what has no hash, and groups anew; per_drive: among the drive's files only. in_stages: only files that may have a copy, by size and by their first and last blocks, are
+        hashed; files of all drives are looked at then, unless per_drive. The statistics."""
         dedup.hash_column(algorithm)
         if scan:
             self.scan(drive)
         id_ = self._drive(drive)
         one = F.lit(True) if id_ is None else F.col("drive_id") == id_
-        self.store.update("files", lambda f: with_missing_hashes(f.where(one), algorithm.lower(), rehash).unionByName(f.where(~one)))
+        if in_stages:
+            scope_ = one if per_drive else F.lit(True)
+            column, full = dedup.hash_column(algorithm), lambda f: with_missing_hashes(f, algorithm.lower())
+            cleared = lambda f: f.withColumn(column, F.lit(None).cast("string")) if rehash else f
+            self.store.update("files", lambda f: with_staged_hashes(cleared(f.where(scope_)), column, hash_ends, full).unionByName(f.where(~scope_)))
+        else:
+            self.store.update("files", lambda f: with_missing_hashes(f.where(one), algorithm.lower(), rehash).unionByName(f.where(~one)))
         groups = dedup.duplicate_groups(self.files, algorithm, id_ if per_drive else None, min_size)
         self.store.write("duplicate_groups", groups)
         kept = self.groups
@@ -129,6 +139,17 @@ class Catalogue:
         self.store.write("files", assigned.unionByName(dedup.clear_assignments(self.files.where(~one))) if per_drive else assigned)
         return dedup.duplicate_statistics(kept)
 
+    def duplicates_differing(self) -> DataFrame:
+        """(id, duplicate_group, abs_path, original_path, same) of members of duplicate groups that don't agree byte by byte with the group's original, or that can't be read."""
+        first = self.files.where("is_original").select("duplicate_group", F.col("abs_path").alias("original_path"))
+        pairs = self.files.where("duplicate_group is not null and not is_original").select("id", "duplicate_group", "abs_path").join(first, "duplicate_group")
+        return same_as(pairs).where("same is null or not same")
+
+    def duplicate_folders(self, algorithm: str = "blake3", min_files: int = 1) -> DataFrame:
+        """The largest folders whose content occurs elsewhere; links don't count."""
+        there = self.files.where("status <> 'source_removed' and not coalesce(is_symlink, false)")
+        return folders.duplicate_folders(there, dedup.hash_column(algorithm), min_files)
+
     def rmlint_import(self, path: str, apply_trash: bool = False, clear_existing_duplicates: bool = False) -> DataFrame:
         """Imports lint findings; the counters."""
         found = lint_source.read(self.spark, path)

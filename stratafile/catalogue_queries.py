@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from . import schema, store
 from .functions import formats, hashing
-from .operators import dedup, filters, joins, lint, reports, rules, stats
-from .plans import executor, planner
+from .operators import dedup, filters, folders, joins, lint, moves, reports, rules, staged, stats
+from .plans import batches, executor, planner
 from .plans import policy as policies
 from .registry import oracle_sql, queries, query
 from .sources import fixtures as fx
@@ -843,7 +843,7 @@ def _(spark, sf):
 @query("blake3_hash")
 def _(spark, sf):
     """BLAKE3 has no SQL; tests hold it against published vectors."""
-    return fx.table(spark, sf, "benchmark").select("item_id", hashing.content_hash(F.col("text"), "blake3").alias("blake3_hash"))
+    return fx.table(spark, sf, "documents").select("doc_id", hashing.content_hash(F.col("text"), "blake3").alias("blake3_hash"))
 
 
 @query("fs_scan")
@@ -855,3 +855,84 @@ def _(spark, sf):
 @query("fs_scan_counts")
 def _(spark, sf):
     return stats.scan_counts(fs.entries(spark, sf))
+
+
+# Duplicates in stages, folders, moves, batches
+
+
+def staged_texts(spark, sf):
+    """documents hashed in stages, their texts standing for the files' bytes: blocks of 40 characters at both ends."""
+    texts = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("size_bytes"), F.lit(None).cast("string").alias("hash"), "text")
+    ends = lambda f: f.withColumns({"ends": F.when(F.col("size_bytes") <= 80, F.md5("text")).otherwise(F.md5(F.concat(F.left("text", F.lit(40)), F.right("text", F.lit(40))))), "read_bytes": F.least("size_bytes", F.lit(80)).cast("long")})
+    return staged.staged(texts, "hash", ends, lambda f: f.withColumn("hash", F.sha2("text", 256)))
+
+
+STAGED_SQL = """WITH d AS (SELECT doc_id AS id, n_chars AS size_bytes, text, count(*) OVER (PARTITION BY n_chars) AS same_size FROM documents WHERE n_chars IS NOT NULL),
+    s AS (SELECT *, md5(CASE WHEN size_bytes <= 80 THEN text ELSE left(text, 40) || right(text, 40) END) AS ends FROM d WHERE same_size > 1),
+    e AS (SELECT *, count(*) OVER (PARTITION BY size_bytes, ends) AS same_ends FROM s WHERE ends IS NOT NULL), h AS (SELECT id, size_bytes, sha256(text) AS hash FROM e WHERE same_ends > 1)"""
+
+
+@query("staged_duplicates", f"{STAGED_SQL} SELECT min(id) AS group_id, hash, count(*) AS files FROM h GROUP BY hash HAVING count(*) > 1")
+def _(spark, sf):
+    return staged_texts(spark, sf).by_hash.groupBy("hash").agg(F.min("id").alias("group_id"), F.count("*").alias("files")).where("files > 1")
+
+
+@query("staged_reads", f"""{STAGED_SQL} SELECT 'size' AS stage, count(*) AS files, CAST(0 AS BIGINT) AS read_bytes FROM s UNION ALL SELECT 'ends', count(*), CAST(coalesce(sum(least(size_bytes, 80)), 0) AS BIGINT) FROM s
+    UNION ALL SELECT 'hash', count(*), CAST(coalesce(sum(size_bytes), 0) AS BIGINT) FROM h""")
+def _(spark, sf):
+    return staged_texts(spark, sf).counts()
+
+
+def _folders_sql(depth: int = 5) -> str:
+    """The levels of the tree, the deepest first; its files lie at most that deep."""
+    sums = ", ".join(f"sum(CAST('0x' || sha256('child:' || digest)[{1 + 15 * i}:{15 + 15 * i}] AS HUGEINT)) AS n{i}" for i in range(4))
+    steps = ["l AS (SELECT path, h AS digest, 1 AS files, size_bytes AS bytes, len(string_split(path, '/')) AS depth FROM tr)"]
+    for d in range(depth, 0, -1):
+        below = f" UNION ALL SELECT path, digest, files, bytes FROM f{d}" if d < depth else ""
+        steps.append(f"""g{d - 1} AS (SELECT coalesce(regexp_extract(path, '^(.*)/[^/]*$', 1), '') AS path, {sums}, count(*) AS n, count(digest) AS known, sum(files) AS files, sum(bytes) AS bytes
+            FROM (SELECT path, digest, files, bytes FROM l WHERE depth = {d}{below}) GROUP BY 1),
+            f{d - 1} AS MATERIALIZED (SELECT path, CASE WHEN n = known THEN sha256('folder,' || n || ',' || n0 || ',' || n1 || ',' || n2 || ',' || n3) END AS digest, files, bytes FROM g{d - 1})""")
+    every = " UNION ALL ".join(f"SELECT * FROM f{d}" for d in range(depth))
+    return f"""WITH {fx.TREE_SQL}, {", ".join(steps)}, fo AS ({every}),
+        tw AS (SELECT *, count(*) OVER (PARTITION BY digest) AS copies FROM fo WHERE digest IS NOT NULL), du AS (SELECT * FROM tw WHERE copies > 1),
+        ma AS (SELECT digest, path, CAST(files AS BIGINT) AS files, CAST(bytes AS BIGINT) AS bytes, copies, path <> '' AND regexp_extract(path, '^(.*)/[^/]*$', 1) IN (SELECT path FROM du) AS nested FROM du)"""
+
+
+FOLDERS_SQL = f"{_folders_sql()}, res AS (SELECT * FROM ma WHERE digest IN (SELECT digest FROM ma WHERE NOT nested))"
+
+
+@query("duplicate_folders", f"{FOLDERS_SQL} SELECT * FROM res")
+def _(spark, sf):
+    return folders.duplicate_folders(fx.tree(spark, sf)).drop("drive_id")
+
+
+@query("files_in_duplicate_folders", f"""{FOLDERS_SQL}, way AS (SELECT tr.path, res.path AS folder, res.digest, row_number() OVER (PARTITION BY tr.path ORDER BY len(res.path)) AS r FROM tr JOIN res ON res.path = '' OR starts_with(tr.path, res.path || '/'))
+    SELECT path, folder, digest FROM way WHERE r = 1""")
+def _(spark, sf):
+    files = fx.tree(spark, sf)
+    return files.select("id", "path").join(folders.folder_of_files(files, folders.duplicate_folders(files)), "id").select("path", "folder", "digest")
+
+
+@query("moved_files", f"""WITH {fx.FILES_SQL}, o AS (SELECT id, CASE WHEN id % 10 IN (3, 4) THEN 'swap/' || id ELSE path END AS path FROM f)
+    SELECT id AS old_id, id + 1000000 AS new_id, CASE WHEN id % 20 = 7 THEN 'content' WHEN id % 10 IN (3, 4, 7) THEN 'inode' WHEN id % 10 = 1 THEN 'path' ELSE 'same' END AS way FROM o WHERE id % 13 <> 0 AND id % 20 <> 7
+    UNION ALL SELECT a.id, b.id + 1000000, 'content' FROM
+        (SELECT f.id, coalesce(blake3_hash, md5_hash) AS h, size_bytes, row_number() OVER (PARTITION BY coalesce(blake3_hash, md5_hash), size_bytes ORDER BY o.path, f.id) AS r FROM f JOIN o ON f.id = o.id WHERE f.id % 13 = 0 AND NOT (f.id % 13 <> 0) OR f.id % 20 = 7) a JOIN
+        (SELECT id, coalesce(blake3_hash, md5_hash) AS h, size_bytes, row_number() OVER (PARTITION BY coalesce(blake3_hash, md5_hash), size_bytes ORDER BY 'moved/' || path, id) AS r FROM f WHERE id % 13 <> 0 AND id % 20 = 7) b
+        ON a.h = b.h AND a.size_bytes = b.size_bytes AND a.r = b.r""")
+def _(spark, sf):
+    old = fx.scanned(fx.files(spark, sf))
+    return moves.matched(old, fx.rescan(old))
+
+
+@query("plan_batches", f"""WITH RECURSIVE {fx.FILES_SQL}, n AS (SELECT id, size_bytes, row_number() OVER (ORDER BY id) AS i FROM f),
+    w AS (SELECT i, id, size_bytes AS total, CAST(0 AS BIGINT) AS batch FROM n WHERE i = 1
+          UNION ALL SELECT n.i, n.id, CASE WHEN w.total + n.size_bytes > 50000 THEN n.size_bytes ELSE w.total + n.size_bytes END, CASE WHEN w.total + n.size_bytes > 50000 THEN w.batch + 1 ELSE w.batch END FROM w JOIN n ON n.i = w.i + 1)
+    SELECT id, batch FROM w""")
+def _(spark, sf):
+    return batches.all_batches(fx.files(spark, sf), 50_000).select("id", "batch")
+
+
+@query("blake3_in_parts")
+def _(spark, sf):
+    """BLAKE3 of whole documents, of which longer ones are hashed in parts of 2 KB."""
+    return hashing.blake3_of_texts(fx.table(spark, sf, "documents"), "doc_id", "text", 2).withColumnRenamed("id", "doc_id")

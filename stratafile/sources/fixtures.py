@@ -132,3 +132,36 @@ LINTS_SQL = f"""{FILES_SQL},
     li AS (SELECT id AS i, CASE id % 10 WHEN 7 THEN 'emptyfile' WHEN 8 THEN 'badlink' WHEN 9 THEN 'other' ELSE 'duplicate_file' END AS type, CASE WHEN id % 6 = 5 THEN '/gone' || abs_path ELSE abs_path END AS path,
                   size_bytes AS size, blake3_hash AS checksum, id % 3 = 0 AS is_original, drive_id AS disk_id FROM f WHERE id % 17 <> 0 AND id % 19 <> 0 AND id % 23 <> 0)"""
 
+
+
+def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as the files of two trees, a and b: of each file a copy in b, but for those with a number that is divisible by 29; some lie a level deeper."""
+    d = table(spark, sf_dir, "documents")
+    bucket = (F.col("doc_id") % 7).cast("string")
+    inner = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("deep/"), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string"))
+    both = F.filter(F.array(F.lit("a"), F.lit("b")), lambda t: (t == "a") | (F.col("doc_id") % 29 != 0))
+    return d.select(F.explode(both).alias("t"), "doc_id", "lang", bucket.alias("bucket"), inner.alias("inner"), "text", "n_chars").select(
+        F.lit(1).cast("long").alias("drive_id"), F.concat_ws("/", "t", "lang", "bucket", "inner").alias("path"), F.col("n_chars").alias("size_bytes"), F.when(F.col("doc_id") % 41 != 5, F.sha2("text", 256)).alias("blake3_hash"),
+        (F.col("doc_id") * 2 + F.when(F.col("t") == "b", 1).otherwise(0)).alias("id"),
+    )
+
+
+TREE_SQL = """tr AS (
+    SELECT t || '/' || lang || '/' || doc_id % 7 || '/' || CASE WHEN doc_id % 3 = 0 THEN 'deep/' ELSE '' END || doc_id AS path, n_chars AS size_bytes, CASE WHEN doc_id % 41 <> 5 THEN sha256(text) END AS h
+    FROM documents CROSS JOIN (VALUES ('a'), ('b')) v(t) WHERE t = 'a' OR doc_id % 29 <> 0)"""
+
+
+def rescan(files: DataFrame) -> DataFrame:
+    """The files as a later scan might find them: some renamed, some swapped with their neighbour, some edited, some copied anew, some gone, and new ones."""
+    n = F.col("id")
+    swapped = F.when(n % 10 == 3, n + 1).when(n % 10 == 4, n - 1)
+    x = files.where(n % 13 != 0)
+    x = x.withColumn("path", F.when(n % 10 == 7, F.concat(F.lit("moved/"), "path")).when(swapped.isNotNull(), F.concat(F.lit("swap/"), swapped.cast("string"))).otherwise(F.col("path")))
+    x = x.withColumn("inode", F.when(n % 20 == 7, n + 5_000_000).otherwise(F.col("inode"))).withColumn("modified_at", F.when(n % 10 == 1, F.col("modified_at") + F.expr("interval 1 day")).otherwise(F.col("modified_at")))
+    return x.withColumn("id", n + 1_000_000)
+
+
+def scanned(files: DataFrame) -> DataFrame:
+    """The files with inodes, on one drive, and the names that rescan swaps."""
+    n = F.col("id")
+    return files.withColumns({"drive_id": F.lit(1).cast("long"), "inode": n, "device_num": F.lit(1).cast("long"), "hash": F.coalesce("blake3_hash", "md5_hash"), "path": F.when((n % 10).isin(3, 4), F.concat(F.lit("swap/"), n.cast("string"))).otherwise(F.col("path"))})
