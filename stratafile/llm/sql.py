@@ -1,8 +1,8 @@
 """DuckDB SQL of the queries that SQL can express."""
 
 
-def _url_filter(depth: int = 6) -> str:
-    """The tree level by level: generalised from the top down, merged from the leaves up."""
+def _url_filter(depth: int = 8) -> str:
+    """The tree level by level, down to `depth` segments: generalised from the top down, merged from the leaves up."""
     steps = []
     for d in range(1, depth + 1):
         steps.append(f"""
@@ -25,7 +25,7 @@ def _url_filter(depth: int = 6) -> str:
              b AS (SELECT page_id, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
              g AS (SELECT *, coalesce(string_split(nullif(trim(regexp_replace(regexp_replace(path, '[0-9]+', '#', 'g'), '/+', '/', 'g'), '/'), ''), '/'), []) AS every,
                           TRY_CAST(nullif(regexp_extract(path, '[0-9]+'), '') AS BIGINT) AS doc FROM b),
-             r AS (SELECT *, CASE WHEN len(every) > {depth} THEN list_append(every[1:{depth - 1}], array_to_string(every[{depth}:], '/')) ELSE every END AS segs FROM g),
+             r AS (SELECT *, every AS segs FROM g),
              l AS (SELECT doc_id, max(greatest(toxic, 1 - quality)) AS bad FROM labels GROUP BY doc_id HAVING max(greatest(toxic, 1 - quality)) IS NOT NULL),
              t0 AS MATERIALIZED (SELECT host, segs, count(*) AS n, count(l.bad) AS labelled, coalesce(sum(l.bad), 0) AS bad, []::VARCHAR[] AS tpl FROM r LEFT JOIN l ON r.doc = l.doc_id GROUP BY host, segs),{",".join(steps)},
              alone AS (SELECT host, [] AS node, sum(labelled) AS labelled, sum(bad) AS bad FROM (SELECT * FROM own WHERE len(node) = 0 UNION ALL SELECT host, [] AS node, labelled, bad FROM m1 WHERE NOT differs) GROUP BY host{alone}),

@@ -1,7 +1,8 @@
 """URL filters: host rules, and a path-template tree of each host judged by labels. DataFrame operations only.
 
-Tree: a path is split at /, its digits become #; what lies below DEPTH - 1 segments is one segment. From the top down, below each branch of already generalised segments, a segment that few urls
-share beside many others becomes the wildcard *; so a branch has few children, whatever the number of urls. The urls of a host with the same generalised segments are a template. From the
+Tree: a path is split at /, its digits become #. From the top down, below each branch of already generalised segments, a segment that few urls
+share beside many others becomes the wildcard *; so a branch has few children, whatever the number of urls. Segments that all paths of a branch have in common are passed in one step (the common start of the least
+and the greatest path), and a path that is alone in its branch is at its end; so paths may be of any depth, and the steps are as many as branchings follow each other. The urls of a host with the same generalised segments are a template. From the
 leaves up, a branch whose bad share among the labelled urls doesn't differ from that of its siblings together with it (a two-sided test of Z2, with continuity correction) is merged
 into its parent, which is then tried in the same way; one that differs stands alone. A template belongs to the deepest branch that stands alone, or to its host's root. The purity of a branch is its bad share, smoothed by SMOOTH
 urls of the host's share, itself smoothed by the share of all; a branch at REJECT or more is blocked.
@@ -10,7 +11,7 @@ All counting is done on distinct (host, generalised path) pairs after partial ag
 
 Defined cases: a null url, or one without ://, has an empty host and path and is judged by the share of its like; an empty path belongs to the root; repeated rows are judged alike; labels
 may repeat (the worst counts) or be null (no label); branches without labels merge with their siblings; of two rules of the same length the later in code-point order wins; an empty table gives an
-empty result; urls of any length are read whole; other columns are not read."""
+empty result; rows without a page_id are judged like others; urls of any length and paths of any depth are read whole; other columns are not read."""
 
 from __future__ import annotations
 
@@ -22,8 +23,6 @@ from .common import few, written
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A branch with more than MANY different segments takes those with less than one in RARE of its urls as values of a variable.
 MANY, RARE = 20, 20
-#: Levels of a tree.
-DEPTH = 6
 #: Judged paths that are broadcast at once; more meet the urls by a shuffle.
 MOST_PATHS = 50_000
 Z2, SMOOTH, REJECT = 3.8416, 10.0, 0.5
@@ -48,24 +47,41 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 
 def segments(path: Column) -> Column:
-    """The path's segments, at most DEPTH, with every run of digits as #."""
-    all_ = F.filter(F.split(F.regexp_replace(path, "[0-9]+", "#"), "/"), lambda x: x != "")
-    rest = F.array(F.array_join(F.slice(all_, DEPTH, F.greatest(F.size(all_), F.lit(1))), "/"))
-    return F.when(F.size(all_) > DEPTH, F.concat(F.slice(all_, 1, DEPTH - 1), rest)).otherwise(all_)
+    """The path's segments, with every run of digits as #."""
+    return F.filter(F.split(F.regexp_replace(path, "[0-9]+", "#"), "/"), lambda x: x != "")
+
+
+def common(a: Column, b: Column) -> Column:
+    """How many first elements two arrays share."""
+    first = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False)
+    return F.when(first > 0, first - 1).otherwise(F.size(a)).cast("int")
 
 
 def templates(counts: DataFrame) -> DataFrame:
-    """counts (host, segs, n, ...), distinct by host and segs, with tpl: segs with wildcards. n urls have this host and these segments."""
-    deepest = counts.agg(F.max(F.size("segs"))).first()[0] or 0
-    x = counts.withColumn("tpl", F.array().cast("array<string>"))
-    for d in range(deepest):
-        x = x.withColumn("seg", F.get("segs", F.lit(d)))
-        node = x.where("seg is not null").groupBy("host", "tpl", "seg").agg(F.sum("n").alias("k"))
-        branch = node.groupBy("host", "tpl").agg(F.sum("k").alias("all_"), F.count("*").alias("kinds"))
-        rare = node.join(branch, ["host", "tpl"]).where((F.col("kinds") > MANY) & (F.col("k") * RARE < F.col("all_"))).select("host", "tpl", "seg", F.lit("*").alias("wild"))
-        x = x.join(rare, ["host", "tpl", "seg"], "left").withColumn("tpl", F.when(F.col("seg").isNull(), F.col("tpl")).otherwise(F.concat("tpl", F.array(F.coalesce("wild", "seg")))))
-        x = written(x.drop("seg", "wild"), "op9-templates")
-    return x
+    """counts (host, segs, n, ...), distinct by host and segs, with tpl and covered. n urls have this host and these segments.
+
+    tpl: the branchings that the path takes, an element each: the segments that its branch has in common, and its own segment below them or a wildcard. covered: how many segments that are, element by element."""
+    x = counts.withColumns({"tpl": F.array().cast("array<string>"), "covered": F.array().cast("array<int>"), "at": F.lit(0)})
+    done: list[DataFrame] = []
+    while True:
+        rest = F.slice("segs", F.col("at") + 1, F.greatest(F.size("segs") - F.col("at"), F.lit(0)))
+        ends = x.groupBy("host", "tpl").agg(F.min(rest).alias("low"), F.max(rest).alias("high"), F.count("*").alias("paths"))
+        branch = ends.where("paths > 1").select("host", "tpl", common(F.col("low"), F.col("high")).alias("shared"))
+        x = written(x.join(branch, ["host", "tpl"], "left").withColumn("seg", F.when(F.col("shared").isNotNull(), F.get("segs", F.col("at") + F.col("shared")))), "op9-templates")
+        done.append(x.where("seg is null").select(*counts.columns, "tpl", "covered"))
+        x = x.where("seg is not null")
+        if not x.limit(1).count():
+            break
+        node = x.groupBy("host", "tpl", "seg").agg(F.sum("n").alias("k"))
+        kinds = node.groupBy("host", "tpl").agg(F.sum("k").alias("all_"), F.count("*").alias("kinds"))
+        rare = node.join(kinds, ["host", "tpl"]).where((F.col("kinds") > MANY) & (F.col("k") * RARE < F.col("all_"))).select("host", "tpl", "seg", F.lit("*").alias("wild"))
+        step = F.array_join(F.concat(F.slice("segs", F.col("at") + 1, F.col("shared")), F.array(F.coalesce("wild", "seg"))), "/")
+        x = x.join(rare, ["host", "tpl", "seg"], "left").withColumns({"step": step, "at": F.col("at") + F.col("shared") + 1})
+        x = x.select(*counts.columns, F.concat("tpl", F.array("step")).alias("tpl"), F.concat("covered", F.array("at")).alias("covered"), "at")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def standing(named: DataFrame) -> DataFrame:
@@ -94,7 +110,7 @@ def standing(named: DataFrame) -> DataFrame:
 
 def judged(counts: DataFrame) -> DataFrame:
     """(host, segs, template, purity) from (host, segs, n, labelled, bad). template: the branch, ending in ** where the path's own template goes on below it."""
-    named = templates(counts)
+    named = written(templates(counts), "op9-named")
     alone = written(standing(named), "op9-branches")
     hosts = counts.groupBy("host").agg(F.sum("labelled").alias("h_n"), F.sum("bad").alias("h_bad"))
     t_n, t_bad = counts.agg(F.coalesce(F.sum("labelled"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
@@ -102,8 +118,9 @@ def judged(counts: DataFrame) -> DataFrame:
     scored = alone.join(hosts, "host").select("host", "node", ((F.col("bad") + SMOOTH * of_host) / (F.col("labelled") + SMOOTH)).alias("purity"))
     ways = named.select("host", "tpl").distinct().withColumn("node", F.explode(F.transform(F.sequence(F.lit(0), F.size("tpl")), lambda n: F.slice("tpl", F.lit(1), n))))
     found = ways.join(scored, ["host", "node"]).groupBy("host", "tpl").agg(F.max_by(F.struct("node", "purity"), F.size("node")).alias("of"))
-    text = F.concat(F.lit("/"), F.array_join("of.node", "/"), F.when(F.size("of.node") < F.size("tpl"), F.when(F.size("of.node") == 0, "**").otherwise("/**")).otherwise(""))
-    return named.select("host", "segs", "tpl").join(found, ["host", "tpl"]).select("host", "segs", text.alias("template"), "of.purity")
+    own = F.coalesce(F.get("covered", F.size("of.node") - 1), F.lit(0))
+    text = F.concat(F.lit("/"), F.array_join("of.node", "/"), F.when(own < F.size("segs"), F.when(own == 0, "**").otherwise("/**")).otherwise(""))
+    return named.select("host", "segs", "tpl", "covered").join(found, ["host", "tpl"]).select("host", "segs", text.alias("template"), "of.purity")
 
 
 def counted(rows: DataFrame, labels: DataFrame) -> DataFrame:

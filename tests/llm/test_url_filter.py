@@ -55,7 +55,7 @@ def brute(urls, bad):
     for url, doc in urls:
         host, _, path = url.split("://")[1].partition("/")
         segs = [s for s in re.sub("[0-9]+", "#", path).split("/") if s]
-        hosts[host].append((url, segs if len(segs) <= op.DEPTH else [*segs[: op.DEPTH - 1], "/".join(segs[op.DEPTH - 1 :])], bad.get(doc)))
+        hosts[host].append((url, segs, bad.get(doc)))
     known = [b for rows in hosts.values() for *_, b in rows if b is not None]
     share = sum(known) / len(known) if known else 0.0
     out = {}
@@ -75,7 +75,7 @@ def brute(urls, bad):
         alone, own = {}, defaultdict(list)
         for url, _, b in rows:
             own[named[url]] += [] if b is None else [b]
-        for d in range(op.DEPTH, 0, -1):
+        for d in range(max(map(len, own), default=0), 0, -1):
             at = {n: own[n] for n in list(own) if len(n) == d}
             for n, x in at.items():
                 pool = [b for m, y in at.items() if m[:-1] == n[:-1] for b in y]
@@ -102,6 +102,7 @@ def test_against_a_plain_tree(spark, seed):
     for i in range(1500):
         host = rnd.choice(["a.com", "a.com", "b.org", f"h{i % 5}.net"])
         way = [rnd.choice(["x", "y", "z", f"v{rnd.randint(1, 60)}", f"page-{i}"]) for _ in range(rnd.choice([0, 1, 2, 2, 3, 4, 8]))]
+        way = ["p", "q", "r", "s", "t", "u", "v"][: rnd.choice([0, 7, 7, 5])] + way if host == "b.org" else way
         urls.append((f"http://{host}/" + "/".join([*way, str(i)]), i))
         if rnd.random() < 0.5:
             bad[i] = int(rnd.random() < (0.9 if "x" in way else 0.1) * (1 if host == "a.com" else 0.5))
@@ -117,4 +118,13 @@ def test_wildcards_below_wildcards(spark):
     urls = [f"http://s.com/user/name{chr(97 + a % 26)}{chr(97 + a // 26)}/post/slug-{chr(97 + b)}{chr(97 + a % 26)}{chr(97 + a // 26)}" for a in range(40) for b in range(10)]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     counts = op.counted(pages.select(op.host_path(pages.url)[0].alias("host"), op.segments(op.host_path(pages.url)[1]).alias("segs"), pages.page_id.alias("doc")), spark.createDataFrame([], "doc long, bad int"))
-    assert {tuple(r.tpl) for r in op.templates(counts).collect()} == {("user", "*", "post", "*")}
+    assert {"/".join(r.tpl) for r in op.templates(counts).collect()} == {"user/*/post/*"}
+
+
+@pytest.mark.parametrize("above", ["", "/a/b/c/d/e", "/a" * 150])
+def test_deep_urls_are_judged_as_shallow_ones(spark, above):
+    urls = [f"http://s.com{above}/{'bad' if i % 2 else 'good'}/x{chr(97 + i % 26)}/{i}" for i in range(400)]
+    pages = spark.createDataFrame(list(enumerate(urls)) + [(None, urls[1])], "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, bad int")
+    got = op.filter_urls(pages, labels, []).collect()
+    assert Counter((r.template, r.verdict) for r in got) == {(f"{above}/bad/**", "block"): 201, (f"{above}/good/**", "allow"): 200}
