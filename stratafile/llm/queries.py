@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .centroids import cluster
-from .common import table
+from .common import scratch, table
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .html_text import extract
@@ -62,10 +62,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two calls on one cache: the first counts the history, the lower half of the range of doc_id, the second all documents, of which those of the history are found."""
     import public_tokenizers
 
-    counted = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
-    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+    docs, path, cache = table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), scratch(spark, "op8-cache")
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if low is not None:
+        token_counts(docs.where(F.col("doc_id") <= low + (high - low) // 2), path, cache)
+    return token_counts(docs, path, cache).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

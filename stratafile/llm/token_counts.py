@@ -163,5 +163,6 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, doc_
         new = todo.select(F.unhex(F.sha2(own, 256)).alias("digest"), shape.alias("text")).mapInArrow(_encoder(tokenizer), "digest binary, n_tokens long")
         new = new.join(known, "digest", "left_anti").groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
         new.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-    stored = read_cache(spark, cache).where(F.col("tokenizer") == version).select("digest", "n_tokens")
+    # two writers that saw the same misses have stored them twice
+    stored = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
     return rows.join(stored, "digest").select("doc_id", "n_bytes", "n_tokens")

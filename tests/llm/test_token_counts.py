@@ -48,3 +48,12 @@ def test_pieces_are_forgotten_and_taken_over(monkeypatch):
     monkeypatch.setattr(op, "REMEMBERED", 20)
     count = op.Counter(path)
     assert count(texts) == direct(path, texts) and len(count.seen) <= 30 and count.old
+
+
+def test_a_repeated_append_does_not_multiply_documents(spark):
+    path, cache = public_tokenizers.path("word_bpe_49k.json"), op.scratch(spark, "test-cache")
+    docs = spark.createDataFrame([(1, "a b c"), (2, "d"), (2, "another text of the same id"), (None, "x " * 200_000)], "doc_id long, text string")
+    first = sorted((tuple(r) for r in op.token_counts(docs, path, cache).collect()), key=str)
+    op.read_cache(spark, cache).coalesce(1).write.mode("append").parquet(cache)  # a second writer that saw the same misses
+    assert sorted((tuple(r) for r in op.token_counts(docs, path, cache).collect()), key=str) == first and len(first) == 4
+    assert [r[2] for r in first] == [n for _, n in sorted(zip(map(str, [(r[0], len(r[1].encode())) for r in docs.collect()]), direct(path, [r[1] for r in docs.collect()])))]
