@@ -4,14 +4,15 @@ Words are runs of letters, digits and underscores, lower-cased; each character o
 words in a row, or the whole item if it is shorter. The parts of the document that
 seeds cover are tiled with the item by running Karp-Rabin: the longest matches of unmarked words are marked, in both texts, until
 none of a seed's length is left; the search length starts long and is halved, and windows are found by rolling hashes and checked word by word. The part of the
-item's words that tiles cover is the coverage; THRESHOLD or more is contamination, in whatever order the tiles stand in the document. An item of fewer than SEED words so counts only where it stands whole.
+item's words that tiles cover is the coverage; THRESHOLD or more is contamination, in whatever order the tiles stand in the document. An item of fewer than SEED words so counts only where it stands whole;
+such a word or phrase is in many documents by chance, so `contaminated` reports it, but `clean` drops a document only for items of `least_words` words or more (LEAST_WORDS by default).
 
 All of that is done where the document is read. The distinct texts of the benchmark go to the executors in blocks of at most BLOCK_BYTES (a longer item is a block of its own), whatever its size: a larger benchmark
 takes more passes over the documents, not more memory; a worker builds the index of a block once. What a document shares with a block is counted by distinct seeds, never more than the block has, and a pair is only tiled if
 its seeds cover THRESHOLD of the item, which bounds its coverage.
 
 Defined cases: null and empty texts are clean; null items and those without a word match nothing; repeated items and rows are reported each; of equally long matches the first of the item, then of the
-document, is marked first; an empty benchmark or table gives an empty result; texts of any length are read whole; other columns are not read."""
+document, is marked first; rows without a doc_id are judged like others; an empty benchmark or table gives an empty result; texts of any length are read whole; other columns are not read."""
 
 from __future__ import annotations
 
@@ -30,6 +31,8 @@ from .common import few, values, written
 UNSPACED = "\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
 WORD = re.compile(rf"[^\W{UNSPACED}]+|[{UNSPACED}]")
 SEED = 5
+#: An item of fewer words drops no document.
+LEAST_WORDS = 5
 THRESHOLD = 0.5
 BLOCK_BYTES = 16_000_000
 #: The first search length; doubled lengths restart the search.
@@ -248,8 +251,8 @@ def _matcher(items, threshold):
     return run
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, that hold no benchmark item. Each block of the benchmark filters what the one before has left."""
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", threshold: float = THRESHOLD, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The rows of docs, all columns, that hold no benchmark item of least_words words or more. Each block of the benchmark filters what the one before has left."""
     for items in _blocks(_texts(benchmark, item_text)):
         name = uuid.uuid4().hex
 
@@ -257,7 +260,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text:
             block = _index(name, items, threshold)
             for batch in batches:
                 at = batch.schema.get_field_index(text)
-                yield batch.filter(pa.array([not block.matches(t) for t in values(batch.column(at))], pa.bool_()))
+                yield batch.filter(pa.array([all(m[3] < least_words for m in block.matches(t)) for t in values(batch.column(at))], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -105,7 +105,7 @@ def test_short_unspaced_and_repeated_items(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in op.contaminated(table, bench).collect()}
     assert got == {(1, 1), (2, 2), (3, 3), (5, 4), (9, 7)} | {(8, 100 + i) for i in range(500)}
-    assert {r.doc_id for r in op.clean(table, bench).collect()} == {4, 6, 7}
+    assert {r.doc_id for r in op.clean(table, bench, least_words=1).collect()} == {4, 6, 7}
 
 
 def test_long_repetitive_documents_take_time_in_proportion():
@@ -114,3 +114,13 @@ def test_long_repetitive_documents_take_time_in_proportion():
     assert [m[0] for m in block.matches("la " * 20_000)] == [1]
     assert [m[0] for m in block.matches(" ".join(f"w{i % 30}" for i in range(100_000)))] == [2]
     assert time.perf_counter() - began < 10
+
+
+def test_a_short_item_is_reported_but_drops_nothing(spark):
+    from stratafile.llm import decontaminate as op
+
+    docs = spark.createDataFrame([(1, "The cat sat on the mat."), (2, "the whole test passage of the benchmark stands here"), (None, "The end"), (4, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "The"), (2, "whole test passage of the benchmark"), (3, "the end")], "item_id long, text string")
+    assert {r.doc_id for r in op.clean(docs, items).collect()} == {1, None, 4} and op.clean(docs, items).count() == 3
+    assert op.clean(docs, items, least_words=1).count() == 1
+    assert {(r.doc_id, r.item_id) for r in op.contaminated(docs, items).collect()} == {(1, 1), (2, 1), (2, 2), (None, 1), (None, 3)}
