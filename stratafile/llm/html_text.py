@@ -3,13 +3,15 @@
 The page becomes a tree of elements by the usual rules for tags that close by themselves. Blocks of text that stand in paragraphs give points, one each, one for each
 comma and one for each 100 characters up to three, to their parent in full and to further ancestors in part; an element's points are
 discounted by its link density, and raised or lowered by what its name and its class or id say. The best container is
-kept (of equal ones the first of the page), and with it those of its siblings whose own points, or length at low link density, show that they belong to it. Menus, headers of
+kept (of equal ones the first of the page), and with it those of its siblings whose own points, or length at low link density, show that they belong to it, and all that stands between these and is no bunch of links. Menus, headers of
 the page, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out wherever they stand and however long they are. Which elements with a bad class
 or id are that is told by structure, not by size: those around the article stay, all others go. The article is the first article or main element without a bad name of
-its own and not below one; if all of them are below one, the first; without any, the first h1 by the same rule. Where a page has no text outside badly named elements, they stay.
+its own and not below one; if all of them are below one, the first; without any, the first h1 by the same rule. Forms, and elements with the role of an alert, a dialog or a search, stay in the same way where the article
+stands in them and nowhere else. Where a page has no text outside all of these, they stay. Names that may as well tell of a part of the article (side, tags) count outside articles only; a section whose
+heading just says comments or replies is one of comments, whatever its name; a label is text within a paragraph or the like only.
 
 Defined cases: null html, or a page without any text: the empty string; a page without paragraphs: the text of its body; markup that breaks off:
-what was read until then; quotes count only where an attribute's value begins with them; unknown references stay as they are; repeated rows give equal texts; an empty table gives an
+what was read until then; rows without a page_id or url are read like others; quotes count only where an attribute's value begins with them; unknown references stay as they are; repeated rows give equal texts; an empty table gives an
 empty result; pages of any length and depth are read whole, in time that grows with their length (no recursion, no searches through open elements); other columns are not read."""
 
 from __future__ import annotations
@@ -32,24 +34,34 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Their content is no markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes template noscript".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-DROPPED = frozenset("script style noscript template title head nav footer aside form button select option textarea iframe object embed svg canvas menu dialog input label math audio video map noembed noframes".split())
+DROPPED = frozenset("script style noscript template title head nav footer aside form button select option textarea iframe object embed svg canvas menu dialog input audio video map noembed noframes".split())
 #: An opening tag of the key closes an open one of these, up to the stop.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "tbody": ("tr td th thead tbody", "table"), "thead": ("tr td th", "table"), "tfoot": ("tr td th thead tbody", "table")}
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
 ENDS_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "legend"}
+#: Dropped elements that may be wrapped around a page's article, and roles that drop an element; those of WRAPS likewise.
+WRAPS, ROLES, WRAP_ROLES = frozenset(["form"]), frozenset("navigation banner contentinfo complementary menu hidden".split()), frozenset("search dialog alert".split())
+#: A label stays below these.
+PROSE = frozenset("p li td th dd dt blockquote figcaption h1 h2 h3 h4 h5 h6 pre".split())
+#: Beside the best container these belong to it like paragraphs.
+LIKE_P = frozenset("p blockquote pre ul ol dl table figure".split())
+COMMENTS = re.compile(r"(?:\d+\s+)?(?:reader\s+)?(?:comments?|replies|responses|kommentare?|commentaires?|comentarios?)(?:\s*\(?\d+\)?)?\s*:?", re.I)
 GOOD = re.compile(r"article|body|content|entry|hentry|main|page|post|story|text", re.I)
 BAD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|comments?|replies|respond|disqus|sidebar|side|related|recommend\w*|share|sharing|social|cookies?|consent|notice|popup|modal|newsletter|subscribe|signup|menu|nav\w*|breadcrumbs?|footer|masthead|site-header|toolbar|widget|pagination|pager|tags|skip)(?:$|[\s_-]|\d)", re.I)
+#: Of these, the names that count outside articles only.
+WEAK = re.compile(r"(?:^|[\s_-])(?:side|tags)(?=$|[\s_-]|\d)", re.I)
 SCORED = frozenset("p pre td blockquote li dd".split())
 #: Points that a container starts with.
 START = {"article": 8.0, "main": 6.0, "section": 1.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "ol": -3.0, "ul": -3.0, "dl": -3.0, "form": -3.0, "li": -3.0, "h1": -5.0, "h2": -5.0, "h3": -5.0}
 
+
 class Node:
-    __slots__ = ("name", "parent", "kids", "mark", "role", "score", "chars", "linked", "out", "inside", "bad", "below")
+    __slots__ = ("name", "parent", "kids", "mark", "role", "score", "chars", "linked", "out", "inside", "inside_prose", "bad", "below")
 
     def __init__(self, name, parent, mark="", role=""):
         self.name, self.parent, self.kids, self.mark, self.role = name, parent, [], mark, role
         self.score, self.chars, self.linked = None, 0, 0
-        self.out = self.inside = self.bad = self.below = False
+        self.out = self.inside = self.inside_prose = self.bad = self.below = False
 
 
 class _Open:
@@ -163,32 +175,63 @@ def _measure(root: Node, every: list[Node]) -> None:
             node.linked = node.chars
 
 
+def _says_comments(x: Node) -> bool:
+    """Whether an element begins with a heading that says nothing but comments."""
+    if x.name not in ("section", "div", "ol", "ul"):
+        return False
+    first = next((k for k in x.kids if not isinstance(k, str) or k.strip()), None)
+    if not isinstance(first, Node) or first.name not in ("h2", "h3", "h4", "h5", "h6"):
+        return False
+    text, todo = [], list(reversed(first.kids))
+    while todo and sum(map(len, text)) < 60:
+        k = todo.pop()
+        text.append(k) if isinstance(k, str) else todo.extend(reversed(k.kids))
+    return COMMENTS.fullmatch("".join(text).strip()) is not None
+
+
 def _leave_out(root: Node, every: list[Node]) -> None:
     """Marks what is no part of any main text, and with it all that stands below."""
+    wrapped = {}
     for x in every:  # parents come before their children
         up = x.parent
         x.inside = up.inside or up.name in ("article", "main", "section")
-        x.out = up.out or x.name in DROPPED or x.role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "hidden") or x.name == "header" and not x.inside
-        x.bad = x.name not in ("body", "html") and bool(x.mark) and BAD.search(x.mark) is not None
+        wraps = (x.name in WRAPS or x.role in WRAP_ROLES) and x.name not in DROPPED - WRAPS
+        gone = x.name in DROPPED - WRAPS or x.role in ROLES or x.role in WRAP_ROLES and not wraps or x.name == "header" and not x.inside
+        x.out = up.out or gone or x.name == "label" and up.name not in PROSE and not up.inside_prose
+        x.inside_prose = up.inside_prose or x.name in PROSE
+        wrapped[id(x)] = wraps or wrapped.get(id(up), False)
+        named = BAD.search(WEAK.sub(" ", x.mark) if x.inside else x.mark) is not None if x.mark else False
+        x.bad = x.name not in ("body", "html") and named or x.inside and _says_comments(x)
         x.below = up.below or up.bad
-    shown = [x for x in every if not x.out]
-    found = [x for x in shown if x.name in ("article", "main") and not x.bad] or [x for x in shown if x.name == "h1"]
+    there = [x for x in every if not x.out]
+    articles = [x for x in there if x.name in ("article", "main") and not x.bad]
+    heads = [x for x in there if x.name == "h1"]
+    free = lambda some: [x for x in some if not wrapped[id(x)]]
+    found = free(articles) or free(heads) or articles or heads
     first = next((x for x in found if not x.below), found[0] if found else None)
-    if not any(x.name in ("article", "main") and not x.bad for x in shown):
-        for x in shown:  # all articles have a bad name: it doesn't tell anything
-            x.bad = x.bad and x.name not in ("article", "main")
     around, up = set(), first
     while up is not None:
         around.add(id(up))
         up = up.parent
+    wraps = [x for x in there if (x.name in WRAPS or x.role in WRAP_ROLES) and id(x) not in around]
+    for x in wraps:
+        x.out = True
+    for x in every:
+        x.out = x.out or x.parent.out
+    shown = [x for x in every if not x.out]
+    if not any(x.name in ("article", "main") and not x.bad for x in shown):
+        for x in shown:  # all articles have a bad name: it doesn't tell anything
+            x.bad = x.bad and x.name not in ("article", "main")
     bad = [x for x in shown if x.bad and id(x) not in around]
     for x in bad:
         x.out = True
     for x in every:
         x.out = x.out or x.parent.out
     _measure(root, every)
-    if bad and not root.chars:
-        kept = {id(x) for x in shown}
+    for kept in (shown, there):  # without any other text, first badly named elements stay, then wraps
+        if root.chars or len(kept) == len([x for x in every if not x.out]):
+            continue
+        kept = {id(x) for x in kept}
         for x in every:
             x.out = id(x) not in kept
         for x in [root, *every]:
@@ -236,21 +279,24 @@ def _score(every: list[Node]) -> Node | None:
 
 
 def _kept(best: Node) -> list[Node]:
-    """The best container and those of its siblings that belong to it, in page order."""
+    """The best container and those of its siblings that belong to it, in page order, with what stands between them."""
     if best.parent is None or best.name in ("body", "html"):
         return [best]
     least = max(10.0, 0.2 * (best.score or 0.0))
-    kept = []
+    row, own = [], []
     for x in best.parent.kids:
-        if x is best:
-            kept.append(x)
-        elif isinstance(x, Node) and not x.out and x.chars:
-            dense = x.linked / x.chars
-            bonus = 0.2 * (best.score or 0.0) if x.mark and x.mark == best.mark else 0.0
-            same = (x.score is not None and x.score * (1 - dense) + bonus >= least) or (x.name == "p" and (x.chars > 80 and dense < 0.25 or x.chars <= 80 and dense == 0))
-            if same or x.name in ("h1", "h2"):
-                kept.append(x)
-    return kept
+        if isinstance(x, str) or x.out or not x.chars:
+            if isinstance(x, str) and x.strip():
+                row.append(x)
+                own.append(False)
+            continue
+        dense = x.linked / x.chars
+        bonus = 0.2 * (best.score or 0.0) if x.mark and x.mark == best.mark else 0.0
+        same = (x.score is not None and x.score * (1 - dense) + bonus >= least) or (x.name in LIKE_P and (x.chars > 80 and dense < 0.25 or x.chars <= 80 and dense == 0))
+        row.append(x)
+        own.append(x is best or same or x.name in ("h1", "h2"))
+    first, last = own.index(True), len(own) - 1 - own[::-1].index(True)
+    return [x for i, x in enumerate(row) if own[i] or first < i < last and (isinstance(x, str) or x.linked < 0.5 * x.chars)]
 
 
 def _blocks(nodes: list[Node]) -> list[str]:

@@ -2,6 +2,8 @@ import re
 import time
 from html import unescape
 
+import random
+
 import pytest
 
 from stratafile.llm import html_text as op
@@ -82,3 +84,55 @@ def test_empty_table_and_other_columns(spark):
     pages = spark.createDataFrame([(1, None, None, "t"), (1, None, None, "t"), (None, "u", "<p>x</p>", "t")], "page_id long, url string, html string, text string")
     assert op.extract(pages.limit(0)).collect() == []
     assert sorted((tuple(r) for r in op.extract(pages).collect()), key=str) == sorted([(1, None, "", 0), (1, None, "", 0), (None, "u", "x", 1)], key=str)
+
+
+P1, P2 = "The first paragraph, with commas, is long enough to be taken for prose by any rule that counts.", "The second paragraph goes on, at some length, about the same matter, and then it ends."
+ARTICLE = f"<h1>Head</h1><p>{P1}</p><p>{P2}</p>"
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (f"<body><form><div id=content>{ARTICLE}</div></form></body>", f"Head\n{P1}\n{P2}"),
+        (f"<body><nav>menu</nav><form action=x><input><article>{ARTICLE}</article></form></body>", f"Head\n{P1}\n{P2}"),
+        (f"<body><div role=alert><article>{ARTICLE}</article></div><footer>foot</footer></body>", f"Head\n{P1}\n{P2}"),
+        (f"<body><form><div><p>{P1}</p><p>{P2}</p></div></form></body>", f"{P1}\n{P2}"),
+        (f"<body><form><p>Subscribe, please, to our long and wonderful newsletter, every day.</p></form><article>{ARTICLE}</article></body>", f"Head\n{P1}\n{P2}"),
+        (f"<body><article><p>{P1} <label>a label</label> and <math><mi>x</mi>=1</math></p><p>{P2}</p><label>Search</label></article></body>", f"{P1} a label and x=1\n{P2}"),
+        (f"<body><article>{ARTICLE}<div class='side note'><p>Noted.</p></div><section class=tags><p>Tagged.</p></section></article></body>", f"Head\n{P1}\n{P2}\nNoted.\nTagged."),
+        (f"<body><div><h1>Head</h1><h3>Sub</h3><ul><li>one</li></ul><table><tr><td>cell</td></tr></table><div class=x><p>{P1}</p><p>{P2}</p></div><h3>After</h3><blockquote>Quoted, at last, by someone.</blockquote></div></body>", f"Head\nSub\none\ncell\n{P1}\n{P2}\nAfter\nQuoted, at last, by someone."),
+        (f"<body><article>{ARTICLE}<section><h2>3 Comments</h2><p>I don't agree, not at all, with this.</p></section></article></body>", f"Head\n{P1}\n{P2}"),
+        (f"<body><article>{ARTICLE}<section><h2>Comments on the law</h2><p>{P1}</p></section></article></body>", f"Head\n{P1}\n{P2}\nComments on the law\n{P1}"),
+        (f"<body><header><form role=search><input><label>Find</label></form><h1>Site</h1></header><div id=content><p>{P1}</p><p>{P2}</p></div></body>", f"{P1}\n{P2}"),
+        ("<body><form><input><button>Go</button></form></body>", ""),
+    ],
+)
+def test_pages_that_hide_their_article(html, want):
+    assert op.main_text(html) == want
+
+
+def page(rnd):
+    """(html, text) of a page whose article is known: blocks of all kinds, in one of many wrappings, among all that doesn't belong to it."""
+    words = lambda n: " ".join(rnd.choice(["stone", "river", "of", "the", "light,", "a", "walk", "home,"]) for _ in range(n))
+    blocks = [("h1", words(4))] + [("p", words(rnd.randint(30, 60)) + ".") for _ in range(rnd.randint(2, 5))]
+    for kind in rnd.sample(["h2", "h3", "li", "blockquote", "pre", "td"], rnd.randint(0, 4)):
+        blocks.insert(rnd.randint(2, len(blocks)), (kind, words(rnd.randint(3, 12))))
+    if blocks[-1][0] != "p":
+        blocks.append(("p", words(40) + "."))
+    around = {"li": "<ul><li>{}</li></ul>", "td": "<table><tr><td>{}</td></tr></table>"}
+    inner = "\n".join(around.get(k, f"<{k}>{{}}</{k}>").format(t) for k, t in blocks)
+    noise = [
+        f"<nav><ul><li><a href=/>{words(3)}</a></li></ul></nav>", f"<aside><p>{words(30)}</p></aside>", f"<div class='sidebar'><p>{words(40)}</p></div>", f"<footer><p>{words(20)}</p></footer>", f"<div id=comments><p>{words(50)}</p></div>",
+        f"<script>var x = '<p>{words(40)}</p>';</script>", f"<div class='ad banner'>{words(9)}</div>", f"<div class=cookie-notice><p>{words(3)}</p></div>", "<form><input><button>Go</button></form>", f"<ul class=menu><li><a href=a>{words(2)}</a><li><a href=b>{words(2)}</a></ul>", f"<header>{words(5)}</header>", f"<div role=navigation>{words(8)}</div>",
+    ]
+    rnd.shuffle(noise)
+    cut = rnd.randint(0, 6)
+    wrap = rnd.choice(["<article>{}</article>", "<main><div>{}</div></main>", "<div id=content>{}</div>", "<div class=post-body><div>{}</div></div>", "<form><article>{}</article></form>", "<form><div class=entry>{}</div></form>", "<div role=alert><main>{}</main></div>"])
+    body = "".join(noise[:cut]) + wrap.format(inner) + "".join(noise[cut : cut + 5] if "<form" not in wrap else [x for x in noise[cut : cut + 5] if "<form" not in x])
+    return f"<html><head><title>t</title></head><body>{body}</body></html>", "\n".join(" ".join(t.split()) for _, t in blocks)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_pages_whose_article_is_known(seed):
+    html, want = page(random.Random(seed))
+    assert op.main_text(html) == want
