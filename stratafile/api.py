@@ -11,7 +11,8 @@ from . import schema
 from .errors import ConfigError, DriveNotFound, MigrationError, PlanNotApproved, PlanNotFound
 from .functions.formats import contains_like, ids_from_list
 from .functions.hashing import hash_ends, same_as, with_missing_hashes
-from .operators import dedup, filters, folders, joins, lint, moves, reports, rules, stats
+from .functions.mime import with_mime_types
+from .operators import dedup, filters, folders, joins, lint, moves, reports, rules, stats, trigrams
 from .operators.staged import with_staged_hashes
 from .plans import executor, planner
 from .plans import policy as policies
@@ -94,8 +95,8 @@ class Catalogue:
 
     # indexing
 
-    def scan(self, drive_label: str | None = None, sub_path: str | None = None, tombstones: bool = False, follow_moves: bool = False, **options) -> DataFrame:
-        """Scans one drive, or all that are online; the counters. follow_moves: files that were renamed or moved within a drive since keep their row; not with a sub_path, beside which files may have gone."""
+    def scan(self, drive_label: str | None = None, sub_path: str | None = None, tombstones: bool = False, follow_moves: bool = False, mime_types: bool = False, **options) -> DataFrame:
+        """Scans one drive, or all that are online; the counters. mime_types: the beginning of each file is read to fill that column. follow_moves: files that were renamed or moved within a drive since keep their row; not with a sub_path, beside which files may have gone."""
         path = f"{self.store.root}/scans/{uuid.uuid4().hex}"
         kept = []
 
@@ -107,6 +108,8 @@ class Catalogue:
         gone = self._drive(drive_label) if tombstones and drive_label and not sub_path else None
         found, counters, *more = fs.scan_drive(self.spark, self.drives, drive_label, sub_path, keep, **options) if drive_label else fs.scan_all(self.spark, self.drives, keep, **options)
         rows = counters.collect()
+        if mime_types:
+            found = with_mime_types(found)
         if follow_moves and not sub_path:
             self.store.update("files", lambda old: moves.follow(old, found))
         self.store.upsert_files(found, gone, more[0] if more else None)
@@ -172,7 +175,17 @@ class Catalogue:
     def query_unclassified(self, drive: str | None = None, limit: int | None = None) -> DataFrame:
         return filters.unclassified(self.files, self._drive(drive), limit)
 
+    def _path_index(self) -> str:
+        return f"{self.store.root}/index/paths-v{self.store.version('files'):08d}"
+
+    def index_paths(self) -> None:
+        """An index of the paths of the files table as it is now, for path_contains; later versions of the table need one of their own."""
+        trigrams.build(self.files, "path", self._path_index())
+
     def query_files(self, category: str | None = None, extension: str | None = None, min_size: int | None = None, path_contains: str | None = None, drive: str | None = None, limit: int | None = None) -> DataFrame:
+        fs, at = self.store._fs(f"{self._path_index()}/size")
+        if path_contains is not None and fs.exists(at):
+            return filters.search(trigrams.search(self.files, "path", self._path_index(), path_contains), category, extension, min_size, path_contains, self._drive(drive), limit)
         return filters.search(self.files, category, extension, min_size, path_contains, self._drive(drive), limit)
 
     def query_category(self, category: str) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import schema, store
-from .functions import formats, hashing
-from .operators import dedup, filters, folders, joins, lint, moves, reports, rules, staged, stats
+from .functions import formats, hashing, mime
+from .operators import dedup, filters, folders, joins, lint, moves, reports, rules, staged, stats, trigrams
 from .plans import batches, executor, planner
 from .plans import policy as policies
 from .registry import oracle_sql, queries, query
+from .scratch import scratch
 from .sources import fixtures as fx
 from .sources import fs
 from .sources import lint as lint_source
@@ -936,3 +937,36 @@ def _(spark, sf):
 def _(spark, sf):
     """BLAKE3 of whole documents, of which longer ones are hashed in parts of 2 KB."""
     return hashing.blake3_of_texts(fx.table(spark, sf, "documents"), "doc_id", "text", 2).withColumnRenamed("id", "doc_id")
+
+
+# Searches by trigrams, many rules, media types
+
+
+@query("path_search_indexed", r"SELECT page_id AS id, url FROM pages WHERE url ILIKE '%EXAMPLE.%/en/%7%' ESCAPE '\'")
+def _(spark, sf):
+    pages = fx.table(spark, sf, "pages").select(F.col("page_id").alias("id"), "url")
+    path = scratch(spark, "trigrams")
+    trigrams.build(pages, "url", path)
+    return trigrams.search(pages, "url", path, "EXAMPLE.%/en/%7")
+
+
+#: More rules than one expression may hold: the later ones win, each takes the files whose name ends with its number.
+NUMBERED = [rules.Rule(f"r{k:03d}", "pattern", f"c{k}", patterns=[f"**/*{k}.txt"], rule_priority=k) for k in range(150)] + [rules.Rule("pictures", "extension", "images", extensions=["JPG"], rule_priority=-1), rules.Rule("rest", "size", "large", min_bytes=3000, rule_priority=-2)]
+
+
+@query("classify_by_many_rules", f"""WITH {fx.FILES_SQL}, b AS (SELECT f.id, max(k) AS k FROM f JOIN (SELECT unnest(range(0, 150)) AS k) r ON ends_with(f.path, k || '.txt') GROUP BY f.id)
+    SELECT f.id, CASE WHEN b.k IS NOT NULL THEN 'r' || lpad(CAST(b.k AS VARCHAR), 3, '0') WHEN lower(extension) = 'jpg' THEN 'pictures' WHEN size_bytes >= 3000 THEN 'rest' END AS rule_name,
+           CASE WHEN b.k IS NOT NULL THEN 'c' || b.k WHEN lower(extension) = 'jpg' THEN 'images' WHEN size_bytes >= 3000 THEN 'large' END AS category FROM f LEFT JOIN b ON f.id = b.id""")
+def _(spark, sf):
+    return rules.classify(fx.files(spark, sf), NUMBERED, now()).select("id", "match.rule_name", "match.category")
+
+
+def _type_sql(column: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN NULL WHEN {column} = '' THEN 'inode/x-empty' WHEN regexp_matches({column}, '^\\s*(<!doctype html|<html)', 'i') THEN 'text/html' ELSE 'text/plain' END"
+
+
+@query("media_types", f"SELECT 'pages' AS source, page_id AS id, {_type_sql('html')} AS mime_type FROM pages UNION ALL SELECT 'documents', doc_id, {_type_sql('text')} FROM documents")
+def _(spark, sf):
+    pages, docs = fx.table(spark, sf, "pages"), fx.table(spark, sf, "documents")
+    of = lambda t, name, key, content: t.select(F.lit(name).alias("source"), F.col(key).alias("id"), mime.mime_type(F.col(content)).alias("mime_type"))
+    return of(pages, "pages", "page_id", "html").unionByName(of(docs, "documents", "doc_id", "text"))

@@ -17,6 +17,8 @@ from ..functions.globs import matches_any
 from ..schema import ENUMS
 
 DEFAULT_PRIORITY = 50
+#: Rules that are one expression in generated code, at most.
+MANY = 100
 TYPES = ("pattern", "extension", "size", "age", "duplicate")
 STRATEGIES = ("keepoldest", "keepnewest", "keeporiginal")
 EXIF_EXTENSIONS = ("jpg", "jpeg", "png", "heic", "heif", "tiff", "tif")
@@ -151,7 +153,11 @@ def best_match(rules: list[Rule], as_of: Column, exif: bool = False, as_duplicat
 
 
 def classify(files: DataFrame, rules: list[Rule], as_of: Column, exif: DataFrame | None = None, as_duplicate: bool = False) -> DataFrame:
-    """files with a column `match`. exif: (abs_path, year, month, day, make, model) of the images that have any."""
+    """files with a column `match`. exif: (abs_path, year, month, day, make, model) of the images that have any. More than MANY rules go through one automaton (many_rules), fewer are one expression."""
+    if len(rules) > MANY:
+        from . import many_rules
+
+        return many_rules.classify(files, rules, as_of, exif, as_duplicate)
     if exif is not None:
         parts = exif.select("abs_path", F.struct("year", "month", "day", "make", "model").alias("exif"))
         files = files.join(parts, "abs_path", "left")

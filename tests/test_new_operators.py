@@ -264,3 +264,118 @@ def test_batches_of_nothing_and_of_ties(spark):
     ties = spark.createDataFrame([(1, 3, "b"), (1, 4, "a"), (0, 3, "z")], "id long, size_bytes long, name string")
     assert [(r.name, r.batch) for r in batches.all_batches(ties, 7, ties=["name"]).orderBy("id", "name").collect()] == [("z", 0), ("a", 0), ("b", 1)]
     assert hashlib.md5(b"").hexdigest() and fx.tree(spark, SF).count() > 300
+
+
+# substring searches by trigrams
+
+
+def test_index_gives_the_rows_of_a_scan_and_prunes(spark, tmp_path):
+    from stratafile.functions.formats import contains_like
+    from stratafile.operators import trigrams
+
+    rnd = random.Random(3)
+    names = ["Äpfel", "report", "REPORT final", "a_b", "100%", "日本語テキスト", "x", "", "photo", "IMG"]
+    rows = [(i, "/".join(rnd.choice(names) for _ in range(rnd.randint(1, 5))) + f"/{i}.txt") for i in range(400)] + [(500, None), (501, "ab"), (501, "rare needle here"), (None, "rare needle too")]
+    table = spark.createDataFrame(rows, "id long, path string").repartition(3)
+    at = str(tmp_path / "index")
+    trigrams.build(table, "path", at)
+    for pattern in ("needle", "NEEDLE", "rare%too", "r_re n", "äpfel", "テキスト", "100%", "ab", "", "%", "report/x", "nowhere at all", ".txt", "_7.t", "a_b/x", "/39"):
+        scan = sorted(str(tuple(r)) for r in table.where(contains_like(F.col("path"), pattern)).where("id is not null").collect())
+        assert sorted(str(tuple(r)) for r in trigrams.search(table, "path", at, pattern).where("id is not null").collect()) == scan, pattern
+    assert trigrams.candidates(spark, at, "ab") is None and trigrams.candidates(spark, at, ".txt") is None  # too short, too frequent
+    assert {r.id for r in trigrams.candidates(spark, at, "needle").collect()} == {501, None}
+    plan = trigrams.candidates(spark, at, "needle")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan.replace("PartitionFilters: [bucket", "PartitionFilters: [isnotnull(bucket") and "In(gram" in plan
+
+
+def test_catalogue_searches_by_its_index(spark, tmp_path):
+    c = Catalogue(spark, str(tmp_path / "c"))
+    c.store.write("files", fx.files(spark, SF))
+    scan = {r.id for r in c.query_files(path_contains="docs/1").collect()}
+    c.index_paths()
+    assert {r.id for r in c.query_files(path_contains="docs/1").collect()} == scan and scan
+
+
+# many rules
+
+
+def test_many_rules_are_classified_as_few(spark, monkeypatch):
+    from stratafile.operators import many_rules, rules
+
+    rnd = random.Random(5)
+    globs = ["**/tmp/**", "*.bak", "**/docs/{a,b}*/[0-9]*", "[!a-c]*", "en/**/1?.txt", "a{x,y/z}b*", "*", "lit\\*eral*", "**", "x/**", "de/docs/7.pdf", "**/*1*2*", "{", "**/deep/**/end?.log"]
+    made = []
+    for i in range(140):
+        kind = rnd.choice(rules.TYPES)
+        more = {"pattern": lambda: {"patterns": rnd.sample([g for g in globs if g != "{"], rnd.randint(0, 3)) + [f"**/{i}*"]}, "extension": lambda: {"extensions": rnd.sample(["txt", "JPG", "log", "mp4"], 2)}, "size": lambda: {"min_bytes": rnd.choice([None, 100, 2000]), "max_bytes": rnd.choice([None, 900, 5000])},
+                "age": lambda: {"older_than_days": rnd.choice([None, 50, 500]), "newer_than_days": rnd.choice([None, 700, 90])}, "duplicate": lambda: {"keep_strategy": rnd.choice(["keep_oldest", "keeporiginal"])}}[kind]()
+        made.append(rules.Rule(f"r{i}", kind, f"c{i}", subcategory=rnd.choice([None, "s"]), subcategory_from_exif=rnd.choice([None, "{exif_year}/{exif_make}"]), priority=rnd.choice([None, "low", "odd"]), rule_priority=rnd.randint(0, 9), **more))
+    row = lambda i: (i, rnd.choice([None, "en/docs/1", "en/tmp/x.bak", "a/docs/ab/7", "axb", "ay/zbq", "lit*eral", "x/y\nz", "de/docs/7.pdf", "p/deep/q/r/end1.log", f"q/{i}zz"]), rnd.choice([None, "/mnt/tmp/f", "/z/x/1a2"]), rnd.choice([None, "txt", "jpg", "LOG", "zip"]), rnd.choice([None, 0, 100, 950, 3000]), rnd.choice([None, datetime(2025, 11, 1), datetime(2024, 1, 1)]), rnd.choice([None, 4]), rnd.random() < 0.5)
+    files = spark.createDataFrame([row(i) for i in range(400)], "id long, path string, abs_path string, extension string, size_bytes long, modified_at timestamp, duplicate_group long, is_original boolean").repartition(4)
+    exif = spark.createDataFrame([("/mnt/tmp/f", "2021", None, None, None, None)], "abs_path string, year string, month string, day string, make string, model string")
+    as_of = F.lit(fx.AS_OF).cast("timestamp")
+    for n, with_exif, copies in ((12, exif, True), (140, None, False), (140, exif, True)):
+        some = rnd.sample(made, n)
+        monkeypatch.setattr(rules, "MANY", 1000)
+        few = sorted(str((r.id, r.match)) for r in rules.classify(files, some, as_of, with_exif, copies).collect())
+        monkeypatch.setattr(rules, "MANY", 0)
+        assert sorted(str((r.id, r.match)) for r in rules.classify(files, some, as_of, with_exif, copies).collect()) == few
+    assert {g: many_rules.literal(g) for g in globs[:8]} == {"**/tmp/**": "tmp", "*.bak": ".bak", "**/docs/{a,b}*/[0-9]*": "docs", "[!a-c]*": "", "en/**/1?.txt": ".txt", "a{x,y/z}b*": "a", "*": "", "lit\\*eral*": "lit*eral"}
+
+
+def test_a_thousand_rules(spark):
+    from stratafile.operators import rules
+
+    many = [rules.Rule(f"r{k}", "pattern", f"c{k}", patterns=[f"**/{k}/*.dat", f"**/*-{k}.txt"]) for k in range(1000)]
+    files = spark.createDataFrame([(i, f"a/{i}/x.dat" if i % 2 else f"b/n-{i}.txt", None, "dat", 1, None, None, False) for i in range(1200)], "id long, path string, abs_path string, extension string, size_bytes long, modified_at timestamp, duplicate_group long, is_original boolean")
+    got = rules.classify(files, many, F.lit(fx.AS_OF).cast("timestamp"))
+    assert {r.id: r.match and r.match.category for r in got.collect()} == {i: f"c{i}" if i < 1000 else None for i in range(1200)}
+    assert len(got._jdf.queryExecution().executedPlan().toString()) < 20_000
+
+
+# media types
+
+
+def zip_of(*names, body=b"x", streamed=False):
+    out = b""
+    for n in names:
+        data = body if n != "mimetype" else b"application/epub+zip"
+        size = 0 if streamed else len(data)
+        out += b"PK\x03\x04" + b"\0" * 14 + size.to_bytes(4, "little") * 2 + len(n).to_bytes(2, "little") + b"\0\0" + n.encode() + data
+    return out
+
+
+HEADS = {
+    b"": "inode/x-empty", b"\x89PNG\r\n\x1a\nrest": "image/png", b"\xff\xd8\xff\xe0": "image/jpeg", b"RIFF\x01\x02\x03\x04WEBPVP8 ": "image/webp", b"RIFF\x09\x02\x03\x04WAVEfmt ": "audio/x-wav", b"RIFF\x09\x02\x03\x04ODD ": "application/octet-stream",
+    b"\0\0\0\x18ftypheic": "image/heic", b"\0\0\0\x18ftypisom": "video/mp4", b"\0\0\0\x18ftypqt  ": "video/quicktime", b"\x1aE\xdf\xa3" + b"webm": "video/webm", b"%PDF-1.7": "application/pdf", b"\0" * 257 + b"ustar\0": "application/x-tar",
+    zip_of("mimetype", "META-INF/container.xml"): "application/epub+zip", zip_of("[Content_Types].xml", "word/document.xml"): "application/vnd.openxmlformats-officedocument.wordprocessingml.document", zip_of("a.txt"): "application/zip",
+    zip_of("_rels/.rels", "xl/workbook.xml", streamed=True): "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", b" \n<!DOCTYPE html><p>": "text/html", b"<?xml version='1.0'?><a/>": "text/xml", b"<?xml version='1.0'?><svg/>": "image/svg+xml",
+    b"BM is a text": "text/plain", b"MZ\x90\0\x03": "application/x-dosexec", b"plain \xc3\xa9": "text/plain", b"broken \xff\xfd": "application/octet-stream", b"nul\0": "application/octet-stream", b"#!/bin/sh": "text/x-script", b"PK": "text/plain",
+}
+
+
+@pytest.mark.parametrize("head", HEADS, ids=lambda h: HEADS[h])
+def test_media_types_by_content(head):
+    from stratafile.functions.mime import mime_of
+
+    assert mime_of(head) == HEADS[head]
+
+
+def test_a_cut_character_is_text_and_the_column_is_filled_by_a_scan(spark, tmp_path):
+    from stratafile.functions import mime
+
+    assert mime.mime_of("é".encode()[:1], cut=True) == "text/plain" and mime.mime_of("é".encode()[:1]) == "application/octet-stream"
+    assert mime.mime_of(("x" * 4095 + "é").encode()[:4096], cut=True) == "text/plain"
+    d = tmp_path / "d"
+    d.mkdir()
+    (d / "p.bin").write_bytes(b"\x89PNG\r\n\x1a\n" + b"0" * 9000)
+    (d / "t").write_text("é" * 5000)
+    (d / "l").symlink_to("t")
+    c = Catalogue(spark, str(tmp_path / "c"))
+    c.drive_add("d", str(d))
+    c.scan("d", mime_types=True)
+    assert {r.path: r.mime_type for r in c.files.collect()} == {"p.bin": "image/png", "t": "text/plain", "l": None}
+    c.scan("d")
+    assert {r.path: r.mime_type for r in c.files.collect()}["p.bin"] == "image/png"
+    col = spark.createDataFrame([("<html>",), ("",), (None,), ("x" * 10_000,)], "t string").select(mime.mime_type(F.col("t")).alias("m"))
+    assert [r.m for r in col.collect()] == ["text/html", "inode/x-empty", None, "text/plain"]

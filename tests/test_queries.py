@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 #: Queries whose work is done in Python by design.
-PYTHON = {"blake3_hash", "blake3_in_parts", "fs_scan", "fs_scan_counts"}
+PYTHON = {"blake3_hash", "blake3_in_parts", "classify_by_many_rules", "media_types", "fs_scan", "fs_scan_counts"}
 
 
 @pytest.fixture(scope="module")
