@@ -5,6 +5,10 @@ a wide fingerprint, cut into tables of (prefix + PATH) bits of their own. In a t
 is joined with itself: node pairs go down together, add an error where their branches differ, and are dropped beyond ERRORS (simhash.traverse). Pairs that are left are candidates if they differ in at most CHECK_ERRORS
 of CHECK further bits. There are as many tables as it takes for a pair at SIMILAR to be missed with a chance of MISSED; prefixes grow with the number of documents, so that units don't.
 
+The bits of small sets are coarse: with few shingles two similar sets differ in more of them than the chance above says. So sets of SMALL shingles or fewer are compared exactly as well: in an order of shingles
+from the rarest on, two sets that agree to SIMILAR share one of their first n - ceil(SIMILAR n) + 1, so sets that share one of these are a unit, whose pairs whole sets decide. Every pair whose smaller set has at most SIMILAR SMALL shingles is found
+so, whatever the number of documents.
+
 Candidates form components; their pairs are then decided by the whole sets of shingles, as 64-bit hashes, so no pair below SIMILAR is linked.
 Documents with the same set are one node. A unit of more than LARGE nodes, or a component of more than HELD shingles, is split into blocks, each pair of which is a
 unit of its own, so that no task holds a large one. Pairs that are connected already are not compared, which keeps the components and is linear in a dense group; the components of all units follow by alternating stars.
@@ -37,6 +41,8 @@ MISSED = 0.001
 #: Nodes of a unit, on average and at most; shingles that a task compares at once; shingles whose bits are counted at once.
 USUAL, LARGE = 32_768, 100_000
 HELD, CHUNK = 1_000_000, 255
+#: Sets of at most so many shingles are compared by their rarest shingles.
+SMALL = 50
 
 
 @dataclass(frozen=True)
@@ -111,11 +117,11 @@ def _signed(numbers: list[int]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, of: Layout, words: int = WORDS) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, node, n, units, keys, check): node stands for the set of shingles, n is its size; an empty set has no units."""
+    """docs (doc_id, text) -> (doc_id, node, n, units, keys, check, few): node stands for the set of shingles, n is its size; an empty set has no units; few: the shingles of a small set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, units, keys, checks = [], [], [], [], []
+            nodes, sizes, units, keys, checks, small = [], [], [], [], [], []
             for x in values(batch.column(1)):
                 grams = shingles(x, words)
                 nodes.append(_node(grams))
@@ -125,11 +131,26 @@ def signatures(docs: DataFrame, of: Layout, words: int = WORDS) -> DataFrame:
                     units.append(u)
                     keys.append(k)
                 checks.append(c if len(grams) else 0)
+                small.append(grams.view(np.int64) if len(grams) <= SMALL else grams[:0].view(np.int64))
             ends = pa.array(np.cumsum([0, *(of.tables if n else 0 for n in sizes)]).astype(np.int32))
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *x]))) for x in (units, keys)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_signed(nodes)), pa.array(sizes, pa.int64()), *lists, pa.array(checks, pa.int64())], names=["doc_id", "node", "n", "units", "keys", "check"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_signed(nodes)), pa.array(sizes, pa.int64()), *lists, pa.array(checks, pa.int64()), pa.array(small, pa.list_(pa.int64()))], names=["doc_id", "node", "n", "units", "keys", "check", "few"])
+
+    return docs.mapInArrow(run, "doc_id long, node long, n long, units array<long>, keys array<long>, check long, few array<long>")
+
 
-    return docs.mapInArrow(run, "doc_id long, node long, n long, units array<long>, keys array<long>, check long")
+def small_units(nodes: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(unit, node, grams, n) of small sets: a unit for each shingle that is among the rarest of two of them; nodes: (node, n, few)."""
+    every = nodes.where((F.col("n") > 0) & (F.col("n") <= SMALL)).select("node", "n", "few")
+    one = every.select("node", F.explode("few").alias("g"))
+    ranked = one.join(one.groupBy("g").agg(F.count("*").alias("k")), "g").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("k", "g"))).alias("order"))  # SMALL shingles at most
+    # a hundredth of a shingle against rounding
+    length = (F.col("n") - F.ceil(F.lit(similar) * F.col("n") - 0.01) + 1).cast("int")
+    firsts = written(every.join(ranked, "node").select("node", "n", F.explode(F.slice("order", F.lit(1), length)).alias("x")).select("node", "n", F.col("x.g").alias("unit")), "near-rarest")
+    shared = firsts.groupBy("unit").agg(F.sum("n").alias("size"), F.count("*").alias("k")).where("k > 1").select("unit", "size")
+    shared = written(shared, "near-shared")
+    units = _in_blocks(firsts.join(shared.select("unit"), "unit", "left_semi").select("node", "n", "unit"), "unit", shared, HELD)
+    return units.join(every.select("node", "few"), "node").select("unit", "node", F.col("few").alias("grams"))
 
 
 def sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -177,7 +198,7 @@ def _checker(similar: float):
 
         def out():
             nodes = list(rows)
-            root = linked([np.frombuffer(rows[x], np.uint64) for x in nodes], similar)
+            root = linked([np.frombuffer(x, np.uint64) if isinstance(x, bytes) else np.array(x, np.int64).view(np.uint64) for x in rows.values()], similar)
             return [(nodes[i], nodes[r]) for i, r in enumerate(root) if i != r]
 
         for batch in batches:
@@ -251,7 +272,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
         raise ValueError(f"similar must be {SIMILAR} at least")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = written(signatures(docs, layout(docs.count()), words), "near-signatures")
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", "units", "keys", "check")])
+    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", "units", "keys", "check", "few")])
     nodes = written(nodes, "near-nodes")
     found = components(candidates(nodes), "near-candidates")
     units = written(found.join(nodes.select("node", "n"), "node").select("node", "n", F.col("root").alias("unit")), "near-units")
@@ -262,7 +283,9 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     if firsts.where("doc_id is null").limit(1).count():
         again = again.unionByName(docs.where("doc_id is null"))
     pairs = sets(again, words).join(units, "node").select("unit", "node", "grams")
-    roots = components(pairs.repartition("unit").sortWithinPartitions("unit").mapInArrow(_checker(similar), "a long, b long"), "near-links")
+    links = pairs.repartition("unit").sortWithinPartitions("unit").mapInArrow(_checker(similar), "a long, b long")
+    small = small_units(nodes, similar).repartition("unit").sortWithinPartitions("unit").mapInArrow(_checker(similar), "a long, b long")
+    roots = components(links.unionByName(small), "near-links")
     named = written(nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-named")
     found = smallest(named, "node").select("node", "component_id")
     return signed.select("doc_id", "node").join(found, "node").select("doc_id", "component_id")

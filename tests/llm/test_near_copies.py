@@ -71,3 +71,49 @@ def test_the_stage_finds_ordinary_near_copies(spark):
     got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect()}
     assert got == {d for (d, _), c in zip(rows, slow_components(rows)) if c == d}
     assert 1 in got and 177 not in got  # 0.83 of their shingles, 9 bits of their fingerprints
+
+
+def pairs_at(n, rnd, similar=0.8):
+    """Two texts whose sets have n shingles at most and agree to just `similar` or a little more: the first or last words of one are cut off or others."""
+    words = [f"w{rnd.randint(0, 10**9)}" for _ in range(n + 4)]
+    cut = int(n - similar * n + 1e-9)
+    other = words[cut:] if rnd.random() < 0.5 else words[: len(words) - cut]
+    return " ".join(words), " ".join(other)
+
+
+@pytest.mark.parametrize("documents", [10_000, 256_000, 10**9, 10**10])
+def test_small_sets_are_found_whatever_the_number_of_documents(spark, monkeypatch, documents):
+    """Pairs at exactly 0.8, or as near above as their size allows, under the layouts of small and very large tables; fewer tables stand for those of the large ones, as small sets don't need any."""
+    of = op.layout(documents)
+    monkeypatch.setattr(op, "layout", lambda n: op.Layout(of.prefix, min(of.tables, 3)))
+    rnd = random.Random(documents)
+    rows, sizes = [], (5, 6, 8, 10, 13, 15, 20, 25, 30, 40, 50)
+    for i, n in enumerate(sizes * 12):
+        a, b = pairs_at(n, rnd)
+        rows += [(2 * i, a), (2 * i + 1, b)]
+    assert all(0.8 <= len(slow_set(a) & slow_set(b)) / len(slow_set(a) | slow_set(b)) < 0.9 for (_, a), (_, b) in zip(rows[::2], rows[1::2]))
+    got = {r.doc_id: r.component_id for r in op.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {d: d // 2 * 2 for d, _ in rows}
+
+
+@pytest.mark.parametrize("documents, n, least", [(10_000, 60, 0.98), (10_000, 400, 0.995), (10**6, 60, 0.98), (10**9, 400, 0.995)])
+def test_recall_of_larger_sets_by_tables(documents, n, least):
+    """How many pairs at 0.8 share a unit of some table within its errors and pass the check, by the fingerprints alone."""
+    rnd, of, found, trials = random.Random(n), op.layout(documents), 0, 200
+    for _ in range(trials):
+        a, b = (op.fingerprint(op.shingles(x), of) for x in pairs_at(n, rnd))
+        width, ends = of.prefix + op.PATH, of.tables * (of.prefix + op.PATH)
+        off = (a != b)[:ends].reshape(of.tables, width)
+        near = (off[:, : of.prefix].sum(1) == 0) & (off[:, of.prefix :].sum(1) <= op.ERRORS)
+        found += bool(near.any() and (a != b)[ends:].sum() <= op.CHECK_ERRORS)
+    print(documents, n, found / trials)
+    assert found / trials >= least
+
+
+def test_a_shingle_that_all_small_sets_share_is_no_unit_of_all(spark):
+    rows = [(i, f"this text is licensed to all of you word{i} word{i + 1} word{i + 2} other{i}") for i in range(300)] + [(900, "this text is licensed to all of you"), (901, "this text is licensed to all of you too")]
+    signed = op.signatures(spark.createDataFrame(rows, "doc_id long, text string"), op.layout(300))
+    units = op.small_units(signed.selectExpr("node", "n", "few")).groupBy("unit").count().collect()
+    assert max((r["count"] for r in units), default=0) <= 4
+    got = {r.doc_id: r.component_id for r in op.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[d] for d, _ in rows] == slow_components(rows)
