@@ -16,7 +16,8 @@ from .operators import dedup, filters, folders, joins, lint, moves, reports, rul
 from .operators.staged import with_staged_hashes
 from .plans import executor, planner
 from .plans import policy as policies
-from .sources import devices, exif, fs
+from .scratch import written
+from .sources import devices, exif, fs, incremental
 from .sources import lint as lint_source
 from .store import Store, set_where
 
@@ -119,6 +120,31 @@ class Catalogue:
         self.store.update("drives", lambda d: set_where(d, F.col("label").isin(*scanned), scanned_at=self.now))
         return self.spark.createDataFrame(rows, counters.schema)
 
+    def rescan(self, drive_label: str, include_hidden: bool = False, each_file: bool = True, follow_moves: bool = False) -> DataFrame:
+        """Scans a drive by the snapshot of its folders that the call before left: only folders that changed are listed. The first call walks the whole drive. Files that are gone become source_removed, but for those
+        at or below what couldn't be read. (folders_listed, files_found, errors) as one row."""
+        row = fs.mounted(self.drives, drive_label)
+        at = f"{self.store.root}/snapshots/drive-{row['id']}"
+        known = self.store._get(f"{at}/current.json")
+        if known is None:
+            found, shot, errors = incremental.first_scan(self.spark, row["mount_path"], include_hidden)
+            old = self.spark.createDataFrame([], incremental.SNAPSHOT)
+        else:
+            old = self.spark.read.schema(incremental.SNAPSHOT).parquet(f"{at}/v{known['version']:08d}")
+            files = self.files.where((F.col("drive_id") == row["id"]) & (F.col("status") != "source_removed"))
+            found, shot, errors = incremental.rescan(self.spark, row["mount_path"], old, files, include_hidden, each_file)
+        version = (known or {"version": 0})["version"] + 1
+        shot.write.mode("overwrite").parquet(f"{at}/v{version:08d}")
+        new = self.spark.read.schema(incremental.SNAPSHOT).parquet(f"{at}/v{version:08d}")
+        rows = written(fs.files_of(found.withColumn("kind", F.lit("file")), row["id"]), "rescan")
+        if follow_moves:
+            self.store.update("files", lambda f: moves.follow(f, rows))
+        self.store.upsert_files(rows, row["id"], errors.select("path"))
+        self.store._put(f"{at}/current.json", {"version": version})  # the files are there now
+        self.store.update("drives", lambda d: set_where(d, F.col("label") == drive_label, scanned_at=self.now))
+        listed = new.join(old.select("path", "read_at"), ["path", "read_at"], "left_anti").count()
+        return self.spark.createDataFrame([(listed, rows.count(), errors.count())], "folders_listed long, files_found long, errors long")
+
     def dedup_refresh(self, drive: str | None = None, algorithm: str = "blake3", rehash: bool = False, min_size: int = 0, per_drive: bool = False, scan: bool = True, in_stages: bool = False) -> DataFrame:
         """Scans, hashes what has no hash, and groups anew; per_drive: among the drive's files only. in_stages: only files that may have a copy, by size and by their first and last blocks, are
         hashed; files of all drives are looked at then, unless per_drive. The statistics."""

@@ -816,8 +816,7 @@ def _(spark, sf):
 @query("git_remotes", "SELECT event_id AS id, 'https://h/' || event_id || '.git' AS remote FROM events")
 def _(spark, sf):
     text = F.concat(F.lit('[remote "origin"]\n\turl = https://h/'), F.col("event_id").cast("string"), F.lit(".git\n\tfetch = +refs\n\turl = no\n"))
-    remote = F.regexp_extract(text, r"(?m)^\s*url = (.*)$", 1)
-    return fx.table(spark, sf, "events").select(F.col("event_id").alias("id"), remote.alias("remote"))
+    return fx.table(spark, sf, "events").select(F.col("event_id").alias("id"), formats.git_remote(text).alias("remote"))
 
 
 @query("known_values", "SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'trash' ELSE 'normal' END AS priority FROM events")

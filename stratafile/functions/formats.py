@@ -58,6 +58,15 @@ def parse_timestamp(text: Column) -> Column:
     return F.try_to_timestamp(text)
 
 
+#: The first url of a git configuration.
+GIT_URL = r"(?m)^[ \t]*url = (.*)$"
+
+
+def git_remote(text: Column) -> Column:
+    """The first url of a git configuration, trimmed; null if there is none."""
+    return F.nullif(F.trim(F.regexp_extract(text, GIT_URL, 1)), F.lit(""))
+
+
 def filename(path: Column) -> Column:
     return F.regexp_extract(path, r"[^/]+$", 0)
 

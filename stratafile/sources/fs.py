@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import DriveNotFound, DriveOffline, FileMissing
+from ..functions.formats import GIT_URL
 from ..operators.stats import scan_counts
 from ..schema import conform
 
 SCHEMA = "kind string, path string, abs_path string, filename string, extension string, size_bytes long, modified_at timestamp, inode long, device_num long, nlinks int, is_symlink boolean, symlink_target string, git_remote_url string, error string"
-REMOTE = re.compile(r"^\s*url = (.*)$", re.M)
+REMOTE = re.compile(GIT_URL)
 
 
 #: Parts of a tree that are enough for its tasks.
@@ -120,7 +121,7 @@ def _git_remote(path: str) -> str | None:
 
 def git_remote(text: str) -> str | None:
     found = REMOTE.search(text)
-    return found.group(1).strip() if found else None
+    return (found.group(1).strip() or None) if found else None
 
 
 class FileTree(DataSource):
@@ -165,8 +166,8 @@ def unread(tree: DataFrame, base: str) -> DataFrame:
     return tree.where("kind = 'error'").select(relative(F.col("abs_path"), F.lit(base)).alias("path"))
 
 
-def tree_of(spark: SparkSession, drives: DataFrame, label: str, sub_path: str | None = None, **options) -> tuple[DataFrame, int, str]:
-    """(entries, id of the drive, its mount path) of one drive, which must exist, be online and have a mount path. The tree is walked whenever the entries are read."""
+def mounted(drives: DataFrame, label: str):
+    """The row of a drive, which must exist, be online and have a mount path."""
     row = drives.where(F.col("label") == label).first()
     if row is None:
         raise DriveNotFound(label)
@@ -174,6 +175,12 @@ def tree_of(spark: SparkSession, drives: DataFrame, label: str, sub_path: str |
         raise DriveOffline(label)
     if not row["mount_path"]:
         raise FileMissing(f"drive {label} has no mount path")
+    return row
+
+
+def tree_of(spark: SparkSession, drives: DataFrame, label: str, sub_path: str | None = None, **options) -> tuple[DataFrame, int, str]:
+    """(entries, id of the drive, its mount path) of one drive. The tree is walked whenever the entries are read."""
+    row = mounted(drives, label)
     tree = entries(spark, os.path.join(row["mount_path"], sub_path) if sub_path else row["mount_path"], **options)
     return tree, row["id"], os.path.abspath(row["mount_path"])
 

@@ -379,3 +379,147 @@ def test_a_cut_character_is_text_and_the_column_is_filled_by_a_scan(spark, tmp_p
     assert {r.path: r.mime_type for r in c.files.collect()}["p.bin"] == "image/png"
     col = spark.createDataFrame([("<html>",), ("",), (None,), ("x" * 10_000,)], "t string").select(mime.mime_type(F.col("t")).alias("m"))
     assert [r.m for r in col.collect()] == ["text/html", "inode/x-empty", None, "text/plain"]
+
+
+# incremental scans
+
+
+def walk(root, hidden=False):
+    out = {}
+    for at, _, names in os.walk(root):
+        for n in names:
+            full = os.path.join(at, n)
+            if hidden or not n.startswith("."):
+                out[os.path.relpath(full, root)] = (os.lstat(full).st_size if not os.path.islink(full) else 0, os.path.islink(full))
+    return out
+
+
+def settle(root):
+    """Sets the folders' times back, as if the last change was long ago."""
+    for at, _, _ in os.walk(root):
+        os.utime(at, (1_600_000_000, 1_600_000_000 + os.stat(at).st_ino % 1000))
+
+
+def change(rnd, root):
+    folders = [at for at, _, _ in os.walk(root)]
+    files = [os.path.join(at, n) for at, _, names in os.walk(root) for n in names]
+    what = rnd.choice(["new", "edit", "delete", "rename", "folder", "rmtree", "movetree", "link"])
+    name = f"n{rnd.randint(0, 10**6)}"
+    if what == "new" or not files:
+        open(os.path.join(rnd.choice(folders), name), "w").write("x" * rnd.randint(0, 9))
+    elif what == "edit":
+        open(rnd.choice(files), "a").write("more") if not os.path.islink(f := rnd.choice(files)) else os.remove(f)
+    elif what == "delete":
+        os.remove(rnd.choice(files))
+    elif what == "rename":
+        os.rename(rnd.choice(files), os.path.join(rnd.choice(folders), name))
+    elif what == "folder":
+        deep = os.path.join(rnd.choice(folders), name, "deep")
+        os.makedirs(deep)
+        open(os.path.join(deep, "f"), "w").write("new")
+    elif what == "link":
+        os.symlink("nowhere", os.path.join(rnd.choice(folders), name))
+    elif len(folders) > 3:
+        victim = rnd.choice(folders[1:])
+        if what == "rmtree":
+            import shutil
+
+            shutil.rmtree(victim)
+        elif not any(f.startswith(victim) for f in [root]):
+            os.rename(victim, os.path.join(root, name))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rescans_give_the_tree_of_a_full_walk(spark, tmp_path, seed):
+    from stratafile.scratch import written
+    from stratafile.sources import incremental as inc
+
+    rnd, root = random.Random(seed), str(tmp_path / "root")
+    for i in range(25):
+        d = os.path.join(root, *[rnd.choice("abc") for _ in range(rnd.randint(0, 4))])
+        os.makedirs(d, exist_ok=True)
+        if not os.path.isdir(os.path.join(d, f"f{i}")):
+            open(os.path.join(d, f"f{i}"), "w").write("y" * i)
+    tree = lambda files: {r.path: (r.size_bytes, r.is_symlink) for r in files.collect()}
+    settle(root)
+    files, shot, errors = (written(x, "t") for x in inc.first_scan(spark, root))
+    assert tree(files) == walk(root) and errors.count() == 0 and files.count() == len(walk(root))
+    for _ in range(3):
+        for _ in range(rnd.randint(0, 4)):
+            change(rnd, root)
+        files, shot, errors = (written(x, "t") for x in inc.rescan(spark, root, shot, files))
+        assert tree(files) == walk(root) and files.count() == len(walk(root)) and errors.count() == 0
+        assert {r.path for r in shot.collect()} == {"" if at == root else os.path.relpath(at, root) for at, _, _ in os.walk(root)}
+
+
+def test_an_unchanged_tree_is_not_listed(spark, tmp_path):
+    from stratafile.scratch import written
+    from stratafile.sources import incremental as inc
+
+    root = tmp_path / "root"
+    for d in ("a/b/c", "x"):
+        (root / d).mkdir(parents=True)
+        (root / d / "f").write_text("1")
+    settle(str(root))
+    files, shot, _ = (written(x, "t") for x in inc.first_scan(spark, str(root)))
+    before = {r.path: r.read_at for r in shot.collect()}
+    (root / "a/b/c/f").write_text("written in place")  # no folder's time changes
+    files2, shot2, _ = (written(x, "t") for x in inc.rescan(spark, str(root), shot, files))
+    assert {r.path: r.read_at for r in shot2.collect()} == before and {r.path: r.size_bytes for r in files2.collect()} == {"a/b/c/f": 16, "x/f": 1}
+    files3, _, _ = inc.rescan(spark, str(root), shot, files, each_file=False)
+    assert {r.path: r.size_bytes for r in files3.collect()} == {"a/b/c/f": 1, "x/f": 1}
+    (root / "a/b/c/g").write_text("new")  # a changed leaf: only its folder is listed
+    files4, shot4, _ = (written(x, "t") for x in inc.rescan(spark, str(root), shot2, files2))
+    again = {r.path: r.read_at for r in shot4.collect()}
+    assert {p for p in again if again[p] != before[p]} == {"a/b/c"} and {r.path for r in files4.collect()} == {"a/b/c/f", "a/b/c/g", "x/f"}
+
+
+# streams of events
+
+
+def event(path, at, size=None, deleted=False):
+    return {"id": abs(hash(path)) % 10**6, "drive_id": 1, "path": path, "abs_path": f"/m/{path}", "size_bytes": size, "status": "indexed", "priority": "normal", "is_original": False, "event_time": f"2024-01-01T00:00:{at:02d}", "deleted": deleted}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_shuffled_events_give_the_table_of_ordered_ones(spark, tmp_path, seed):
+    import json
+
+    from stratafile.store import Store
+    from stratafile.streaming import events as ev
+
+    rnd, every, newest = random.Random(seed), [], {}
+    for at in rnd.sample(range(60), 40):
+        e = event(f"p{rnd.randint(0, 7)}", at, rnd.randint(1, 99), rnd.random() < 0.3)
+        every.append(e)
+        if e["path"] not in newest or newest[e["path"]]["event_time"] < e["event_time"]:
+            newest[e["path"]] = e
+    tables = []
+    for name, order_ in (("ordered", sorted(every, key=lambda e: e["event_time"])), ("shuffled", rnd.sample(every, len(every)))):
+        land, store = tmp_path / f"{name}-land", Store(spark, str(tmp_path / name))
+        land.mkdir()
+        store.initialise()
+        for i in range(4):
+            (land / f"{i}.json").write_text("\n".join(json.dumps(e) for e in order_[i * 10 : i * 10 + 10]))
+            ev.apply_events(ev.events(spark, str(land)), store, str(tmp_path / f"{name}-ck")).awaitTermination()
+        tables.append({(r.path, r.size_bytes) for r in store.read("files").where("status <> 'source_removed'").collect()})
+    assert tables[0] == tables[1] == {(p, e["size_bytes"]) for p, e in newest.items() if not e["deleted"]}
+
+
+def test_the_catalogue_rescans_by_snapshots(spark, tmp_path):
+    root = tmp_path / "d"
+    for p in ("a/b/f1", "a/f2", "x/f3"):
+        (root / p).parent.mkdir(parents=True, exist_ok=True)
+        (root / p).write_text(p)
+    settle(str(root))
+    c = Catalogue(spark, str(tmp_path / "c"))
+    c.drive_add("d", str(root))
+    assert tuple(c.rescan("d").first()) == (4, 3, 0)
+    ids = {r.path: r.id for r in c.files.collect()}
+    c.classify(str(ids["a/f2"]), "docs")
+    assert tuple(c.rescan("d").first()) == (0, 3, 0)
+    (root / "a/f2").rename(root / "x/f2moved")
+    (root / "x/f3").unlink()
+    assert tuple(c.rescan("d", follow_moves=True).first()) == (2, 2, 0)
+    got = {r.path: (r.id, r.category, r.status) for r in c.files.collect()}
+    assert got == {"a/b/f1": (ids["a/b/f1"], None, "indexed"), "x/f2moved": (ids["a/f2"], "docs", "classified"), "x/f3": (ids["x/f3"], None, "source_removed")} and c.validate().count() == 0
