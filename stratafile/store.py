@@ -88,13 +88,21 @@ class Store:
         except AnalysisException as e:
             raise StoreError(f"{table} has lost a part of version {at}") from e
 
-    def _add(self, table: str, rows: DataFrame, beside: list[int]) -> int:
-        new = self.version(table) + 1
+    def _add(self, table: str, rows: DataFrame, beside: list[int], seen: int | None = None) -> int:
+        """rows, beside parts that are there, as a new version. seen: the version that rows were made from, which must still be the current one when the pointer moves."""
+        seen = self.version(table) if seen is None else seen
+        new = seen + 1
+        self._still(table, seen)
         schema.conform(rows, table).write.mode("overwrite").parquet(self._path(table, new))
+        self._still(table, seen)
         self._put(f"{self._path(table, new)}.json", {"parts": [*beside, new]})
         self._put(f"{self.root}/{table}/current.json", {"version": new})
         return new
 
+    def _still(self, table: str, seen: int) -> None:
+        if self.version(table) != seen:
+            raise StoreError(f"{table} was changed by another writer since version {seen}")
+
     def write(self, table: str, rows: DataFrame) -> int:
         """rows as the table's new version; its number."""
         return self._add(table, rows, [])
@@ -103,12 +111,13 @@ class Store:
         at = self.version(table)
         parts = self.parts(table, at) or [] if at else []
         if len(parts) >= MOST_PARTS:
-            return self.write(table, self.read(table).unionByName(schema.conform(rows, table)))
-        return self._add(table, rows, parts)
+            return self._add(table, self.read(table, at).unionByName(schema.conform(rows, table)), [], at)
+        return self._add(table, rows, parts, at)
 
     def update(self, table: str, change) -> int:
-        """change: a function from the table to the table."""
-        return self.write(table, change(self.read(table)))
+        """change: a function from the table to the table. If another writer was faster, nothing is changed and the call fails."""
+        at = self.version(table)
+        return self._add(table, change(self.read(table, at)), [], at)
 
     def vacuum(self, table: str, keep: int = 2) -> None:
         """Deletes all versions but the last `keep`, and the parts that only they have."""

@@ -470,3 +470,19 @@ def test_a_tree_with_one_folder_is_many_tasks(spark, tmp_path):
     assert tree.where("kind = 'file'").count() == 32 and tree.where("kind = 'dir'").count() == 62 and tree.select("path").distinct().count() == tree.count()
     assert fs.entries(spark, str(tmp_path), max_depth=3).where("kind = 'file'").count() == 2
     assert fs.entries(spark, str(tmp_path), prune_hidden=True).where("kind = 'file'").count() == 31
+
+
+def test_a_second_writer_does_not_lose_the_first_ones_change(spark, tmp_path):
+    one, two = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    one.initialise()
+    one.log("first")
+
+    def change(rows):
+        two.log("meanwhile")
+        return rows.limit(0)
+
+    with pytest.raises(StoreError):
+        one.update("audit_log", change)
+    assert [r.action for r in two.read("audit_log").orderBy("id").collect()] == ["first", "meanwhile"]
+    one.update("audit_log", lambda rows: rows.where("action = 'first'"))
+    assert two.read("audit_log").count() == 1
