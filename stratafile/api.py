@@ -14,7 +14,7 @@ from .functions.hashing import hash_ends, same_as, with_missing_hashes
 from .functions.mime import with_mime_types
 from .operators import dedup, filters, folders, joins, lint, moves, reports, rules, stats, trigrams
 from .operators.staged import with_staged_hashes
-from .plans import executor, planner
+from .plans import batches, executor, planner
 from .plans import policy as policies
 from .scratch import written
 from .sources import devices, exif, fs, incremental
@@ -314,6 +314,11 @@ class Catalogue:
         target, mount, free = self._target(target_drive, check_space)
         return self._keep((planner.migrate if phase == "migrate" else planner.offload)(rows, id_, self.now, target, mount, free))
 
+    def plan_batches(self, category: str, max_bytes: int, source_drive: str | None = None) -> DataFrame:
+        """(batch, files, bytes, first_id, last_id): how the files of a category, by id, fall into runs of at most max_bytes each."""
+        rows = batches.all_batches(filters.plan_candidates(self.files, self.drives, category, source_drive), max_bytes)
+        return rows.groupBy("batch").agg(F.count("*").alias("files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"), F.min("id").alias("first_id"), F.max("id").alias("last_id")).orderBy("batch")
+
     def plan_list(self, status: str | None = None) -> DataFrame:
         return filters.plans_by_status(self.plans, status)
 

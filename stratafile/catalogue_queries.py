@@ -969,3 +969,66 @@ def _(spark, sf):
     pages, docs = fx.table(spark, sf, "pages"), fx.table(spark, sf, "documents")
     of = lambda t, name, key, content: t.select(F.lit(name).alias("source"), F.col(key).alias("id"), mime.mime_type(F.col(content)).alias("mime_type"))
     return of(pages, "pages", "page_id", "html").unionByName(of(docs, "documents", "doc_id", "text"))
+
+
+# The catalogue itself, on tables of its own
+
+
+def kept_catalogue(spark, sf):
+    """A catalogue in the scratch folder that holds the fixture's files, without groups, and drives."""
+    from .api import Catalogue
+
+    c = Catalogue(spark, scratch(spark, "catalogue"), now())
+    c.store.write("files", fx.files(spark, sf))
+    c.store.write("drives", fx.drives(spark, sf))
+    return c
+
+
+@query("content_md5", "SELECT doc_id, md5(text) AS md5_hash FROM documents")
+def _(spark, sf):
+    return fx.table(spark, sf, "documents").select("doc_id", hashing.content_hash(F.col("text")).alias("md5_hash"))
+
+
+@query("catalogue_dedup_refresh", files_sql("true", "id, duplicate_group, is_original", source="m"))
+def _(spark, sf):
+    c = kept_catalogue(spark, sf)
+    c.dedup_refresh(scan=False)
+    return c.files.select("id", "duplicate_group", "is_original")
+
+
+@query("catalogue_plan_create", step_sql("category = 'trash'", "delete"))
+def _(spark, sf):
+    c = kept_catalogue(spark, sf)
+    plan = c.plan_create("delete-trash")
+    return c.steps.where(F.col("plan_id") == plan).select(*STEP_COLUMNS)
+
+
+POLICY = """version = "1"
+name = "nightly"
+[rules.temporary]
+type = "pattern"
+patterns = ["**/tmp/**"]
+category = "trash"
+[plans.clean]
+type = "delete-trash"
+"""
+
+
+@query("catalogue_policy_run", step_sql("category = 'trash' OR category IS NULL AND status = 'indexed' AND regexp_matches(path, '(^|/)tmp/')", "delete"))
+def _(spark, sf):
+    import tempfile
+
+    c = kept_catalogue(spark, sf)
+    with tempfile.NamedTemporaryFile("w", suffix=".toml") as f:  # the driver alone reads it
+        f.write(POLICY)
+        f.flush()
+        (plan,) = c.policy_apply(f.name)
+    return c.steps.where(F.col("plan_id") == plan).select(*STEP_COLUMNS)
+
+
+@query("catalogue_plan_batches", f"""WITH RECURSIVE {fx.FILES_SQL}, n AS (SELECT id, size_bytes, row_number() OVER (ORDER BY id) AS i FROM f WHERE category = 'photos'),
+    w AS (SELECT i, id, size_bytes AS size, size_bytes AS total, CAST(0 AS BIGINT) AS batch FROM n WHERE i = 1
+          UNION ALL SELECT n.i, n.id, n.size_bytes, CASE WHEN w.total + n.size_bytes > 20000 THEN n.size_bytes ELSE w.total + n.size_bytes END, CASE WHEN w.total + n.size_bytes > 20000 THEN w.batch + 1 ELSE w.batch END FROM w JOIN n ON n.i = w.i + 1)
+    SELECT batch, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, min(id) AS first_id, max(id) AS last_id FROM w GROUP BY batch""")
+def _(spark, sf):
+    return kept_catalogue(spark, sf).plan_batches("photos", 20_000)
