@@ -1003,7 +1003,7 @@ def _(spark, sf):
     return c.steps.where(F.col("plan_id") == plan).select(*STEP_COLUMNS)
 
 
-POLICY = """version = "1"
+NIGHTLY = """version = "1"
 name = "nightly"
 [rules.temporary]
 type = "pattern"
@@ -1020,7 +1020,7 @@ def _(spark, sf):
 
     c = kept_catalogue(spark, sf)
     with tempfile.NamedTemporaryFile("w", suffix=".toml") as f:  # the driver alone reads it
-        f.write(POLICY)
+        f.write(NIGHTLY)
         f.flush()
         (plan,) = c.policy_apply(f.name)
     return c.steps.where(F.col("plan_id") == plan).select(*STEP_COLUMNS)
