@@ -362,15 +362,16 @@ def blake3_of_texts(rows: DataFrame, id_: str, text: str, part_chunks: int) -> D
 
 
 def with_missing_hashes(files: DataFrame, algorithm: str, rehash: bool = False) -> DataFrame:
-    """files with the algorithm's hash column filled where it is null (all, if rehash); the other algorithm's hash stays. Links are not read.
+    """files with the algorithm's hash column filled where it is null (all, if rehash); the other algorithm's hash stays. Links are not read. Files with an id and a size of LARGE or more get BLAKE3 by parts.
 
     Only the rows without a hash go through Python."""
     column = {"md5": "md5_hash", "blake3": "blake3_hash"}[algorithm]
     need = (F.col(column).isNull() | F.lit(rehash)) & ~F.coalesce(F.col("is_symlink"), F.lit(False))
-    large = F.lit(algorithm == "blake3") & F.coalesce(F.col("size_bytes") >= LARGE, F.lit(False))
+    in_parts = algorithm == "blake3" and {"id", "size_bytes"} <= set(files.columns)
+    large = F.coalesce(F.col("size_bytes") >= LARGE, F.lit(False)) if in_parts else F.lit(False)
     fresh = hash_files(files.where(need & ~large).drop("error"), algorithm).withColumn(column, F.coalesce("hash", column)).drop("hash")
     out = files.where(~need).unionByName(fresh.select(*files.columns))
-    if algorithm == "blake3":
+    if in_parts:
         parted = written(hash_large(files.where(need & large)), "hash-large")
         out = out.unionByName(files.where(need & large).join(parted, "id", "left").withColumn(column, F.coalesce("hash", column)).select(*files.columns))
     return out
