@@ -25,7 +25,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7. Documents that hold half of a benchmark item go. Null and empty texts are clean and stay; repeated rows fare alike; texts of any length are read whole; an empty benchmark
+    """Operator 7. Documents that hold half of a benchmark item of five words or more go. Null and empty texts are clean and stay; repeated rows fare alike; texts of any length are read whole; an empty benchmark
     drops nothing; an empty table: no rows. Further columns stay as they are."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
