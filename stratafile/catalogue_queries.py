@@ -929,7 +929,7 @@ def _(spark, sf):
           UNION ALL SELECT n.i, n.id, CASE WHEN w.total + n.size_bytes > 50000 THEN n.size_bytes ELSE w.total + n.size_bytes END, CASE WHEN w.total + n.size_bytes > 50000 THEN w.batch + 1 ELSE w.batch END FROM w JOIN n ON n.i = w.i + 1)
     SELECT id, batch FROM w""")
 def _(spark, sf):
-    return batches.all_batches(fx.files(spark, sf), 50_000).select("id", "batch")
+    return batches.all_batches(fx.files(spark, sf).select("id", "size_bytes"), 50_000).select("id", "batch")
 
 
 @query("blake3_in_parts")

@@ -266,6 +266,23 @@ def test_batches_of_nothing_and_of_ties(spark):
     assert hashlib.md5(b"").hexdigest() and fx.tree(spark, SF).count() > 300
 
 
+@pytest.mark.parametrize("one_task", [10**6, 500])
+def test_batches_take_no_frame_for_each_row(spark, monkeypatch, one_task):
+    """A frame that begins with the current row is read anew for each row, 2 * n * n rows in all."""
+    frames = []
+    monkeypatch.setattr(order, "ONE_TASK", one_task)
+    monkeypatch.setattr(order, "PIECE", 1000)
+    spec = type(batches.Window.orderBy("x"))
+    plain = spec.rowsBetween
+    monkeypatch.setattr(spec, "rowsBetween", lambda self, start, end: frames.append((start, end)) or plain(self, start, end))
+    sizes = [(i * 7919) % 1000 for i in range(2000)]
+    frame = spark.range(2000).selectExpr("id", "id * 7919 % 1000 AS size_bytes")
+    got = batches.all_batches(frame, 20_000).groupBy("batch").count().orderBy("batch").collect()
+    want = plain_batches(sizes, 20_000)
+    assert [r["count"] for r in got] == [want.count(k) for k in range(want[-1] + 1)]
+    assert frames and all(start <= batches.Window.unboundedPreceding and end <= 0 for start, end in frames)
+
+
 # substring searches by trigrams
 
 
