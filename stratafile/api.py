@@ -316,7 +316,7 @@ class Catalogue:
 
     def plan_batches(self, category: str, max_bytes: int, source_drive: str | None = None) -> DataFrame:
         """(batch, files, bytes, first_id, last_id): how the files of a category, by id, fall into runs of at most max_bytes each."""
-        rows = batches.all_batches(filters.plan_candidates(self.files, self.drives, category, source_drive), max_bytes)
+        rows = batches.all_batches(filters.plan_candidates(self.files, self.drives, category, source_drive).select("id", "size_bytes"), max_bytes)
         return rows.groupBy("batch").agg(F.count("*").alias("files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"), F.min("id").alias("first_id"), F.max("id").alias("last_id")).orderBy("batch")
 
     def plan_list(self, status: str | None = None) -> DataFrame:

@@ -283,6 +283,16 @@ def test_batches_take_no_frame_for_each_row(spark, monkeypatch, one_task):
     assert frames and all(start <= batches.Window.unboundedPreceding and end <= 0 for start, end in frames)
 
 
+def test_plan_batches_hands_on_ids_and_sizes_only(spark, monkeypatch):
+    """Paths and hashes of the catalogue are not carried through the orders and joins."""
+    from stratafile.catalogue_queries import kept_catalogue
+
+    seen, plain = [], batches.all_batches
+    monkeypatch.setattr(batches, "all_batches", lambda files, most: seen.append(files.columns) or plain(files, most))
+    rows = kept_catalogue(spark, SF).plan_batches("photos", 20_000).collect()
+    assert seen == [["id", "size_bytes"]] and [r.batch for r in rows] == list(range(len(rows))) and all(r.bytes <= 20_000 or r.files == 1 for r in rows)
+
+
 # substring searches by trigrams
 
 
