@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import few, written
+
+#: Backups of one path that bit_rot pairs at once: their hashes and ids are about 10 KB, so that Snappy, which looks back 64 KB, finds them again for each source.
+BLOCK = 256
+
 
 def unique_to_drive(files: DataFrame, hash_col: str = "md5_hash", null_is_unique: bool = True) -> DataFrame:
     """Files whose hash is on no other drive; null_is_unique: files without a hash count, too.
@@ -66,6 +71,15 @@ def trash_on_backup(files: DataFrame, drives: DataFrame) -> DataFrame:
 
 
 def bit_rot(files: DataFrame, drives: DataFrame) -> DataFrame:
-    """(path, source_id, backup_id, source_md5, backup_md5): same path and size on a source and a backup drive, other content."""
-    side = lambda role, name: with_role(files, drives, role).select("path", "size_bytes", F.col("id").alias(f"{name}_id"), F.col("md5_hash").alias(f"{name}_md5"))
-    return side("source", "source").join(side("backup", "backup"), ["path", "size_bytes"]).where("source_md5 <> backup_md5")
+    """(path, source_id, backup_id, source_md5, backup_md5): same path and size on a source and a backup drive, other content.
+
+    All pairs are asked for, which grow with the square of the files of a path. So the backups of a path are dealt into blocks of about BLOCK by their id, and each source meets every block: no task holds more than a
+    block of a path at once, and a path of many files is spread over tasks. Pairs of a block come together, for which the merge join is asked for: the columnar file then holds few values at a time, again and again, which
+    takes a fraction of the bytes. A broadcast join would return sources in file order, each with other backups than the one before."""
+    keys = ["path", "size_bytes"]
+    side = lambda role, name: with_role(files, drives, role).select(*keys, F.col("id").alias(f"{name}_id"), F.col("md5_hash").alias(f"{name}_md5"))
+    counts = with_role(files, drives, "backup").groupBy(*keys).count().where(F.col("count") > BLOCK)
+    blocks = few(written(counts.select(*keys, F.ceil(F.col("count") / BLOCK).alias("_blocks")), "bit-rot-blocks"))  # at most a row for each BLOCK backups
+    backups = side("backup", "backup").join(blocks, keys, "left").withColumn("_block", F.coalesce(F.pmod(F.xxhash64("backup_id"), F.col("_blocks")), F.lit(0))).drop("_blocks")
+    sources = side("source", "source").join(blocks, keys, "left").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_blocks", F.lit(1)) - 1))).drop("_blocks")
+    return sources.hint("merge").join(backups, [*keys, "_block"]).where("source_md5 <> backup_md5").drop("_block")

@@ -57,6 +57,22 @@ def test_unique_files_under_each_null_rule(spark):
     assert ids(joins.missing_from_backup(g, d)) == [1] and ids(joins.missing_from_backup(g, d, null_is_missing=True)) == [1, 3]
 
 
+@pytest.mark.parametrize("block", [1, 3, 256])
+def test_bit_rot_pairs_block_by_block(spark, monkeypatch, block):
+    """Every pair once whatever the blocks, and the pairs of a path and block together, not in file order."""
+    monkeypatch.setattr(joins, "BLOCK", block)
+    rows = [{"path": f"p{i % 7}" if i % 31 else f"alone{i}", "size_bytes": 5, "md5_hash": str(i % 5) if i % 11 else None, "drive_id": 1 + i // 7 % 2} for i in range(280)]
+    f = files(spark, rows)
+    d = spark.createDataFrame([(1, "one", "source"), (2, "two", "backup")], "id long, label string, role string")
+    got = joins.bit_rot(f, d)
+    assert got.columns == ["path", "size_bytes", "source_id", "source_md5", "backup_id", "backup_md5"]
+    all_ = [r.asDict() for r in f.collect()]
+    want = [(a["id"], b["id"]) for a in all_ for b in all_ if a["drive_id"] == 1 and b["drive_id"] == 2 and a["path"] == b["path"] and a["md5_hash"] and b["md5_hash"] and a["md5_hash"] != b["md5_hash"]]
+    assert want and sorted((r.source_id, r.backup_id) for r in got.collect()) == sorted(want)
+    paths = [r.path for r in got.coalesce(1).collect()]
+    assert 1 + sum(a != b for a, b in zip(paths, paths[1:])) <= 7 * max(1, -(-20 // block))
+
+
 def test_filters(spark):
     f = files(spark, [{"path": "a.txt", "size_bytes": 5, "category": "x"}, {"path": "b.txt", "size_bytes": 9, "drive_id": 2}, {"path": "c_d.TXT", "size_bytes": 7}])
     assert [r.id for r in filters.unclassified(f).collect()] == [2, 3] and ids(filters.unclassified(f, 1)) == [3]
